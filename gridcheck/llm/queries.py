@@ -21,6 +21,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import Mix
+
+    return Mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3).taken().drop("source")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -43,6 +49,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_mixing": op5_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_token_ids": op8_token_ids,
     "op9_decontaminate": op9_decontaminate,
