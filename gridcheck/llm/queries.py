@@ -55,12 +55,22 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, count_kind, personal_data, spans_text
+
+    base, every = F.col("base"), F.sort_array(F.concat("base", "added"))
+    return personal_data(table(spark, sf_dir, "documents")).select(
+        "doc_id", *(count_kind(base, k).alias(f"n_{k}") for k in KINDS), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(every).alias("spans"), F.size("added").cast("long").alias("n_added")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_token_ids": op8_token_ids,
     "op9_decontaminate": op9_decontaminate,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
