@@ -10,15 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Chunks that a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Letters, a number, or signs, with a blank in front or not; Latin letters only.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+")
-PLAIN = re.compile(r" ?[!-~À-ÖØ-öø-ÿ]+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
 
 class _Spaced(Exception):
@@ -34,17 +33,15 @@ def byte_letters() -> list[str]:
 
 
 class _Chunks(dict):
-    """Chunk -> its ids as little-endian 16-bit integers."""
+    """Chunk -> its ids as 16-bit integers."""
 
     def __init__(self, encoder: Encoder, prefix: str) -> None:
         self.encoder, self.prefix = encoder, prefix
 
     def __missing__(self, chunk: str) -> bytes:
-        if not chunk or not chunk.isascii() and any(c.isspace() for c in chunk) or len(chunk.split()) != 1 or len(chunk.strip()) != len(chunk):
-            raise _Spaced
         if len(self) > REMEMBERED:
             self.clear()
-        found = self[chunk] = self.encoder.chunk(self.prefix + chunk)
+        found = self[chunk] = self.encoder.chunk(self.prefix + chunk) if PLAIN.fullmatch(chunk) else self.encoder.odd(self.prefix, chunk)
         return found
 
 
@@ -60,28 +57,44 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the ids do not fit 16 bits")
         self.first, self.other = _Chunks(self, ""), _Chunks(self, " ")
-        self.line_feed = self.chunk("\n")
-        self.signs: dict[str, list[int]] = {}
+        self.blank = self.letters[0x20]
+        self.short: dict[str, bytes] = {}
+        self.line_feed = self.whole("\n")
 
-    def piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
+    def piece(self, piece: str) -> bytes:
+        """What the model makes of one pre-token."""
+        mapped = piece.replace(" ", self.blank) if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def chunk(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = []
-            for piece in PIECES.findall(text):
-                if len(piece) > 2:
-                    ids += self.piece(piece)
-                else:
-                    if piece not in self.signs:
-                        self.signs[piece] = self.piece(piece)
-                    ids += self.signs[piece]
-        return np.array(ids, "<u2").tobytes()
+        """A chunk of Latin letters, numbers and signs, with or without a blank in front."""
+        pieces = PIECES.findall(text)
+        if len(pieces) == 1:
+            return self.piece(text)
+        out = []
+        for piece in pieces:
+            if len(piece) < 3:
+                if piece not in self.short:
+                    self.short[piece] = self.piece(piece)
+                out.append(self.short[piece])
+            else:
+                # the word may stand alone elsewhere
+                spaced = piece[0] == " "
+                known = (self.other if spaced else self.first).get(piece[spaced:])
+                out.append(known if known is not None else self.piece(piece))
+        return b"".join(out)
+
+    def odd(self, prefix: str, chunk: str) -> bytes:
+        """Any other chunk: the library takes it whole, or all of the text."""
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace() or len(chunk.split()) != 1:
+            raise _Spaced
+        return self.whole(prefix + chunk)
+
+    def whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text, as little-endian 16-bit integers."""
+        """The ids of a whole text, as 16-bit integers."""
         if not text:
             return b""
         if not any(a in text for a in self.added):
@@ -93,7 +106,7 @@ class Encoder:
                 return self.line_feed.join(out)
             except _Spaced:
                 pass
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return self.whole(text)
 
 
 @lru_cache(2)
