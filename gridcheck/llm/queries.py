@@ -46,6 +46,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3).taken().drop("source")
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", folds=5, threshold=0.3)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op6_quality_model": op6_quality_model,
     "op7_token_counts": op7_token_counts,
     "op8_token_ids": op8_token_ids,
     "op9_decontaminate": op9_decontaminate,
