@@ -21,6 +21,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", folds=5, threshold=0.5)
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import score_texts
 
@@ -83,6 +89,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_lm_score": op2_lm_score,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
