@@ -131,3 +131,16 @@ def quality_rules(
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
         .drop("__host_key", "text_key")
     )
+
+
+def kept_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, unchanged.
+
+    The verdict depends on host and text alone, so both join it back to the
+    rows: by the host and two 64-bit hashes of the text.
+    """
+    key = [F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("__h"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__a"), F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit(""))).alias("__b")]
+    verdicts = quality_rules(docs.select(*key, F.col(host_col).alias("host"), F.col(text_col).alias("text")), "host", "text", **options)
+    kept = verdicts.filter("kept").select("__h", "__a", "__b").distinct()
+    keyed = docs.select("*", *key)
+    return keyed.join(kept, ["__h", "__a", "__b"], "left_semi").select(*docs.columns)
