@@ -3,8 +3,9 @@
 Everything is DataFrame functions.  The statistics come from one pass over the
 texts, which also writes the hashes of each document's normalised lines.  The
 lines' frequencies are counted per host over document families: documents that
-share the smallest hash of their three-word windows count once, so copies and
-near copies of one document do not make its lines look like boilerplate.
+share the smallest and the largest hash of their three-word windows count once,
+so copies and most near copies of one document do not make its lines look like
+boilerplate.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Frequent lines that may go to every task; beyond it the join shuffles.
 BROADCAST_LINES = 200_000
 
-_LONG0 = F.lit(0).cast("long")
+
+def _zero() -> Column:
+    return F.lit(0).cast("long")
 
 
 def _normal(line: Column) -> Column:
@@ -56,13 +59,13 @@ def text_statistics(docs: DataFrame, text_col: str = "text", window: int = 3) ->
         F.transform("filled", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.regexp_count(x, F.lit(WORD_PATTERN)).alias("words"))).alias("lines"),
     )
     named = [*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "text_key", "lines"]
-    family = F.coalesce(F.array_min("hashes"), F.col("text_key.a")).alias("family")
+    family = F.when(F.size("hashes") > 0, F.xxhash64(F.array_min("hashes"), F.array_max("hashes"))).otherwise(F.col("text_key.a")).alias("family")
     unique = F.size(F.array_distinct("hashes")) == F.size("hashes")
     step = step.select(*named, family, F.when(~unique, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("ordered"))
     step = step.select(*named, "family", F.when(F.col("ordered").isNotNull(), _repeated_places()).alias("at"))
     gaps = F.transform("at", lambda p, k: F.least(F.lit(window), F.coalesce(F.get("at", k + 1) - p, F.lit(window))))
-    covered = F.aggregate(gaps, _LONG0, lambda a, x: a + x)
-    return step.select(*named, "family", F.coalesce(covered, _LONG0).alias("n_repeat_words"))
+    covered = F.aggregate(gaps, _zero(), lambda a, x: a + x)
+    return step.select(*named, "family", F.coalesce(covered, _zero()).alias("n_repeat_words"))
 
 
 def frequent_lines(stats: DataFrame, host_col: str, least_docs: int = 50, share: float = 0.02) -> DataFrame:
@@ -124,8 +127,8 @@ def quality_rules(
     return (
         stats.drop("lines", "family")
         .join(removed, ["__host_key", "text_key"], "left")
-        .withColumn("n_removed_words", F.coalesce("n_removed_words", _LONG0))
-        .withColumn("n_removed_lines", F.coalesce("n_removed_lines", _LONG0))
+        .withColumn("n_removed_words", F.coalesce("n_removed_words", _zero()))
+        .withColumn("n_removed_lines", F.coalesce("n_removed_lines", _zero()))
         .withColumn("base_failed", failed)
         .withColumn("depleted", depleted)
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
