@@ -30,7 +30,10 @@ def dirty(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", a.alias("a"), b.alias("b"), c.alias("c"))
 
 
-KEY = row_key("l_orderkey", "l_linenumber")
+def line_key():
+    return row_key("l_orderkey", "l_linenumber")
+
+
 KEY_SQL = "l_orderkey || '|' || l_linenumber"
 
 
@@ -42,7 +45,7 @@ KEY_SQL = "l_orderkey || '|' || l_linenumber"
     UNION ALL SELECT {KEY_SQL}, 'c', 'diag.boolean.invalid', c FROM d WHERE trim(c) <> '' AND c NOT IN ('0', '1')""",
 )
 def check_columns(spark: SparkSession, d: str) -> DataFrame:
-    long = C.melt(dirty(spark, d), KEY, ["a", "b", "c"])
+    long = C.melt(dirty(spark, d), line_key(), ["a", "b", "c"])
     return C.check_columns(long, "lineitem", {"a": "int", "b": "float", "c": "boolean"}).select("row_key", "col", "code", "value")
 
 
@@ -55,7 +58,7 @@ def check_columns(spark: SparkSession, d: str) -> DataFrame:
 )
 def stored_boolean(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("a")
-    return dirty(spark, d).filter(F.trim(v) != "").select(KEY.alias("row_key"), v.alias("value"), (~C.not_stored_boolean(v)).alias("valid"), C.stored_boolean(v, "stored").alias("enabled"))
+    return dirty(spark, d).filter(F.trim(v) != "").select(line_key().alias("row_key"), v.alias("value"), (~C.not_stored_boolean(v)).alias("valid"), C.stored_boolean(v, "stored").alias("enabled"))
 
 
 @R.add(
@@ -84,7 +87,7 @@ def check_code_range(spark: SparkSession, d: str) -> DataFrame:
     FROM d WHERE regexp_full_match(a, '[+-]?[0-9]+') AND (l_partkey > 255 OR (a LIKE '-%' AND l_partkey <> 0))""",
 )
 def check_uint(spark: SparkSession, d: str) -> DataFrame:
-    long = C.melt(dirty(spark, d), KEY, ["a"])
+    long = C.melt(dirty(spark, d), line_key(), ["a"])
     return C.check_uint(long, "lineitem", ["a"], 8).select("row_key", "value", F.col("args")["stored"].alias("stored"))
 
 
@@ -105,7 +108,7 @@ def check_lengths(spark: SparkSession, d: str) -> DataFrame:
     SELECT {KEY_SQL} AS row_key, CAST(length(a) - length(ltrim(a, ' ')) AS BIGINT) AS leading, CAST(length(a) - length(rtrim(a, ' ')) AS BIGINT) AS trailing, replace(a, ' ', '·') AS visible FROM d WHERE a LIKE ' %'""",
 )
 def whitespace_hint(spark: SparkSession, d: str) -> DataFrame:
-    rows = dirty(spark, d).filter(F.col("a").startswith(" ")).select(KEY.alias("row_key"), F.col("a").alias("value"))
+    rows = dirty(spark, d).filter(F.col("a").startswith(" ")).select(line_key().alias("row_key"), F.col("a").alias("value"))
     return C.with_whitespace_hint(rows).select("row_key", F.col("leading").cast("long"), F.col("trailing").cast("long"), "visible")
 
 
@@ -134,7 +137,7 @@ def melted(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("prj5_display_context", f"WITH d AS ({DIRTY_SQL}) SELECT {KEY_SQL} AS row_key, CASE WHEN trim(c) <> '' THEN trim(c) WHEN trim(b) <> '' THEN trim(b) WHEN trim(a) <> '' THEN trim(a) END AS display FROM d")
 def display(spark: SparkSession, d: str) -> DataFrame:
-    return C.display_context(dirty(spark, d), KEY, ["c", "b", "a"])
+    return C.display_context(dirty(spark, d), line_key(), ["c", "b", "a"])
 
 
 @R.add(
