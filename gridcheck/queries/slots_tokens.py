@@ -294,3 +294,33 @@ def enrichment(spark: SparkSession, d: str) -> DataFrame:
 def metadata(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "lineitem").agg(F.count("*").alias("n")).withColumn("t", F.lit("lineitem")).unionByName(table(spark, d, "part").agg(F.count("*").alias("n")).withColumn("t", F.lit("part")))
     return Contract.of(CONTRACT).metadata(spark).join(counts, F.col("table") == F.col("t")).select("table", "col", "max_chars", "n")
+
+
+@R.add(
+    "tok4_secondary_families",
+    f"""WITH w AS ({WIDE_SQL}), c AS ({CELLS_SQL}) SELECT CAST(l_orderkey AS VARCHAR) AS row_key, 'b mod ' || slot AS col, item AS value FROM c WHERE slot <= 5 AND item <> '' AND item <> '7'
+      AND NOT EXISTS (SELECT 1 FROM part WHERE p_size <= 25 AND CAST(p_partkey AS VARCHAR) = item) AND NOT EXISTS (SELECT 1 FROM supplier WHERE CAST(s_suppkey AS VARCHAR) = item)""",
+)
+def families(spark: SparkSession, d: str) -> DataFrame:
+    from gridcheck.operators import refs as X
+
+    rows = wide(spark, d).select("l_orderkey", *(F.col(f"Item{k}").alias(f"b mod {k}") for k in range(1, 6)))
+    keys = X.union_keys([(table(spark, d, "part").filter("p_size <= 25"), "p_partkey"), (table(spark, d, "supplier"), "s_suppkey")])
+    long = C.melt(rows, row_key("l_orderkey"), C.expand_numbered(rows.columns, "B mod #"))
+    return X.check_reference(long, "orders", keys, "part|supplier", skip=["7"]).select("row_key", "col", "value")
+
+
+@R.add("frm7_alias_hint", "SELECT CAST(p_partkey AS VARCHAR) AS row_key, 'par' || (10 + p_size % 11) AS identifier, 'par' || CASE WHEN p_size % 11 = 10 THEN '2' ELSE '1' END AS read_as, CASE WHEN p_size % 11 BETWEEN 2 AND 5 THEN 'pa' || (10 + p_size % 11) END AS hint FROM part")
+def alias_hint(spark: SparkSession, d: str) -> DataFrame:
+    number = (10 + F.col("p_size") % 11).cast("string")
+    rows = table(spark, d, "part").withColumn("calc", F.concat(F.lit("par"), number, F.lit("+par9*2")))
+    words = spark.createDataFrame([(w,) for w in ("par1", "par2", "pa12", "pa13", "pa14", "pa15")], "key string")
+    return T.with_alias_hint(T.formula_tokens(rows, row_key("p_partkey"), ["calc"]), words).select("row_key", "identifier", "read_as", "hint")
+
+
+@R.add("udf3_table_lookups", "SELECT 'value' AS kind, p_brand AS value, CAST(NULL AS BIGINT) AS first_line FROM part UNION ALL SELECT 'filtered', p_name, NULL FROM part WHERE p_size = 7 UNION ALL SELECT 'first', lower(p_type), min(p_partkey) FROM part GROUP BY lower(p_type)")
+def lookups(spark: SparkSession, d: str) -> DataFrame:
+    tables = TableSet({"Part": table(spark, d, "part")}, Contract.of(CONTRACT))
+    none = F.lit(None).cast("long").alias("first_line")
+    first = tables.first_lines("part", "P_TYPE", "p_partkey").select(F.lit("first").alias("kind"), F.col("key").alias("value"), "first_line")
+    return tables.values("PART", "p_brand").select(F.lit("value").alias("kind"), "value", none).unionByName(tables.filtered_values("part", "p_name", "p_size", "7").select(F.lit("filtered").alias("kind"), "value", none)).unionByName(first)

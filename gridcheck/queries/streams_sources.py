@@ -100,3 +100,43 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     out = X.stream_severity_counts(source.withColumn("severity", severity), "ts", "1 day", "1 hour")
     out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "severity", "n")
+
+
+@R.add(
+    "src5_verify_manifest",
+    """WITH f AS (SELECT source || '/' || doc_id || '.txt' AS path, doc_id, text, octet_length(encode(text)) AS n FROM documents)
+    SELECT path, CASE doc_id % 11 WHEN 0 THEN 'not-listed' WHEN 1 THEN 'size' WHEN 2 THEN 'sha256' ELSE 'missing' END AS code FROM f WHERE doc_id % 11 < 3 OR doc_id % 11 = 3""",
+)
+def manifest(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 11
+    docs = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    size, sha = F.octet_length("content").cast("long"), F.sha2("content", 256)
+    listed = docs.filter(k != 0).select(F.lit("docs").alias("dataset"), "path", (size + F.when(k == 1, 1).otherwise(0)).alias("bytes"), F.lit("utf-8").alias("encoding"), F.when(k == 2, F.reverse(sha)).otherwise(F.upper(sha)).alias("sha256"))
+    return S.verify_manifest(docs.filter(k != 3).select("path", "content"), listed)
+
+
+@R.add("src5_dataset_digests", "SELECT source AS dataset, CAST(count(*) AS BIGINT) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, sha256(string_agg(sha256(text) || '  ' || lower('D/' || doc_id) || chr(10), '' ORDER BY sha256(text) || '  ' || lower('D/' || doc_id) || chr(10))) AS digest FROM documents GROUP BY source")
+def digests(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    listed = docs.select(F.col("source").alias("dataset"), F.concat(F.lit("D/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    return S.dataset_digests(listed)
+
+
+@R.add("src7_10_with_scope", "SELECT page_id, regexp_extract(url, '^(.*)[/][^/]*$', 1) AS scope, lower(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)[.][^.]*$', '\\1')) AS stem FROM pages")
+def scope(spark: SparkSession, d: str) -> DataFrame:
+    from gridcheck.functions.scalar import path_stem
+
+    return S.with_scope(table(spark, d, "pages").withColumnRenamed("url", "path")).select("page_id", "scope", path_stem(F.col("path")).alias("stem"))
+
+
+@R.add("src2_decode_text", "SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'utf-16-le' WHEN 1 THEN 'utf-8-bom' ELSE 'utf-8' END AS detected_encoding FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'utf-16-le' WHEN 1 THEN 'utf-8-bom' ELSE 'utf-8' END FROM documents WHERE doc_id % 4 = 3")
+def decoded(spark: SparkSession, d: str) -> DataFrame:
+    k, t = F.col("doc_id") % 3, F.col("text")
+    content = F.when(k == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(t, "UTF-16LE"))).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(t, "UTF-8"))).otherwise(F.encode(t, "UTF-8"))
+    return S.decode_text(table(spark, d, "documents").select("doc_id", content.alias("content"))).select("doc_id", "text", "detected_encoding")
+
+
+@R.add("agg7_load_stats", "SELECT CAST(count(*) AS BIGINT) AS discovered, CAST(count(CASE WHEN doc_id % 5 <> 0 THEN 1 END) AS BIGINT) AS parsed, CAST(count(CASE WHEN doc_id % 5 = 0 THEN 1 END) AS BIGINT) AS failed FROM documents")
+def stats(spark: SparkSession, d: str) -> DataFrame:
+    mark = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"), F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("41"))).otherwise(F.unhex(F.lit(""))))
+    return S.load_stats(S.decode_text(table(spark, d, "documents").select(mark.alias("content"))))
