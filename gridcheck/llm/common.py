@@ -61,7 +61,10 @@ def ascii_lower(c: Column) -> Column:
 
 
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(n).to_pylist() for n in names))
+    """The rows of some columns; a few hundred at a time become Python values."""
+    for at in range(0, batch.num_rows, 256):
+        part = batch.slice(at, 256)
+        yield from zip(*(part.column(n).to_pylist() for n in names))
 
 
 def row_ids() -> Iterator[int]:
