@@ -1,11 +1,13 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a bigram model with absolute discounting over unigrams with
-add-``alpha`` smoothing.  Every word that was seen as a history is a state.  A
-kept bigram is an arc of its history's state; every state has a failure arc,
-which weighs the mass left over and leads to the root, where all words have
-arcs.  A text is scored in one traversal from left to right that carries the
-state and adds up log-probabilities.
+The model is a bigram or trigram model with absolute discounting over unigrams
+with add-``alpha`` smoothing.  Every word that was seen as a history is a state,
+and with trigrams every bigram is.  A kept bigram or trigram is an arc of its
+history's state; every state has a failure arc, which weighs the mass left over
+and leads from a bigram to its last word's state and from there to the root,
+where all words have arcs.  A text is scored in one traversal from left to right that adds up
+log-probabilities: the state after a word is the bigram that ends there, so the
+arcs that a text follows are those of its n-grams, found when they are numbered.
 
 Neither the vocabulary nor the bigrams fit one machine, so no machine holds
 the automaton.  Documents form blocks; a block asks for what occurs in it:
@@ -17,8 +19,10 @@ the automaton.  Documents form blocks; a block asks for what occurs in it:
    leaves over, and answers each block in the order of its question.
    Histories that hold more than ``HOT`` of all words (at most 1 / HOT of them)
    are spread over all ranges by the second word; their sums are a small table.
+   Trigrams go with their first two words, in the order of those, and those of
+   bigrams above ``HOT`` are spread by the third word.
 3. Block and answers meet; they make the part of the automaton that the block
-   needs, and the block's documents are traversed side by side.
+   needs, and the block's documents are traversed.
 """
 
 from __future__ import annotations
@@ -35,10 +39,10 @@ from .common import bucket_of, rows_of, written
 from .ngram_join import mixed
 
 #: Words in one block, about; a longer text is a block of its own.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Words whose bigrams one hash range holds, about.
-RANGE = 4_000_000
-#: Share of all words above which a history is spread.
+RANGE = 2_000_000
+#: Share of all words above which a history, a word or two, is spread.
 HOT = 1e-3
 #: Stands for the end of a text among the hashes of words.
 END = 0x5E5D0E4D
@@ -64,6 +68,18 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return mixed(hashes + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - 8 * NEXT_BYTES)
 
 
+def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(mixed(first) + second)
+
+
+def _hot_numbers(hot: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where the hashes stand in the sorted ``hot``; -1 for others."""
+    if not len(hot):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+    return np.where(hot[at] == hashes, at, -1)
+
+
 def _pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NEXT_BYTES]).tobytes()
 
@@ -109,27 +125,38 @@ class Block:
         """Each word's count in training documents."""
         return np.bincount(self.sequence[self.trained], minlength=len(self.words))
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (first, second) as numbers of words, by first; counts in training documents."""
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (first, second) as numbers of words, by first; counts in training documents; which one starts at each place, or -1."""
         inside = np.ones(len(self.sequence), bool)
         inside[self.ends] = False
         at = np.flatnonzero(inside)
         pair = self.sequence[at].astype(np.uint64) << np.uint64(32) | self.sequence[at + 1].astype(np.uint64)
         pairs, which = np.unique(pair, return_inverse=True)
         counts = np.bincount(which[self.trained[at]], minlength=len(pairs))
-        return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), counts
+        starts = np.full(len(self.sequence), -1, np.int32)
+        starts[at] = which
+        return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), counts, starts
+
+    def trigrams(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (bigram, third) as numbers, by bigram; counts in training documents; which one starts at each place, or -1."""
+        at = np.flatnonzero((starts[:-1] >= 0) & (starts[1:] >= 0))
+        triple = starts[at].astype(np.uint64) << np.uint64(32) | self.sequence[at + 2].astype(np.uint64)
+        triples, which = np.unique(triple, return_inverse=True)
+        counts = np.bincount(which[self.trained[at]], minlength=len(triples))
+        starts3 = np.full(len(self.sequence), -1, np.int32)
+        starts3[at] = which
+        return (triples >> np.uint64(32)).astype(np.int32), (triples & np.uint64(0xFFFFFFFF)).astype(np.int32), counts, starts3
 
 
 class Question:
     """What a block asks each range, always in the same order."""
 
-    def __init__(self, block: Block, hot: np.ndarray, ranges: int) -> None:
+    def __init__(self, block: Block, hot: np.ndarray, hot_pairs: np.ndarray, ranges: int, order: int) -> None:
         self.block = block
-        self.first, self.second, self.times = block.bigrams()
+        self.first, self.second, self.times, self.starts = block.bigrams()
         where = lambda h: (mixed(h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         self.word_range = where(block.words).astype(np.int64)
-        at = np.searchsorted(hot, block.words)
-        self.hot_number = np.where(hot[np.minimum(at, len(hot) - 1)] == block.words, at, -1) if len(hot) else np.full(len(block.words), -1)
+        self.hot_number = _hot_numbers(hot, block.words)
         is_hot = self.hot_number[self.first] >= 0
         self.word_order = np.argsort(self.word_range, kind="stable")
         self.word_bounds = np.searchsorted(self.word_range[self.word_order], np.arange(ranges + 1))
@@ -140,8 +167,26 @@ class Question:
         self.plain = plain[np.argsort(place[self.first[plain]], kind="stable")]
         self.plain_bounds = np.searchsorted(self.word_range[self.first[self.plain]], np.arange(ranges + 1))
         to = where(mixed(block.words[self.second[spread]])).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        self.spread, self.spread_bounds = spread[order], np.searchsorted(to[order], np.arange(ranges + 1))
+        by = np.argsort(to, kind="stable")
+        self.spread, self.spread_bounds = spread[by], np.searchsorted(to[by], np.arange(ranges + 1))
+        if order < 3:
+            return
+        self.pair, self.third, self.times3, self.starts3 = block.trigrams(self.starts)
+        # a range's bigrams are its plain ones, then its spread ones; trigrams come in that order
+        self.pair_bounds = self.plain_bounds + self.spread_bounds
+        self.pair_place = np.empty(len(self.first), np.int64)
+        for r in range(ranges):
+            _, plain, spread = self.parts(r)
+            self.pair_place[plain] = self.pair_bounds[r] + np.arange(len(plain))
+            self.pair_place[spread] = self.pair_bounds[r] + len(plain) + np.arange(len(spread))
+        self.hot_pair = _hot_numbers(hot_pairs, _pair_hashes(block.words[self.first], block.words[self.second]))
+        is_hot = self.hot_pair[self.pair] >= 0
+        plain, spread = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+        self.plain3 = plain[np.argsort(self.pair_place[self.pair[plain]], kind="stable")]
+        self.plain3_bounds = np.searchsorted(self.pair_place[self.pair[self.plain3]], self.pair_bounds)
+        to = where(mixed(block.words[self.third[spread]])).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        self.spread3, self.spread3_bounds = spread[by], np.searchsorted(to[by], np.arange(ranges + 1))
 
     def parts(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, plain bigrams and spread bigrams of a range, as numbers in the block."""
@@ -149,38 +194,38 @@ class Question:
         return cut(self.word_order, self.word_bounds), cut(self.plain, self.plain_bounds), cut(self.spread, self.spread_bounds)
 
 
+    def parts3(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """Plain and spread trigrams of a range, as numbers in the block."""
+        return self.plain3[self.plain3_bounds[r] : self.plain3_bounds[r + 1]], self.spread3[self.spread3_bounds[r] : self.spread3_bounds[r + 1]]
+
+
 class Automaton:
     """The part of the automaton that a block needs.
 
-    State 0 is the root; word w's state is w + 1.  ``arcs`` are the sorted keys
-    of kept bigrams, state << 32 | word, with weights beside them.
+    The states are the root, the words and the bigrams of the block.  ``root``
+    are the weights of the root's arcs, ``ways`` those of the ways from the first
+    word of a bigram over its second: the arc, or the failure arc and the rest.
+    ``ways3`` are the same from a bigram over the third word.
     """
 
-    def __init__(self, root: np.ndarray, fail: np.ndarray, arcs: np.ndarray, weights: np.ndarray) -> None:
-        self.root, self.fail, self.arcs, self.weights = root, np.append(0.0, fail), arcs, weights
-
-    def scores(self, sequence: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Traverses all texts side by side, one word of each at a time."""
-        order = np.argsort(-lengths, kind="stable")
-        starts = (np.cumsum(lengths) - lengths)[order]
-        total, state = np.zeros(len(lengths)), np.zeros(len(lengths), np.int64)
-        active = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), "left")
-        for step, n in enumerate(active):
-            word = sequence[starts[:n] + step].astype(np.int64)
-            key = state[:n] << 32 | word
-            at = np.searchsorted(self.arcs, key)
-            at[at == len(self.arcs)] = 0
-            hit = self.arcs[at] == key if len(self.arcs) else np.zeros(n, bool)
-            total[:n] += np.where(hit, self.weights[at] if len(self.arcs) else 0.0, self.fail[state[:n]] + self.root[word])
-            state[:n] = word + 1
-        out = np.empty(len(lengths))
-        out[order] = total
-        return out
+    def __init__(self, q: Question, root: np.ndarray, ways: np.ndarray, ways3: np.ndarray | None = None) -> None:
+        self.q, self.root, self.ways, self.ways3 = q, root, ways, ways3
+
+    def scores(self) -> np.ndarray:
+        """Traverses all texts of the block."""
+        block = self.q.block
+        steps = self.root[block.sequence]
+        at = np.flatnonzero(self.q.starts >= 0)
+        steps[at + 1] = self.ways[self.q.starts[at]]
+        if self.ways3 is not None:
+            at = np.flatnonzero(self.q.starts3 >= 0)
+            steps[at + 2] = self.ways3[self.q.starts3[at]]
+        return np.add.reduceat(steps, np.cumsum(block.lengths) - block.lengths)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """Rows (block, ids, held, lengths, words, sequence, tops), in the shared folder."""
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["id"].dataType)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType()), T.StructField("sequence", T.BinaryType()), T.StructField("tops", T.ArrayType(T.LongType())), T.StructField("top_counts", T.ArrayType(T.LongType()))])
+def _blocks(docs: DataFrame, order: int) -> DataFrame:
+    """Rows (block, ids, held, lengths, words, sequence, tops, pair_tops), in the shared folder."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["id"].dataType)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType()), T.StructField("sequence", T.BinaryType()), T.StructField("tops", T.ArrayType(T.LongType())), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("top_counts", "pair_tops", "pair_counts"))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -194,7 +239,16 @@ def _blocks(docs: DataFrame) -> DataFrame:
             rank = np.empty(len(by), np.uint32)
             rank[by] = np.arange(len(by), dtype=np.uint32)
             often = by[: np.searchsorted(-counts[by], -HOT * counts.sum() / 10, "right")]
-            values = [number, ids, held, [len(h) for h in hashes], words[by].tobytes(), _zip(rank[which]), words[often].astype(np.int64), counts[often]]
+            lengths, sequence, pairs, times = [len(h) for h in hashes], rank[which], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            if order > 2:
+                # a bigram that is frequent is of frequent words
+                near = sequence < len(often)
+                near[np.cumsum(lengths) - 1] = False
+                at = np.flatnonzero(near[:-1] & (sequence[1:] < len(often)))
+                codes, times = np.unique(sequence[at].astype(np.int64) << 32 | sequence[at + 1].astype(np.int64), return_counts=True)
+                codes, times = codes[times >= HOT * counts.sum() / 10], times[times >= HOT * counts.sum() / 10]
+                pairs = _pair_hashes(words[by[codes >> 32]], words[by[codes & 0xFFFFFFFF]])
+            values = [number, ids, held, lengths, words[by].tobytes(), _zip(sequence), words[often].astype(np.int64), counts[often], pairs.astype(np.int64), times]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
 
         ids, held, hashes, size = [], [], [], 0
@@ -217,14 +271,15 @@ def _block(words: bytes, sequence: bytes, lengths: list[int], held: list[bool])
     return Block(np.frombuffer(words, np.uint64), _unzip(sequence, np.uint32), np.array(lengths, np.int64), np.array(held, bool))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, alpha: float = 0.1, discount: float = 0.75, least: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, alpha: float = 0.1, discount: float = 0.75, least: int = 2, order: int = 2) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32 of the id as text, modulo ``folds``, is not 0;
     all rows are scored.  A-Z are lowered, words end at ASCII white space, an
     end follows the last one.  ``base_score`` is the unigram log10 probability,
-    ``score`` the automaton's; bigrams below ``least`` have no arc, their
-    counts stay in the mass that failure arcs give on.
+    ``score`` the automaton's; n-grams below ``least`` have no arc, their
+    counts stay in the mass that failure arcs give on.  ``order`` is 2 for
+    bigrams, 3 for trigrams over them.
 
     A null or empty text is just its end.  A row with a null id is held out.
     Repeated rows are learnt and scored each.  Without training rows all words
@@ -233,21 +288,25 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     held = F.coalesce(bucket_of(id_col, folds) == 0, F.lit(True))
-    blocks = _blocks(docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text")))
+    blocks = _blocks(docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text")), order)
     total = blocks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     ranges = int(total // RANGE + 1)
-    tops = blocks.select(F.explode(F.arrays_zip("tops", "top_counts")).alias("x")).groupBy(F.col("x.tops").alias("word")).agg(F.sum("x.top_counts").alias("n")).filter(F.col("n") >= 0.9 * HOT * total)
-    hot = np.sort(np.array([r.word for r in tops.collect()], np.int64).astype(np.uint64))
-    sent_hot = spark.sparkContext.broadcast(hot)
+
+    def often(hashes: str, counts: str) -> np.ndarray:
+        tops = blocks.select(F.explode(F.arrays_zip(hashes, counts)).alias("x")).groupBy(F.col(f"x.{hashes}").alias("hash")).agg(F.sum(f"x.{counts}").alias("n")).filter(F.col("n") >= 0.9 * HOT * total)
+        return np.sort(np.array([r.hash for r in tops.collect()], np.int64).astype(np.uint64))
+
+    hot, hot_pairs = often("tops", "top_counts"), often("pair_tops", "pair_counts")
+    sent_hot = spark.sparkContext.broadcast((hot, hot_pairs))
     binary = lambda *names: [T.StructField(n, T.BinaryType()) for n in names]
-    asked = T.StructType([T.StructField("range", T.LongType()), T.StructField("block", T.LongType()), *binary("words", "counts", "fans", "nexts", "times", "hot_first", "hot_nexts", "hot_times")])
-    answered = T.StructType([T.StructField("block", T.LongType()), T.StructField("range", T.LongType()), *binary("counts", "left", "times", "hot_times"), T.StructField("tokens", T.LongType()), T.StructField("types", T.LongType()), T.StructField("hot_taken", T.ArrayType(T.DoubleType()))])
+    asked = T.StructType([T.StructField("range", T.LongType()), T.StructField("block", T.LongType()), *binary("words", "counts", "fans", "nexts", "times", "hot_first", "hot_nexts", "hot_times", "fans3", "nexts3", "times3", "hot_first3", "hot_nexts3", "hot_times3")])
+    answered = T.StructType([T.StructField("block", T.LongType()), T.StructField("range", T.LongType()), *binary("counts", "left", "times", "hot_times", "kinds3", "lost3", "times3", "hot_times3"), T.StructField("tokens", T.LongType()), T.StructField("types", T.LongType()), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("hot_taken", "hot_taken3"))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, words, sequence, lengths, out in rows_of(batch, "block", "words", "sequence", "lengths", "held"):
                 block = _block(words, sequence, lengths, out)
-                q, counts = Question(block, sent_hot.value, ranges), block.counts()
+                q, counts = Question(block, *sent_hot.value, ranges, order), block.counts()
                 rows = []
                 for r in range(ranges):
                     mine, plain, spread = q.parts(r)
@@ -257,7 +316,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         "nexts": _pack(_short(block.words[q.second[plain]])), "times": _zip(q.times[plain].astype(np.uint64)),
                         "hot_first": _zip(q.hot_number[q.first[spread]].astype(np.uint16)), "hot_nexts": _pack(_short(block.words[q.second[spread]])), "hot_times": _zip(q.times[spread].astype(np.uint64)),
                     })
-                yield pa.RecordBatch.from_pylist(rows, schema=_arrow(asked))
+                    if order > 2:
+                        plain3, spread3 = q.parts3(r)
+                        fans3 = np.bincount(q.pair_place[q.pair[plain3]] - q.pair_bounds[r], minlength=len(plain) + len(spread))
+                        rows[-1] |= {
+                            "fans3": _zip(fans3.astype(np.uint32)), "nexts3": _pack(_short(block.words[q.third[plain3]])), "times3": _zip(q.times3[plain3].astype(np.uint64)),
+                            "hot_first3": _zip(q.hot_pair[q.pair[spread3]].astype(np.uint16)), "hot_nexts3": _pack(_short(block.words[q.third[spread3]])), "hot_times3": _zip(q.times3[spread3].astype(np.uint64)),
+                        }
+                    if len(rows) == 16 or r == ranges - 1:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_arrow(asked))
+                        rows = []
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -271,23 +339,39 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         np.add.at(taken, plain.first, plain.times - discount)
         left = 1 - taken / np.maximum(counts, 1)
         spread = _Summed(np.concatenate([_unzip(x["hot_first"], np.uint16) for x in rows]).astype(np.int64), [_unpack(x["hot_nexts"]) for x in rows], [_unzip(x["hot_times"], np.uint64) for x in rows], least)
-        hot_taken = np.zeros(len(sent_hot.value))
+        hot_taken = np.zeros(len(sent_hot.value[0]))
         np.add.at(hot_taken, spread.first, spread.times - discount)
+        if order > 2:
+            # the histories of trigrams: plain bigrams, then spread ones, with the numbers of their sums
+            pairs = [np.concatenate([plain.numbers(i), len(plain.total) + spread.numbers(i)]) for i in range(len(rows))]
+            first = np.concatenate([np.repeat(p, _unzip(x["fans3"], np.uint32).astype(np.int64)) for p, x in zip(pairs, rows)])
+            plain3 = _Summed(first, [_unpack(x["nexts3"]) for x in rows], [_unzip(x["times3"], np.uint64) for x in rows], least)
+            both = np.concatenate([plain.total, spread.total])
+            kinds3 = np.bincount(plain3.first, minlength=len(both))
+            lost3 = np.maximum(both - np.bincount(plain3.first, plain3.times, len(both)).astype(np.int64), 0)
+            spread3 = _Summed(np.concatenate([_unzip(x["hot_first3"], np.uint16) for x in rows]).astype(np.int64), [_unpack(x["hot_nexts3"]) for x in rows], [_unzip(x["hot_times3"], np.uint64) for x in rows], least)
+            hot_taken3 = np.bincount(spread3.first, spread3.times - discount, len(sent_hot.value[1]))
         out, at = [], 0
         for i, x in enumerate(rows):
             own = which[at : at + len(words[i])]
             at += len(words[i])
             once = i == 0
             out.append({"block": x["block"], "range": x["range"], "counts": _zip(counts[own].astype(np.uint64)), "left": _zip(left[own]), "times": _zip(plain.of(i)), "hot_times": _zip(spread.of(i)), "tokens": int(counts.sum()) if once else 0, "types": int((counts > 0).sum()) if once else 0, "hot_taken": hot_taken.tolist() if once else None})
+            if order > 2:
+                out[-1] |= {"kinds3": _zip(kinds3[pairs[i]].astype(np.uint32)), "lost3": _zip(lost3[pairs[i]].astype(np.uint64)), "times3": _zip(plain3.of(i)), "hot_times3": _zip(spread3.of(i)), "hot_taken3": hot_taken3.tolist() if once else None}
         return pa.Table.from_pylist(out, schema=_arrow(answered))
 
     answers = written(blocks.select("block", "words", "sequence", "lengths", "held").mapInArrow(ask, asked).repartition(ranges, "range").groupBy("range").applyInArrow(answer, answered), "answers")
     sums = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     tokens, types = sums.tokens or 0, sums.types or 0
-    hot_taken = np.zeros(len(hot))
-    for r in answers.select(F.posexplode("hot_taken")).groupBy("pos").agg(F.sum("col").alias("taken")).collect():
-        hot_taken[r.pos] = r.taken
-    sent_taken = spark.sparkContext.broadcast(hot_taken)
+
+    def summed(name: str, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        for r in answers.select(F.posexplode(name)).groupBy("pos").agg(F.sum("col").alias("taken")).collect():
+            out[r.pos] = r.taken
+        return out
+
+    sent_taken = spark.sparkContext.broadcast((summed("hot_taken", len(hot)), summed("hot_taken3", len(hot_pairs))))
     result = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     floor = tokens + alpha * (types + 1)
 
@@ -296,7 +380,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         replies = {r["range"]: r for r in right.to_pylist()}
         for x in left.to_pylist():
             block = _block(x["words"], x["sequence"], x["lengths"], x["held"])
-            q = Question(block, sent_hot.value, ranges)
+            q = Question(block, *sent_hot.value, ranges, order)
             counts, mass, times = np.zeros(len(block.words), np.int64), np.ones(len(block.words)), np.zeros(len(q.first), np.int64)
             for r in range(ranges):
                 mine, plain, spread = q.parts(r)
@@ -305,13 +389,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 mass[mine] = _unzip(reply["left"], np.float64)
                 times[plain], times[spread] = _unzip(reply["times"], np.uint64), _unzip(reply["hot_times"], np.uint64)
             is_hot = q.hot_number >= 0
-            mass[is_hot] = 1 - sent_taken.value[q.hot_number[is_hot]] / np.maximum(counts[is_hot], 1)
+            mass[is_hot] = 1 - sent_taken.value[0][q.hot_number[is_hot]] / np.maximum(counts[is_hot], 1)
             p = (counts + alpha) / floor
-            kept = times > 0
-            first, second = q.first[kept], q.second[kept]
-            weights = np.log10((times[kept] - discount) / counts[first] + mass[first] * p[second])
-            arcs = (first + 1) << 32 | second  # sorted: the bigrams are
-            scores = Automaton(np.log10(p), np.log10(mass), arcs, weights).scores(block.sequence, block.lengths)
+            kept = times >= max(least, 1)
+            first, second = q.first, q.second
+            ways = mass[first] * p[second]
+            ways[kept] += (times[kept] - discount) / counts[first[kept]]
+            ways3 = _trigram_ways(q, replies, ways, times, sent_taken.value[1], discount, least) if order > 2 else None
+            scores = Automaton(q, np.log10(p), np.log10(ways), ways3).scores()
             firsts = np.cumsum(block.lengths) - block.lengths
             base = np.add.reduceat(np.log10(p)[block.sequence], firsts)
             n_known = np.add.reduceat((counts > 0).astype(np.int64)[block.sequence], firsts)
@@ -320,7 +405,28 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.Table.from_batches(out, schema=arrow)
 
     asking = blocks.select("block", "ids", "held", "lengths", "words", "sequence").groupBy("block")
-    return asking.cogroup(answers.select("block", "range", "counts", "left", "times", "hot_times").groupBy("block")).applyInArrow(score, result)
+    return asking.cogroup(answers.select("block", "range", "counts", "left", "times", "hot_times", "kinds3", "lost3", "times3", "hot_times3").groupBy("block")).applyInArrow(score, result)
+
+
+def _trigram_ways(q: Question, replies: dict, ways: np.ndarray, times: np.ndarray, hot_taken: np.ndarray, discount: float, least: int) -> np.ndarray:
+    """Weights of the ways from the block's bigrams over third words."""
+    taken, times3 = np.zeros(len(times)), np.zeros(len(q.pair), np.int64)
+    for r, reply in replies.items():
+        _, plain, spread = q.parts(r)
+        plain3, spread3 = q.parts3(r)
+        mine = np.concatenate([plain, spread])
+        taken[mine] = times[mine].astype(np.int64) - _unzip(reply["lost3"], np.uint64).astype(np.int64) - discount * _unzip(reply["kinds3"], np.uint32)
+        times3[plain3], times3[spread3] = _unzip(reply["times3"], np.uint64), _unzip(reply["hot_times3"], np.uint64)
+    is_hot = q.hot_pair >= 0
+    taken[is_hot] = hot_taken[q.hot_pair[is_hot]]
+    left = 1 - taken / np.maximum(times, 1)
+    lower = np.empty(len(q.pair), np.int32)
+    at = np.flatnonzero(q.starts3 >= 0)
+    lower[q.starts3[at]] = q.starts[at + 1]
+    ways3 = left[q.pair] * ways[lower]
+    kept = times3 >= max(least, 1)
+    ways3[kept] += (times3[kept] - discount) / times[q.pair[kept]]
+    return np.log10(ways3)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -338,7 +444,7 @@ def _places(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class _Summed:
-    """Bigrams of several questions with their counts added up, those kept."""
+    """N-grams of several questions with their counts added up, and those kept."""
 
     def __init__(self, first: np.ndarray, nexts: list[np.ndarray], times: list[np.ndarray], least: int) -> None:
         pairs = first.astype(np.uint64) << np.uint64(8 * NEXT_BYTES) | np.concatenate(nexts)
@@ -346,11 +452,14 @@ class _Summed:
         pairs, self.which = np.unique(pairs, return_inverse=True)
         total = np.zeros(len(pairs), np.int64)
         np.add.at(total, self.which, np.concatenate(times).astype(np.int64))
-        total[total < least] = 0
         self.total = total
-        kept = np.flatnonzero(total)
+        kept = np.flatnonzero(total >= max(least, 1))
         self.first, self.times = (pairs[kept] >> np.uint64(8 * NEXT_BYTES)).astype(np.int64), total[kept]
 
+    def numbers(self, i: int) -> np.ndarray:
+        """The numbers of question i's n-grams among the sums, in its order."""
+        return self.which[self.bounds[i] : self.bounds[i + 1]]
+
     def of(self, i: int) -> np.ndarray:
-        """The totals for question i, in its order; 0 where not kept."""
-        return self.total[self.which[self.bounds[i] : self.bounds[i + 1]]].astype(np.uint64)
+        """The totals for question i, in its order."""
+        return self.total[self.numbers(i)].astype(np.uint64)

@@ -30,7 +30,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import score_texts
 
-    return score_texts(table(spark, sf_dir, "documents"), folds=10, alpha=0.1)
+    return score_texts(table(spark, sf_dir, "documents"), folds=10, alpha=0.1, least=1, order=3)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
