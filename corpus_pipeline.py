@@ -14,7 +14,7 @@ from gridcheck.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, whole."""
+    """Documents that the quality rules keep, without the lines that are frequent on their host."""
     from gridcheck.llm.quality_rules import kept_documents
 
     return kept_documents(docs, host_col="source")

@@ -104,7 +104,22 @@ def quality_rules(
     rows keep a row each and count once.  An empty table gives an empty result.
     Columns of ``docs`` with the name of a result are replaced.
     """
-    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "family", "text_key", "lines", "words", "filled", "hashes", "ordered", "at", "base_failed", "depleted", "kept", "n_removed_words", "n_removed_lines"}
+    return _verdicts(docs, host_col, text_col, least_words, most_repeated, least_docs, share, left_share, left_words).drop("removed")
+
+
+def _verdicts(
+    docs: DataFrame,
+    host_col: str = "source",
+    text_col: str = "text",
+    least_words: int = 50,
+    most_repeated: int = 50,
+    least_docs: int = 50,
+    share: float = 0.02,
+    left_share: float = 0.4,
+    left_words: int = 25,
+) -> DataFrame:
+    """``quality_rules`` with ``removed``, the hashes of the text's frequent lines, or null."""
+    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "family", "text_key", "lines", "words", "filled", "hashes", "ordered", "at", "base_failed", "depleted", "kept", "n_removed_words", "n_removed_lines", "removed"}
     kept = [c for c in docs.columns if c != text_col and c.lower() not in own]
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("__host_key")
     stats = written(text_statistics(docs.select(*kept, host, text_col), text_col), "statistics")
@@ -117,10 +132,10 @@ def quality_rules(
         .join(frequent, ["__host_key", "line"])
         # copies of a text bring the same lines again: a text's lines count as often as its copies, which are divided out
         .groupBy("__host_key", "text_key")
-        .agg(F.sum("words").alias("w"), F.count("*").alias("l"))
+        .agg(F.sum("words").alias("w"), F.count("*").alias("l"), F.collect_set("line").alias("removed"))
     )
     copies = stats.groupBy("__host_key", "text_key").agg(F.count("*").alias("copies"))
-    removed = removed.join(copies, ["__host_key", "text_key"]).select("__host_key", "text_key", F.expr("w div copies").alias("n_removed_words"), F.expr("l div copies").alias("n_removed_lines"))
+    removed = removed.join(copies, ["__host_key", "text_key"]).select("__host_key", "text_key", F.expr("w div copies").alias("n_removed_words"), F.expr("l div copies").alias("n_removed_lines"), "removed")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < left_share * F.col("n_words")) | (left < left_words))
@@ -137,13 +152,18 @@ def quality_rules(
 
 
 def kept_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged.
+    """The rows of ``docs`` that the rules keep, without the lines that are frequent on their host.
 
+    ``n_chars``, if there is one, is that of the text that is left.
     The verdict depends on host and text alone, so both join it back to the
     rows: by the host and two 64-bit hashes of the text.
     """
     key = [F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("__h"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__a"), F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit(""))).alias("__b")]
-    verdicts = quality_rules(docs.select(*key, F.col(host_col).alias("host"), F.col(text_col).alias("text")), "host", "text", **options)
-    kept = verdicts.filter("kept").select("__h", "__a", "__b").distinct()
-    keyed = docs.select("*", *key)
-    return keyed.join(kept, ["__h", "__a", "__b"], "left_semi").select(*docs.columns)
+    verdicts = _verdicts(docs.select(*key, F.col(host_col).alias("host"), F.col(text_col).alias("text")), "host", "text", **options)
+    kept = verdicts.filter("kept").select("__h", "__a", "__b", F.col("removed").alias("__gone")).dropDuplicates(["__h", "__a", "__b"])
+    keyed = docs.select("*", *key).join(kept, ["__h", "__a", "__b"])
+    left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x: ~(x.rlike(WORD_PATTERN) & F.array_contains("__gone", F.xxhash64(_normal(x))))), "\n")
+    keyed = keyed.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left))
+    if "n_chars" in docs.columns:
+        keyed = keyed.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
+    return keyed.select(*docs.columns)
