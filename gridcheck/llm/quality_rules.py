@@ -68,16 +68,18 @@ def text_statistics(docs: DataFrame, text_col: str = "text", window: int = 3) ->
     return step.select(*named, "family", F.coalesce(covered, _zero()).alias("n_repeat_words"))
 
 
-def frequent_lines(stats: DataFrame, host_col: str, least_docs: int = 50, share: float = 0.02) -> DataFrame:
-    """Per host, the lines of at least ``least_docs`` document families and more than ``share`` of the host's.
+def frequent_lines(stats: DataFrame, host_col: str, least_docs: int = 50, share: float = 0.02, small_docs: int = 30) -> DataFrame:
+    """Per host, the lines of at least ``least_docs`` document families, or of ``small_docs`` and more than ``share`` of the host's.
+
+    The limit never rises above ``least_docs``, whatever the size of the host.
 
     A row has the host (never null), the line's hash and ``n_docs``.  Two levels of
     aggregation: no task gathers all documents of a line or of a host.
     """
     lines = stats.select(host_col, "family", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
-    of_line = lines.groupBy(host_col, "line", "family").agg(F.lit(1).alias("x")).groupBy(host_col, "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
+    of_line = lines.groupBy(host_col, "line", "family").agg(F.lit(1).alias("x")).groupBy(host_col, "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min(least_docs, small_docs))
     of_host = stats.groupBy(host_col, "family").agg(F.lit(1).alias("x")).groupBy(host_col).agg(F.count("*").alias("n_host"))
-    return of_line.join(of_host, host_col).filter(F.col("n_docs") > share * F.col("n_host")).select(host_col, "line", "n_docs")
+    return of_line.join(of_host, host_col).filter((F.col("n_docs") >= least_docs) | (F.col("n_docs") > share * F.col("n_host"))).select(host_col, "line", "n_docs")
 
 
 def quality_rules(
@@ -90,6 +92,7 @@ def quality_rules(
     share: float = 0.02,
     left_share: float = 0.4,
     left_words: int = 25,
+    small_docs: int = 30,
 ) -> DataFrame:
     """The columns of ``docs`` but the text, with the statistics and the verdicts.
 
@@ -104,7 +107,7 @@ def quality_rules(
     rows keep a row each and count once.  An empty table gives an empty result.
     Columns of ``docs`` with the name of a result are replaced.
     """
-    return _verdicts(docs, host_col, text_col, least_words, most_repeated, least_docs, share, left_share, left_words).drop("removed")
+    return _verdicts(docs, host_col, text_col, least_words, most_repeated, least_docs, share, left_share, left_words, small_docs).drop("removed")
 
 
 def _verdicts(
@@ -117,13 +120,14 @@ def _verdicts(
     share: float = 0.02,
     left_share: float = 0.4,
     left_words: int = 25,
+    small_docs: int = 30,
 ) -> DataFrame:
     """``quality_rules`` with ``removed``, the hashes of the text's frequent lines, or null."""
     own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "family", "text_key", "lines", "words", "filled", "hashes", "ordered", "at", "base_failed", "depleted", "kept", "n_removed_words", "n_removed_lines", "removed"}
     kept = [c for c in docs.columns if c != text_col and c.lower() not in own]
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("__host_key")
     stats = written(text_statistics(docs.select(*kept, host, text_col), text_col), "statistics")
-    frequent = written(frequent_lines(stats, "__host_key", least_docs, share).select("__host_key", "line"), "lines")
+    frequent = written(frequent_lines(stats, "__host_key", least_docs, share, small_docs).select("__host_key", "line"), "lines")
     if frequent.count() <= BROADCAST_LINES:
         frequent = F.broadcast(frequent)
     removed = (

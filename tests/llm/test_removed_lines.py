@@ -1,4 +1,4 @@
-from gridcheck.llm.quality_rules import kept_documents
+from gridcheck.llm.quality_rules import kept_documents, quality_rules
 
 COMMON = "Subscribe to our 100 letters now"
 
@@ -25,3 +25,11 @@ def test_kept_texts_lose_frequent_lines(spark):
     assert got.schema == docs.schema
     want = {i: t if s == "b" else "\n".join(x for x in t.split("\n") if not x.startswith("Subscribe")) for i, t, s in rows}
     assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_frequent_lines_on_small_and_large_hosts(spark):
+    page = lambda host, i: words(f"{host}d{letters(i)}x", 60)
+    rows = [(i, page("a", i) + (f"\n{COMMON}" if i < 35 else ""), "a") for i in range(40)]  # a host below 50 documents
+    rows += [(1000 + i, page("b", i) + (f"\n{COMMON}" if i < 55 else "\nrare words here" if i < 74 else ""), "b") for i in range(3000)]  # 1.8 % of a large one
+    got = {r.doc_id: r.n_removed_lines for r in quality_rules(docs_of(spark, rows)).collect()}
+    assert got == {i: int(t.endswith(COMMON)) for i, t, _ in rows}
