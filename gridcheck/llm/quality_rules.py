@@ -2,10 +2,11 @@
 
 Everything is DataFrame functions.  The statistics come from one pass over the
 texts, which also writes the hashes of each document's normalised lines.  The
-lines' frequencies are counted per host over document families: documents that
-share the smallest and the largest hash of their three-word windows count once,
-so copies and most near copies of one document do not make its lines look like
-boilerplate.
+lines' frequencies are counted per host over documents, of which equal texts and
+verified near copies count once, so that copies do not make the lines of one
+document look like boilerplate.  Near copies are sought among the texts that
+share the smallest and the largest hash of their three-word windows; a text is
+one if its windows are ``SIMILAR`` to those of the first text among these.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import WORD_PATTERN, written
 SYMBOLS = r"[#*$%&|<>]"
 #: Frequent lines that may go to every task; beyond it the join shuffles.
 BROADCAST_LINES = 200_000
+#: Jaccard similarity in percent from which a text counts as a copy.
+SIMILAR = 80
 
 
 def _zero() -> Column:
@@ -35,6 +38,15 @@ def _repeated_places() -> Column:
     return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
 
+def _windows(words: Column, window: int) -> Column:
+    n = F.size(words)
+    return F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*(words[i + k] for k in range(window))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _text_key(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def text_statistics(docs: DataFrame, text_col: str = "text", window: int = 3) -> DataFrame:
     """``docs`` without its text, with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, family, text_key and lines (hash and words of each line with words).
@@ -54,8 +66,8 @@ def text_statistics(docs: DataFrame, text_col: str = "text", window: int = 3) ->
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("filled") - F.size(F.array_distinct("filled"))).cast("long").alias("n_dup_lines"),
-        F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*(words[i + k] for k in range(window))))).otherwise(F.array().cast("array<bigint>")).alias("hashes"),
-        F.struct(F.xxhash64("__text").alias("a"), F.xxhash64(F.lit(1), "__text").alias("b")).alias("text_key"),
+        _windows(words, window).alias("hashes"),
+        _text_key(text).alias("text_key"),
         F.transform("filled", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.regexp_count(x, F.lit(WORD_PATTERN)).alias("words"))).alias("lines"),
     )
     named = [*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "text_key", "lines"]
@@ -68,17 +80,38 @@ def text_statistics(docs: DataFrame, text_col: str = "text", window: int = 3) ->
     return step.select(*named, "family", F.coalesce(covered, _zero()).alias("n_repeat_words"))
 
 
-def frequent_lines(stats: DataFrame, host_col: str, least_docs: int = 50, share: float = 0.02, small_docs: int = 30) -> DataFrame:
-    """Per host, the lines of at least ``least_docs`` document families, or of ``small_docs`` and more than ``share`` of the host's.
+def near_copies(docs: DataFrame, stats: DataFrame, host_col: str, text_col: str = "text", window: int = 3) -> DataFrame:
+    """``text_key`` and ``unit`` of a host's texts that are near copies of the text with key ``unit``.
+
+    Only texts whose family has others are read again and compared, each with
+    the first text of its family alone.
+    """
+    texts = stats.groupBy(host_col, "family", "text_key").agg(F.lit(1).alias("x"))
+    shared = texts.groupBy(host_col, "family").agg(F.min("text_key").alias("unit"), F.count("*").alias("n")).filter("n > 1")
+    open_texts = texts.join(shared, [host_col, "family"]).select(host_col, "text_key", "unit")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    read = docs.select(host_col, _text_key(text).alias("text_key"), text.alias("__text")).join(open_texts, [host_col, "text_key"]).dropDuplicates([host_col, "text_key"])
+    words = read.select(host_col, "text_key", "unit", F.regexp_extract_all("__text", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
+    sets = written(words.select(host_col, "text_key", "unit", F.array_distinct(_windows(F.col("words"), window)).alias("hashes")), "windows")
+    first = sets.filter("text_key = unit").select(host_col, "unit", F.col("hashes").alias("others"))
+    both = F.size(F.array_intersect("hashes", "others"))
+    similar = 100 * both >= SIMILAR * (F.size("hashes") + F.size("others") - both)
+    return written(sets.filter("text_key <> unit").join(first, [host_col, "unit"]).filter(similar).select(host_col, "text_key", "unit"), "copies")
+
+
+def frequent_lines(stats: DataFrame, copies: DataFrame, host_col: str, least_docs: int = 50, share: float = 0.02, small_docs: int = 30) -> DataFrame:
+    """Per host, the lines of at least ``least_docs`` documents, or of ``small_docs`` and more than ``share`` of the host's.
 
-    The limit never rises above ``least_docs``, whatever the size of the host.
+    Equal texts and ``copies`` of one text are one document.  The limit never
+    rises above ``least_docs``, whatever the size of the host.
 
     A row has the host (never null), the line's hash and ``n_docs``.  Two levels of
     aggregation: no task gathers all documents of a line or of a host.
     """
-    lines = stats.select(host_col, "family", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
-    of_line = lines.groupBy(host_col, "line", "family").agg(F.lit(1).alias("x")).groupBy(host_col, "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min(least_docs, small_docs))
-    of_host = stats.groupBy(host_col, "family").agg(F.lit(1).alias("x")).groupBy(host_col).agg(F.count("*").alias("n_host"))
+    folded = stats.join(copies, [host_col, "text_key"], "left").select(host_col, F.coalesce("unit", "text_key").alias("unit"), "lines")
+    lines = folded.select(host_col, "unit", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
+    of_line = lines.groupBy(host_col, "line", "unit").agg(F.lit(1).alias("x")).groupBy(host_col, "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min(least_docs, small_docs))
+    of_host = folded.groupBy(host_col, "unit").agg(F.lit(1).alias("x")).groupBy(host_col).agg(F.count("*").alias("n_host"))
     return of_line.join(of_host, host_col).filter((F.col("n_docs") >= least_docs) | (F.col("n_docs") > share * F.col("n_host"))).select(host_col, "line", "n_docs")
 
 
@@ -127,7 +160,8 @@ def _verdicts(
     kept = [c for c in docs.columns if c != text_col and c.lower() not in own]
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("__host_key")
     stats = written(text_statistics(docs.select(*kept, host, text_col), text_col), "statistics")
-    frequent = written(frequent_lines(stats, "__host_key", least_docs, share, small_docs).select("__host_key", "line"), "lines")
+    copied = near_copies(docs.select(host, text_col), stats, "__host_key", text_col)
+    frequent = written(frequent_lines(stats, copied, "__host_key", least_docs, share, small_docs).select("__host_key", "line"), "lines")
     if frequent.count() <= BROADCAST_LINES:
         frequent = F.broadcast(frequent)
     removed = (

@@ -33,3 +33,13 @@ def test_frequent_lines_on_small_and_large_hosts(spark):
     rows += [(1000 + i, page("b", i) + (f"\n{COMMON}" if i < 55 else "\nrare words here" if i < 74 else ""), "b") for i in range(3000)]  # 1.8 % of a large one
     got = {r.doc_id: r.n_removed_lines for r in quality_rules(docs_of(spark, rows)).collect()}
     assert got == {i: int(t.endswith(COMMON)) for i, t, _ in rows}
+
+
+def test_documents_with_much_common_text_are_not_copies(spark):
+    common = words("common", 176)
+    rows = [(i, f"{common}\n{words(f'own{letters(i)}x', 22)}", "a") for i in range(40)]  # similarity 0.78
+    near = words("near", 200).split(" ")
+    rows += [(1000 + i, " ".join([*near[: 2 * i], f"edit{letters(i)}", *near[2 * i + 1 :]]), "b") for i in range(70)]
+    got = {r.doc_id: r for r in quality_rules(docs_of(spark, rows)).collect()}
+    assert all(got[i].depleted and got[i].n_removed_words == 176 for i in range(40))
+    assert all(got[1000 + i].kept and not got[1000 + i].n_removed_words for i in range(70))
