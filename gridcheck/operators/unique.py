@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,49 +54,33 @@ def load_duplicates(records: DataFrame, id_col: str, key_col: str, order: Sequen
     a later one with its id.  Empty keys and null ids or keys are not
     registered and reject nothing.
 
-    Records that share neither id nor key with another one load at once.  The
-    others fall into components of records connected by ids and keys; each is
-    loaded in order by itself.
+    In rounds of joins, whatever the size of connected groups: a record that is
+    the first undecided one of both its id and its key loads, those that meet
+    what is loaded are rejected, until none is undecided.
     """
-    from gridcheck.operators.groups import component_labels
+    from functools import reduce
+
+    from gridcheck.operators.groups import stored
 
     name = F.coalesce(F.col(file_col).cast("string"), F.lit("")) if file_col else F.lit("")
-    rows = records.withColumn("__id", F.col(id_col).cast("string")).withColumn("__key", F.when(F.col(key_col).cast("string") != "", F.col(key_col).cast("string"))).withColumn("__file", name)
-    ids = rows.filter("__id IS NOT NULL").groupBy("__id").agg(F.count("*").alias("__n_id"))
-    keys = rows.filter("__key IS NOT NULL").groupBy("__key").agg(F.count("*").alias("__n_key"))
-    rows = rows.join(ids, "__id", "left").join(keys, "__key", "left")
-    alone = (F.coalesce("__n_id", F.lit(1)) == 1) & (F.coalesce("__n_key", F.lit(1)) == 1)
-    free = rows.filter(alone).withColumn("outcome", F.lit("loaded"))
-    tied = rows.filter(~alone)
-    # an id and a key that a record has are connected; nodes are hashes of both
-    a, b = F.xxhash64(F.lit("id"), "__id"), F.xxhash64(F.lit("key"), "__key")
-    links = tied.filter("__id IS NOT NULL AND __key IS NOT NULL").select(a.alias("a"), b.alias("b")).distinct()
-    labels = component_labels(links)
-    tied = tied.withColumn("node", F.when(F.col("__id").isNotNull(), a).otherwise(b))
-    tied = tied.join(labels, "node", "left").withColumn("__group", F.coalesce("label", "node"))
-    back = [f for f in records.schema]
-    wanted = tied.select("__group", "__id", "__key", "__file", *records.columns)
-    columns = records.columns
-
-    def load(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        loaded_id: dict[str, str] = {}
-        loaded_key: dict[str, str] = {}
-        outcome = []
-        for i, k, f in zip(pdf["__id"], pdf["__key"], pdf["__file"]):
-            if i is not None and i in loaded_id:
-                outcome.append("duplicate-id" if loaded_id[i] == f else "duplicate-id-cross-file")
-            elif k is not None and k in loaded_key:
-                outcome.append("duplicate-key" if loaded_key[k] == f else "duplicate-key-cross-file")
-            else:
-                outcome.append("loaded")
-                if i is not None:
-                    loaded_id[i] = f
-                if k is not None:
-                    loaded_key[k] = f
-        return pdf[columns].assign(outcome=outcome)
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*back, T.StructField("outcome", T.StringType())])
-    return free.select(*columns, "outcome").unionByName(wanted.groupBy("__group").applyInPandas(load, schema))
+    place = F.struct(*(c for o in order for c in (F.col(o).isNull().alias(f"{o}_null"), F.col(o))), F.monotonically_increasing_id().alias("row"))
+    rows = stored(records.select("*", F.col(id_col).cast("string").alias("__id"), F.when(F.col(key_col).cast("string") != "", F.col(key_col).cast("string")).alias("__key"), name.alias("__file"), place.alias("__place")))
+    undecided, rounds = rows.select("__id", "__key", "__file", "__place"), []
+    while True:
+        ids = undecided.filter("__id IS NOT NULL").groupBy("__id").agg(F.min("__place").alias("__first_id"))
+        keys = undecided.filter("__key IS NOT NULL").groupBy("__key").agg(F.min("__place").alias("__first_key"))
+        first = (F.coalesce("__first_id", "__place") == F.col("__place")) & (F.coalesce("__first_key", "__place") == F.col("__place"))
+        step = stored(undecided.join(ids, "__id", "left").join(keys, "__key", "left").select("__id", "__key", "__file", "__place", first.alias("__loads")))
+        won = step.filter("__loads").drop("__loads")
+        rounds.append(won)
+        undecided = stored(step.filter("NOT __loads").drop("__loads").join(won.select("__id"), "__id", "left_anti").join(won.select("__key"), "__key", "left_anti"))
+        if not undecided.limit(1).count():
+            break
+    loaded = stored(reduce(DataFrame.unionByName, rounds))
+    # an id or a key is loaded once; a record that came later meets the id first
+    of_id = loaded.filter("__id IS NOT NULL").select("__id", F.col("__place").alias("__id_place"), F.col("__file").alias("__id_file"))
+    of_key = loaded.filter("__key IS NOT NULL").select("__key", F.col("__file").alias("__key_file"))
+    done = rows.join(loaded.select("__place", F.lit(True).alias("__loads")), "__place", "left").join(of_id, "__id", "left").join(of_key, "__key", "left")
+    said = lambda kind, file: F.when(F.col(file) == F.col("__file"), kind).otherwise(f"{kind}-cross-file")
+    outcome = F.when(F.col("__loads"), "loaded").when(F.col("__id_place") < F.col("__place"), said("duplicate-id", "__id_file")).otherwise(said("duplicate-key", "__key_file"))
+    return done.select(*records.columns, outcome.alias("outcome"))
