@@ -2,39 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridcheck.storage import dropped, written
 
-def shared_dir(spark) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='gridcheck-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/groups-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``node`` and ``label`` (the smallest node reachable) of every linked node.
 
-def component_labels(links: DataFrame) -> DataFrame:
-    """``node``, ``label``: the smallest node that each linked node (columns a, b) can reach."""
-    both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
-    labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")))
+    Each turn, every node takes the smallest label among its own, its
+    neighbours' and that of its label (so paths halve), until none changes.
+    Labels are written to the shared folder after each turn.
+    """
+    both = written(links.select(F.col(a).alias("node"), F.col(b).alias("other")).union(links.select(F.col(b).alias("node"), F.col(a).alias("other"))).filter("node <> other").distinct(), "links")
+    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
     while True:
-        offers = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("offer"))
-        beyond = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        best = F.least("label", "offer", "beyond")
-        step = stored(labels.join(offers, "node").join(beyond, "label", "left").select("node", best.alias("label"), (best < F.col("label")).alias("moved")))
-        labels = step.select("node", "label")
-        if not step.filter("moved").limit(1).count():
+        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        best = F.least("label", "near", "far")
+        turned = written(labels.join(near, "node").join(jump, "label", "left").select("node", best.alias("label"), (best < F.col("label")).alias("moved")), "labels")
+        moved = turned.filter("moved").limit(1).count()
+        dropped(labels)
+        labels = turned.select("node", "label")
+        if not moved:
+            dropped(both)
             return labels

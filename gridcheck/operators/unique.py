@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcheck.functions.scalar import is_blank
+from gridcheck.storage import written
 from gridcheck.violations import violations
 
 
@@ -60,23 +61,21 @@ def load_duplicates(records: DataFrame, id_col: str, key_col: str, order: Sequen
     """
     from functools import reduce
 
-    from gridcheck.operators.groups import stored
-
     name = F.coalesce(F.col(file_col).cast("string"), F.lit("")) if file_col else F.lit("")
     place = F.struct(*(c for o in order for c in (F.col(o).isNull().alias(f"{o}_null"), F.col(o))), F.monotonically_increasing_id().alias("row"))
-    rows = stored(records.select("*", F.col(id_col).cast("string").alias("__id"), F.when(F.col(key_col).cast("string") != "", F.col(key_col).cast("string")).alias("__key"), name.alias("__file"), place.alias("__place")))
+    rows = written(records.select("*", F.col(id_col).cast("string").alias("__id"), F.when(F.col(key_col).cast("string") != "", F.col(key_col).cast("string")).alias("__key"), name.alias("__file"), place.alias("__place")), "records")
     undecided, rounds = rows.select("__id", "__key", "__file", "__place"), []
     while True:
         ids = undecided.filter("__id IS NOT NULL").groupBy("__id").agg(F.min("__place").alias("__first_id"))
         keys = undecided.filter("__key IS NOT NULL").groupBy("__key").agg(F.min("__place").alias("__first_key"))
         first = (F.coalesce("__first_id", "__place") == F.col("__place")) & (F.coalesce("__first_key", "__place") == F.col("__place"))
-        step = stored(undecided.join(ids, "__id", "left").join(keys, "__key", "left").select("__id", "__key", "__file", "__place", first.alias("__loads")))
+        step = written(undecided.join(ids, "__id", "left").join(keys, "__key", "left").select("__id", "__key", "__file", "__place", first.alias("__loads")), "step")
         won = step.filter("__loads").drop("__loads")
         rounds.append(won)
-        undecided = stored(step.filter("NOT __loads").drop("__loads").join(won.select("__id"), "__id", "left_anti").join(won.select("__key"), "__key", "left_anti"))
+        undecided = written(step.filter("NOT __loads").drop("__loads").join(won.select("__id"), "__id", "left_anti").join(won.select("__key"), "__key", "left_anti"), "undecided")
         if not undecided.limit(1).count():
             break
-    loaded = stored(reduce(DataFrame.unionByName, rounds))
+    loaded = written(reduce(DataFrame.unionByName, rounds), "loaded")
     # an id or a key is loaded once; a record that came later meets the id first
     of_id = loaded.filter("__id IS NOT NULL").select("__id", F.col("__place").alias("__id_place"), F.col("__file").alias("__id_file"))
     of_key = loaded.filter("__key IS NOT NULL").select("__key", F.col("__file").alias("__key_file"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcheck.operators.groups import shared_dir
+from gridcheck.storage import shared_dir
 from gridcheck.queries.base import Registry, table
 from gridcheck.sources import text_tables as S
 from gridcheck.streaming import streams as X
