@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridcheck.operators.groups import connected_components as connected_components
+from gridcheck.storage import dropped as dropped
+from gridcheck.storage import shared_dir as shared_dir
+from gridcheck.storage import written as written
+
 #: ASCII white space: 0x09-0x0D and the blank; ``bytes.split()`` splits on just these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -17,40 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    Taken from ``spark.checkpoint.dir``; a session without it (a test) gets a
-    temporary one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='gridcheck-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again.
-
-    Cuts the lineage: what follows does not depend on executors that may go.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Removes a table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def bucket_of(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % n
@@ -67,6 +38,38 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
         yield from zip(*(part.column(n).to_pylist() for n in names))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of each number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """The numbers compressed, one plane for each of their bytes: the high ones are nearly empty."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def loosened(blob: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a column has about ``most`` bytes in each, or one row."""
+    for batch in batches:
+        column = batch.column(name)
+        lengths = np.asarray(column.cast(pa.large_binary()).fill_null(b"").to_pandas().map(len), np.int64) if column.nbytes > most else np.zeros(batch.num_rows, np.int64)
+        group = np.cumsum(lengths) // most
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if batch.num_rows else []
+        for at, end in zip(starts, np.append(starts[1:], batch.num_rows)):
+            yield batch.slice(int(at), int(end - at))
+
+
 def row_ids() -> Iterator[int]:
     """Numbers no other task of the stage gives: partition, then a counter."""
     from pyspark import TaskContext

@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_of, rows_of, written
-from .ngram_join import mixed
+from .common import bucket_of, mixed, rows_of, written
+from .common import loosened as _unzip
+from .common import squeezed as _zip
 
 #: Words in one block, about; a longer text is a block of its own.
 BLOCK = 2_000_000
@@ -49,20 +50,6 @@ END = 0x5E5D0E4D
 NEXT_BYTES = 5
 
 
-def _zip(values: np.ndarray) -> bytes:
-    import zstandard
-
-    # one plane for each byte of the numbers: the high ones are nearly empty
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
-
-
-def _unzip(blob: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def _short(hashes: np.ndarray) -> np.ndarray:
     """NEXT_BYTES bytes of a second mix of the hashes, as numbers."""
     return mixed(hashes + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - 8 * NEXT_BYTES)
