@@ -60,13 +60,14 @@ def loosened(blob: bytes, kind: type) -> np.ndarray:
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a column has about ``most`` bytes in each, or one row."""
+    """The batches cut so that a text column has about ``most`` bytes in each, or one row."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        column = batch.column(name)
-        lengths = np.asarray(column.cast(pa.large_binary()).fill_null(b"").to_pandas().map(len), np.int64) if column.nbytes > most else np.zeros(batch.num_rows, np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(lengths) // most
-        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if batch.num_rows else []
-        for at, end in zip(starts, np.append(starts[1:], batch.num_rows)):
+        starts = np.append(0, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(group) else []
+        for at, end in zip(starts, np.append(starts[1:], len(group))):
             yield batch.slice(int(at), int(end - at))
 
 
