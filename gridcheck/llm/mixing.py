@@ -12,6 +12,7 @@ source and the pass.  So no block is used twice before all were used once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -45,7 +46,7 @@ def source_key(source_col: str) -> Column:
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], most: float) -> list[float]:
     """Shares of the total by weight, none above ``most`` times its size."""
-    caps, left, out = [most * s for s in sizes], float(sum(sizes)), [0.0] * len(sizes)
+    caps, left, out = [float(most * s) for s in sizes], float(sum(sizes)), [0.0] * len(sizes)
     open_ = [i for i, s in enumerate(sizes) if s > 0]
     while open_:
         whole = sum(weights[i] for i in open_)
@@ -73,6 +74,40 @@ def plan_sources(totals: dict[str, int], weights: Sequence[float], most: int, bl
     return out
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` taken without replacement from ``good`` + ``bad`` are good.
+
+    By inversion, from the mode outwards as far as 12 standard deviations (less
+    than 1e-30 of the mass lies beyond), so that any sizes below 2 ** 53 work.
+    """
+    whole = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    mean = n * (good / whole)
+    spread = math.sqrt(max(mean * (bad / whole) * (whole - n) / max(1, whole - 1), 0.0))
+    low, high = max(low, int(mean - 12 * spread) - 40), min(high, int(mean + 12 * spread) + 40)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    mass = np.append(0.0, np.cumsum(steps))
+    mass = np.exp(mass - mass.max())
+    sums = np.cumsum(mass)
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], "right"))
+
+
+def split_draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of each kind are among ``n`` taken from ``counts``, kind by kind."""
+    out, left = np.zeros_like(counts), int(counts.sum())
+    for i, c in enumerate(counts.tolist()):
+        if n <= 0:
+            break
+        left -= c
+        if c:
+            out[i] = hypergeometric(rng, c, left, n)
+            n -= int(out[i])
+    return out
+
+
 def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Each source's first slot in a shard, and how many it has there."""
     total = int(slots.sum())
@@ -81,7 +116,7 @@ def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple
         middle = (low + high) // 2
         n = total * middle // shards - total * low // shards
         rng = np.random.default_rng([seed, low, high])
-        left = rng.multivariate_hypergeometric(here, n, method="marginals")
+        left = split_draw(rng, here, n)
         if shard < middle:
             here, high = left, middle
         else:
@@ -117,11 +152,14 @@ class Mix:
 
     ``sized`` has a row for each input row (``row``, the id, ``source``,
     ``src``, ``size``, ``start`` in its source's line); ``sources`` the plan.
-    The table of sources (not of documents) comes to the driver.
+    The table of sources (not of documents) comes to the driver, about 100 bytes
+    for each: it is meant for up to some 100,000 sources.  Tables that grow with
+    the documents are joined by sorting, never broadcast.
 
     Null and empty texts have size 0 and are never taken; a null source is a
     source of its own, the last; repeated rows are documents of their own.  An
-    empty table gives an empty mix.  ``row_col`` may name a column that numbers
+    empty table gives an empty mix; a very long text is many blocks, counted in
+    one row.  Ties in the order (equal hashes) go by id, then row.  ``row_col`` may name a column that numbers
     the rows; else they are numbered as the sizes are written.  The order within a source is that of a
     hash of id and text, so reruns agree wherever the rows lie.
     """
@@ -142,12 +180,15 @@ class Mix:
         ranges = max(1, sum(r.n for r in found) // ORDERED)
         plans = self.spark.createDataFrame([(p.number, p.key, p.size, p.target) for p in self.sources], "number int, src string, source_size long, target double")
         measured = measured.withColumn("range", F.pmod(F.col("place"), F.lit(ranges)).cast("long"))
-        in_source = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
         in_range = Window.partitionBy("src", "range").orderBy("place", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
         zero = F.lit(0).cast("long")
-        starts = measured.groupBy("src", "range").agg(F.sum("size").alias("n")).select("src", "range", F.coalesce(F.sum("n").over(in_source), zero).alias("first"))
+        # sums of ranges in two steps: neither orders more than some thousands of rows, until there are 1e11 documents
+        sums = measured.groupBy("src", "range").agg(F.sum("size").alias("n")).withColumn("part", F.expr("range div 4096"))
+        parts = sums.groupBy("src", "part").agg(F.sum("n").alias("n")).select("src", "part", F.coalesce(F.sum("n").over(before("src", "part")), zero).alias("base"))
+        starts = sums.join(parts, ["src", "part"]).select("src", "range", (F.col("base") + F.coalesce(F.sum("n").over(before("src", "part", "range")), zero)).alias("first"))
         self.sized = (
-            measured.join(starts, ["src", "range"])
+            measured.join(starts.hint("merge"), ["src", "range"])
             .withColumn("start", F.col("first") + F.coalesce(F.sum("size").over(in_range), zero))
             .join(plans, "src")
             .select("row", "id", "source", "number", "size", "start", "source_size", "target")
@@ -185,12 +226,12 @@ class Mix:
         uses = self.slot_blocks().groupBy("number", "block").agg(F.count("*").alias("uses"))
         blocks = self.sized.filter("size > 0").select("row", "number", "start", "size", F.explode(F.sequence(F.expr(f"start div {words}"), F.expr(f"(start + size - 1) div {words}"))).alias("block"))
         low, high = F.greatest(F.col("block") * words - F.col("start"), F.lit(0)), F.least((F.col("block") + 1) * words - F.col("start"), F.col("size"))
-        return blocks.join(uses, ["number", "block"]).select("row", low.alias("low"), high.alias("high"), "uses")
+        return blocks.join(uses.hint("merge"), ["number", "block"]).select("row", low.alias("low"), high.alias("high"), "uses")
 
     def taken(self) -> DataFrame:
         """Each document with its size, its source's size and target, and the words the mix takes."""
         taken = self.parts().groupBy("row").agg(F.sum((F.col("high") - F.col("low")) * F.col("uses")).alias("taken"))
-        return self.sized.join(taken, "row", "left").select(F.col("id").alias(self.id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        return self.sized.join(taken.hint("merge"), "row", "left").select(F.col("id").alias(self.id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, n_chars_col: str | None = "n_chars", **options) -> DataFrame:
@@ -204,7 +245,7 @@ def mixed_documents(docs: DataFrame, n_chars_col: str | None = "n_chars", **opti
     mix = Mix(kept, row_col="__row", **options)
     text_col, schema = mix.text_col, docs.schema
     parts = mix.parts().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("low", "high", "uses"))).alias("__parts"))
-    joined = kept.join(parts.withColumnRenamed("row", "__row"), "__row").drop("__row")
+    joined = kept.join(parts.withColumnRenamed("row", "__row").hint("merge"), "__row").drop("__row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,11 @@
+import math
+from collections import Counter
+
 import numpy as np
 from helpers import empty, frame
+from pyspark.sql import functions as F
 
-from gridcheck.llm.mixing import Mix, copies, mixed_documents, permuted, shard_counts, water_fill
+from gridcheck.llm.mixing import Mix, copies, hypergeometric, mixed_documents, permuted, shard_counts, water_fill
 
 
 def test_permutations_and_shards():
@@ -16,6 +20,46 @@ def test_permutations_and_shards():
     assert (first == slots).all()
 
 
+def test_draws_of_any_size():
+    rng = np.random.default_rng(1)
+    slots = np.array([10**12, 3 * 10**11, 5, 0, 7 * 10**9])
+    first = np.zeros(5, np.int64)
+    for shard in range(4):
+        start, here = shard_counts(slots, 4, shard, 5)
+        assert (start == first).all() and (here >= 0).all()
+        first += here
+        share = slots / slots.sum()
+        assert abs(here.sum() - slots.sum() // 4) <= 1
+        assert (np.abs(here - here.sum() * share) <= 8 * np.sqrt(here.sum() * share * (1 - share)) + 5).all()
+    assert (first == slots).all()
+    # against the definition, for small ones
+    for good, bad, n in ((5, 7, 4), (1, 9, 3), (6, 2, 7), (4, 0, 2), (0, 4, 2)):
+        got = np.bincount([hypergeometric(rng, good, bad, n) for _ in range(6000)], minlength=n + 1) / 6000
+        want = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(n + 1)]
+        assert np.abs(got - want).max() < 0.03
+
+
+def test_taken_matches_brute_force(spark):
+    """The words of each source laid end to end, cut into blocks, and every slot's block counted."""
+    rows = [(i, " ".join(f"w{k}" for k in range((i * 37) % 91)), "abc"[i % 3] if i % 11 else None) for i in range(300)] + [(7, "again " * 9, "a"), (None, "no id", "b"), (8, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = Mix(docs, block_words=16, shard_words=640)
+    assert mix.shards > 5
+    place = {(r.doc_id, r.text): r.p for r in docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("p")).collect()}
+    ranges = max(1, len(rows) // 10_000)
+    uses = Counter((r.number, r.block) for r in mix.slot_blocks().collect())
+    want = []
+    for plan in mix.sources:
+        own = sorted((r for r in rows if (plan.key and plan.key[1:] or None) == r[2]), key=lambda r: (place[r[0], r[1]] % ranges, place[r[0], r[1]], r[0] or -1))
+        at = 0
+        for i, text, _ in own:
+            size = len((text or "").split())
+            want.append((str(i), size, sum(uses[plan.number, w // 16] for w in range(at, at + size))))
+            at += size
+        assert at == plan.size and sum(uses[plan.number, b] for b in range(plan.blocks)) == plan.slots
+    assert sorted(want) == sorted((str(r.doc_id), r["size"], r.taken) for r in mix.taken().collect())
+
+
 def test_water_fill():
     assert np.allclose(water_fill([100, 100, 100], [5, 2, 1], 3), [187.5, 75, 37.5])
     got = water_fill([10, 200, 0, 100], [5, 2, 9, 1], 3)
