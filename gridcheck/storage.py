@@ -30,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again.
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written as a table, to ``path`` or in the shared folder, and read again.
 
     Cuts the lineage: what follows does not depend on executors that may go,
     so the shuffle files behind the table are removed at once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
