@@ -8,6 +8,7 @@ with runs of white space or an added token's string goes to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -56,6 +57,11 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the ids do not fit 16 bits")
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        split = parts["pre_tokenizer"] or {}
+        if parts["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or parts["truncation"] or parts["padding"]:
+            raise ValueError("not a plain byte-level tokenizer: texts can't be parted before they are encoded")
         self.first, self.other = _Chunks(self, ""), _Chunks(self, " ")
         self.blank = self.letters[0x20]
         self.short: dict[str, bytes] = {}

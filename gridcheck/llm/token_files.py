@@ -8,35 +8,57 @@
    documents into blocks of about ``BLOCK`` ids: the bits, the distance between
    checkpoints in bits, and the documents with their numbers of ids.  A block
    can be decoded without any other.
+
+A folder holds all that a reader needs: ``blocks``, ``starts`` (how many ids lie
+before each part) and ``header`` (version, end id, totals, and the code as one
+length for each id, from which the canonical code follows).
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import huffman
 from .byte_bpe import encoder
-from .common import dropped, rows_of, written
+from .common import dropped, rows_of, shared_dir, written
 
 BLOCK = 1 << 16
 #: Ids in one range partition, about.
 PARTITION = 8 << 20
 
-@dataclass
+VERSION = 1
+
+
+@dataclass(frozen=True)
 class TokenFiles:
-    """A row for each block, the code as one length per id, ids of earlier parts."""
+    """Token files in a folder: blocks, ids before each part, and the header's row."""
 
+    path: str
     blocks: DataFrame
+    starts: DataFrame
+    end_id: int
+    n_documents: int
+    n_tokens: int
     lengths: np.ndarray
-    part_start: dict[int, int]
+
+
+def open_tokens(spark: SparkSession, path: str) -> TokenFiles:
+    """The files of a folder, from what is written there alone."""
+    head = spark.read.parquet(f"{path}/header").first()
+    if head.version != VERSION:
+        raise ValueError(f"token files of version {head.version}")
+    if (head.limit, head.step) != (huffman.LIMIT, huffman.STEP):
+        raise ValueError("token files with other limits of codes or checkpoints")
+    return TokenFiles(path, spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/starts"), head.end_id, head.n_documents, head.n_tokens, np.frombuffer(head.lengths, np.uint8))
 
 
 def _squeeze(ids: np.ndarray) -> bytes:
@@ -56,13 +78,17 @@ def _loosen(blob: bytes) -> np.ndarray:
     return low | high << 8
 
 
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> TokenFiles:
+def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, folder: str | None = None) -> TokenFiles:
     """Encodes every text, adds ``end_id``, and writes all ids in order of the id column.
 
+    The files go to ``folder``, by default a new one in the shared folder.
+
     Null and empty texts have just the end id.  A null id comes first; rows
     with the same id are in the order of their ids' checksum.  An empty table
-    gives files without blocks.  Other columns are not read.
+    gives files without blocks.  A very long text is in one block, whatever its
+    length; a task holds one such block.  Other columns are not read.
     """
+    folder = folder or f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("check", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
     end = np.array([end_id], "<u2").tobytes()
@@ -127,14 +153,16 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield closed()
 
     ordered = encoded.select("id", "check", "ids").repartitionByRange(parts, "id", "check").sortWithinPartitions("id", "check")
-    blocks = written(ordered.select("id", "ids").mapInArrow(encode_blocks, block_schema), "tokens")
-    sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
+    blocks = written(ordered.select("id", "ids").mapInArrow(encode_blocks, block_schema), "tokens", f"{folder}/blocks")
     dropped(encoded)
-    start, part_start = 0, {}
-    for r in sizes:
-        part_start[r.part] = start
-        start += r.n
-    return TokenFiles(blocks, lengths, part_start)
+    # a row for each PARTITION ids
+    sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    written(sizes.select("part", F.coalesce(before, F.lit(0).cast("long")).alias("part_start")), "starts", f"{folder}/starts")
+    total = blocks.agg(F.sum(F.size("doc_ids")).alias("n")).first()["n"] or 0
+    head = [(VERSION, end_id, int(total), int(counts.sum()), huffman.LIMIT, huffman.STEP, bytearray(lengths.tobytes()))]
+    written(docs.sparkSession.createDataFrame(head, "version int, end_id int, n_documents long, n_tokens long, limit int, step int, lengths binary").coalesce(1), "header", f"{folder}/header")
+    return open_tokens(docs.sparkSession, folder)
 
 
 def read_tokens(files: TokenFiles) -> DataFrame:
@@ -152,20 +180,19 @@ def read_checks(files: TokenFiles) -> DataFrame:
 
 
 def _decoded(files: TokenFiles, schema: T.StructType, with_ids: bool) -> DataFrame:
-    known = files.blocks.sparkSession.sparkContext.broadcast((files.lengths, files.part_start))
+    known = files.blocks.sparkSession.sparkContext.broadcast(files.lengths)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        lengths, part_start = known.value
-        codes, arrow = huffman.decoding_table(lengths), to_arrow_schema(schema)
+        codes, arrow = huffman.decoding_table(known.value), to_arrow_schema(schema)
         for batch in batches:
-            for part, before, names, sizes, bits, steps in rows_of(batch, "part", "before", "doc_ids", "n_tokens", "bits", "steps"):
+            for part_start, before, names, sizes, bits, steps in rows_of(batch, "part_start", "before", "doc_ids", "n_tokens", "bits", "steps"):
                 ends = np.cumsum(sizes)
                 ids = huffman.unpack(bits, steps, int(ends[-1]), codes).astype("<u4")
                 starts = ends - sizes
                 own = [ids[a:b].tobytes() for a, b in zip(starts, ends)]
-                columns = [names, part_start[part] + before + starts, np.asarray(sizes, np.int64), [zlib.crc32(x) for x in own], *([own] if with_ids else [])]
+                columns = [names, part_start + before + starts, np.asarray(sizes, np.int64), [zlib.crc32(x) for x in own], *([own] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return files.blocks.select("part", "before", "doc_ids", "n_tokens", "bits", "steps").mapInArrow(decode, schema)
+    return files.blocks.join(files.starts, "part").select("part_start", "before", "doc_ids", "n_tokens", "bits", "steps").mapInArrow(decode, schema)

@@ -5,9 +5,10 @@ import pytest
 from helpers import ODD, empty, frame
 
 from gridcheck.llm import huffman
+from gridcheck.llm.byte_bpe import encoder
 from gridcheck.llm.queries import tokenizer_path
 from gridcheck.llm.token_counts import count_tokens, piece_counts, pre_tokens
-from gridcheck.llm.token_files import read_checks, read_tokens, write_tokens
+from gridcheck.llm.token_files import open_tokens, read_checks, read_tokens, write_tokens
 
 PIECES, BYTES = tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_50k.json")
 
@@ -74,3 +75,29 @@ def test_token_files(spark):
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in read_checks(files).collect()), key=lambda r: r[1]) == want
     assert [bytes(r.ids) for r in read_tokens(files).orderBy("start").collect()] == [ids_of(t) for _, t in order]
     assert read_checks(write_tokens(empty(spark), BYTES)).count() == 0
+    # another session reads the folder without what the writer knew
+    again = open_tokens(spark.newSession(), files.path)
+    assert (again.end_id, again.n_documents, again.n_tokens) == (2, len(ODD), start)
+    assert [bytes(r.ids) for r in read_tokens(again).orderBy("start").collect()] == [ids_of(t) for _, t in order]
+
+
+def test_ids_are_those_of_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(BYTES), random.Random(4)
+    alphabet = [" ", "  ", "\n", "\n\n", "\t", "a", "The", "don't", "'s", "12", "3", "é", "漢字", "　", "\u00a0", "!", "...", "<|endoftext|>", "<s>", "_x", "\x00", "\r", "ﬁ", "😀"]
+    for _ in range(5000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(encoder(BYTES).encode(text), np.uint16).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    parts = json.loads(open(BYTES, encoding="utf-8").read())
+    parts["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(parts), encoding="utf-8")
+    with pytest.raises(ValueError):
+        encoder(str(tmp_path / "other.json"))
