@@ -74,7 +74,7 @@ def check_base(arrays: DataFrame, table: str, keys: DataFrame | None, normal=asc
 # formulas
 
 #: Numbers, identifiers, quoted names, operators of two characters and of one.
-FORMULA_TOKEN = r"[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_]*|'[^']*'|==|!=|<=|>=|&&|\|\||[-+*/^<>?:(),.!]"
+FORMULA_TOKEN = r"[0-9]+(?:\.[0-9]*)?|[A-Za-z_][A-Za-z0-9_]*|'[^']*'|==|!=|<=|>=|[-+*/^<>?:(),.]"
 CALL_ARITY = {"min": (2, 2), "max": (2, 2), "rand": (2, 2), "skill": (2, 2), "miss": (2, 2), "stat": (2, 2), "sksrc": (2, 2), "sklvl": (3, 3), "cond": (1, 2)}
 
 
@@ -87,55 +87,100 @@ def formula_tokens(df: DataFrame, key: Column, cols: Sequence[str]) -> DataFrame
     return long.withColumn("body", body).withColumn("used", F.when(F.length(F.replace(F.col("body"), F.lit("'"))) == F.length("body"), F.substring_index("body", "%", 1)).otherwise(used)).withColumn("tokens", F.regexp_extract_all("used", F.lit(FORMULA_TOKEN), F.lit(0)))
 
 
-def _depths(tokens: Column) -> Column:
-    """The depth of parentheses after each token."""
-    change = F.transform(tokens, lambda t: F.when(t == "(", 1).when(t == ")", -1).otherwise(0))
-    return F.transform(change, lambda x, i: F.aggregate(F.slice(change, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y))
+def _left_over() -> Column:
+    """What is left of a formula when tokens and white space are gone."""
+    return F.regexp_replace(F.regexp_replace(F.col("used"), FORMULA_TOKEN, ""), r"\s+", "")
+
+
+_LEVEL = "array<struct<call:boolean,fn:string,parts:int,open:int,power:boolean>>"
+
+
+def _walk(tokens: Column) -> Column:
+    """One pass over the tokens: the first fault, bare names outside calls, finished calls, and open parentheses.
+
+    The state has a level for each open parenthesis: whether a function opened
+    it, its parts, its ``?`` without ``:``, and whether a power was just taken
+    (a power takes one exponent).
+    """
+    after = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get(tokens, i + 1), F.lit("")).alias("next")))
+    level = lambda call, fn, parts, open_, power: F.struct(call.alias("call"), fn.alias("fn"), parts.alias("parts"), open_.alias("open"), power.alias("power"))
+    no, zero = F.lit(False), F.lit(0)
+    begin = F.struct(
+        F.lit("start").alias("before"), F.lit("").alias("fn"), F.array(level(no, F.lit(""), zero, zero, no)).cast(_LEVEL).alias("levels"), F.lit(None).cast("string").alias("fault"),
+        F.array().cast("array<string>").alias("names"), F.array().cast("array<struct<fn:string,n:int>>").alias("calls"),
+    )
+
+    def step(a: Column, x: Column) -> Column:
+        t = x["t"]
+        top, outer = F.element_at(a["levels"], -1), F.slice(a["levels"], F.lit(1), F.size(a["levels"]) - 1)
+        kind = (
+            F.when(t.rlike("^[0-9]"), "number").when(t.rlike("^[A-Za-z_]"), F.when(x["next"] == "(", "call").otherwise("name")).when(t.startswith("'"), "quoted")
+            .when(t.isin(",", "."), "part").when(t.isin("(", ")", "?", ":", "^", "-"), t).otherwise("operator")
+        )
+        before = a["before"]
+        ended = before.isin("operand", "close")
+        wanted = before.isin("start", "open", "call-open", "operator", "part")
+        good = (
+            F.when(kind.isin("number", "name", "call"), wanted).when(kind == "quoted", before.isin("call-open", "part")).when(kind == "(", wanted | (before == "call"))
+            .when(kind == ")", (ended | (before == "call-open")) & (top["open"] == 0)).when(kind == "part", ended & top["call"] & (top["open"] == 0))
+            .when(kind == "-", ended | wanted).when(kind == "^", ended & ~top["power"]).when(kind == ":", ended & (top["open"] > 0)).otherwise(ended)
+        )
+        fault = F.coalesce(a["fault"], F.when((kind == ")") & (F.size(a["levels"]) == 1), "unexpected-close").when(~good, "structure"))
+        changed = level(
+            top["call"], top["fn"], top["parts"] + F.when(kind == "part", 1).otherwise(0), top["open"] + F.when(kind == "?", 1).when(kind == ":", -1).otherwise(0),
+            F.when(kind == "^", True).when(kind.isin("operator", "?", ":", "part") | ((kind == "-") & ended), False).otherwise(top["power"]),
+        )
+        pushed = F.concat(a["levels"], F.array(level(before == "call", F.when(before == "call", a["fn"]).otherwise(""), zero, zero, no)))
+        levels = F.when(kind == "(", pushed).when((kind == ")") & (F.size(a["levels"]) > 1), outer).otherwise(F.concat(outer, F.array(changed)))
+        now = F.when(kind.isin("number", "name", "quoted"), "operand").when(kind == "call", "call").when(kind == "(", F.when(before == "call", "call-open").otherwise("open")).when(kind == ")", "close").when(kind == "part", "part").otherwise("operator")
+        outside = ~F.exists(a["levels"], lambda v: v["call"])
+        finished = F.struct(top["fn"].alias("fn"), F.when(before == "call-open", 0).otherwise(top["parts"] + 1).alias("n"))
+        return F.struct(
+            now.alias("before"), F.when(kind == "call", ascii_lower(t)).otherwise(a["fn"]).alias("fn"), levels.cast(_LEVEL).alias("levels"), fault.alias("fault"),
+            F.when((kind == "name") & outside, F.concat(a["names"], F.array(t))).otherwise(a["names"]).alias("names"),
+            F.when((kind == ")") & top["call"], F.concat(a["calls"], F.array(finished))).otherwise(a["calls"]).alias("calls"),
+        )
+
+    def end(a: Column) -> Column:
+        missing = F.size(a["levels"]) - 1
+        unfinished = ~a["before"].isin("operand", "close", "start") | (F.element_at(a["levels"], -1)["open"] > 0)
+        fault = F.coalesce(a["fault"], F.when(unfinished, "structure").when(missing == 1, "missing-close").when(missing > 1, "structure"))
+        return F.struct(fault.alias("fault"), a["names"].alias("names"), a["calls"].alias("calls"), missing.alias("missing"))
+
+    return F.aggregate(after, begin, step, end)
 
 
 def check_formula_characters(formulas: DataFrame, table: str) -> DataFrame:
     """What is left when tokens and white space are gone: unknown characters, an open quote."""
-    left = F.regexp_replace(F.regexp_replace(F.col("used"), FORMULA_TOKEN, ""), r"\s+", "")
-    found = formulas.withColumn("__left", left).filter("__left <> ''")
+    found = formulas.withColumn("__left", _left_over()).filter("__left <> ''")
     return violations(found, table, "formula-lexical", F.when(F.col("__left").contains("'"), "unterminated-quote").otherwise("unknown-character"), "error", args={"left": F.col("__left")})
 
 
 def check_formula_balance(formulas: DataFrame, table: str) -> DataFrame:
-    """Parentheses and neighbours: a missing last ')' is a warning, all else an error.
+    """Whether the tokens are one whole expression: a missing last ')' is a warning, all else an error.
 
-    Two operands or two operators side by side, an operator at the end, and a
-    ')' without '(' are structure faults.  Nesting of ?: is not checked.
+    Faults of structure: operands or operators side by side, a '(' after an
+    operand, a second '^' of one power, ',' or '.' outside arguments, a ':'
+    without '?' or the reverse, an operator at the end.  A ')' without '(' is
+    an unexpected close.  Formulas with unknown characters are not parsed.
     """
-    tokens = F.col("tokens")
-    rows = formulas.withColumn("__depth", _depths(tokens))
-    low, last = F.array_min("__depth"), F.element_at("__depth", -1)
-    operand = lambda t: t.rlike(r"^[0-9A-Za-z_']")
-    binary = lambda t: t.isin("+", "*", "/", "^", "==", "!=", "<=", ">=", "<", ">", "&&", "||", "?", ":", ",", ".")
-    previous = lambda i: F.get(tokens, i - 1)
-    clash = F.exists(F.transform(tokens, lambda t, i: (i > 0) & ((operand(t) & (operand(previous(i)) | (previous(i) == ")"))) | (binary(t) & (binary(previous(i)) | previous(i).isin("-", "!", "("))) | ((t == ")") & (binary(previous(i)) | previous(i).isin("-", "(")) & ~F.lit(False)))), lambda x: F.coalesce(x, F.lit(False)))
-    ends = binary(F.element_at(tokens, -1)) | F.element_at(tokens, -1).isin("-", "!")
-    starts = binary(F.element_at(tokens, 1)) | (F.element_at(tokens, 1) == ")")
-    code = F.when(F.size(tokens) == 0, None).when(low < 0, "unexpected-close").when(starts | ends | clash, "structure").when(last > 0, F.when(last == 1, "missing-close").otherwise("structure"))
-    found = rows.withColumn("__code", code).filter("__code IS NOT NULL")
-    return violations(found, table, "formula-balance", F.col("__code"), F.when(F.col("__code") == "missing-close", "warning").otherwise("error"), args={"depth": F.coalesce(last, F.lit(0))})
+    rows = formulas.filter(_left_over() == "").withColumn("__walk", _walk(F.col("tokens")))
+    code = F.col("__walk.fault")
+    found = rows.filter(code.isNotNull() & (F.size("tokens") > 0))
+    return violations(found, table, "formula-balance", code, F.when(code == "missing-close", "warning").otherwise("error"), args={"depth": F.col("__walk.missing")})
 
 
 def check_formula_identifiers(formulas: DataFrame, table: str, dictionary: DataFrame | None, four: bool = False) -> DataFrame:
     """Bare identifiers outside calls must be in the dictionary (column ``key``); none: nothing is checked.
 
-    ``four`` compares the first four characters, padded.
+    Inside are the arguments of any call, at whatever depth; plain parentheses
+    are not.  ``four`` compares the first four characters, padded.
     """
     if dictionary is None:
         return violations(formulas.filter(F.lit(False)), table, "formula-identifier", "unknown-identifier")
-    tokens = F.col("tokens")
-    functions = F.array(*(F.lit(f) for f in CALL_ARITY))
-    # the depth of calls: parentheses that a function opens, and all inside
-    bare = F.filter(
-        F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"), (F.aggregate(F.slice(tokens, F.lit(1), i), F.lit(0), lambda a, x: a + F.when(x == "(", 1).when(x == ")", -1).otherwise(0))).alias("d"))),
-        lambda x: x["t"].rlike("^[A-Za-z_]") & ~((F.coalesce(F.get(tokens, x["i"] + 1), F.lit("")) == "(") & F.array_contains(functions, ascii_lower(x["t"]))) & ((x["d"] == 0) | ~F.exists(F.slice(tokens, F.lit(1), x["i"]), lambda y: F.array_contains(functions, ascii_lower(y)))),
-    )
+    bare = _walk(F.col("tokens"))["names"]
     normal = (lambda c: F.rpad(F.substring(ascii_lower(c), 1, 4), 4, " ")) if four else ascii_lower
-    used = formulas.select("row_key", "col", F.explode(bare).alias("x")).select("row_key", "col", F.col("x.t").alias("value"), normal(F.col("x.t")).alias("__key"))
+    used = formulas.filter(_left_over() == "").select("row_key", "col", F.explode(bare).alias("value")).withColumn("__key", normal(F.col("value")))
     keys = dictionary.select(normal(F.col("key")).alias("__key")).distinct()
     unknown = used.select("__key").distinct().join(keys, "__key", "left_anti")
     return violations(used.join(unknown, "__key", "left_semi"), table, "formula-identifier", "unknown-identifier", "error")
@@ -157,15 +202,12 @@ def check_formula_references(formulas: DataFrame, table: str, targets: Mapping[s
 
 
 def check_formula_arity(formulas: DataFrame, table: str, arity: Mapping[str, tuple[int, int]] = CALL_ARITY) -> DataFrame:
-    """Arguments of innermost calls: commas and dots both part them."""
-    calls = F.regexp_extract_all("used", F.lit(r"\b([A-Za-z]+)\(((?:[^()']|'[^']*')*)\)"), F.lit(0))
-    rows = formulas.select("row_key", "col", F.explode(calls).alias("call")).withColumn("fn", ascii_lower(F.regexp_extract("call", r"^([A-Za-z]+)", 1))).filter(F.col("fn").isin(*arity))
-    inside = F.regexp_replace(F.regexp_replace(F.regexp_extract("call", r"\((.*)\)$", 1), r"'[^']*'", "q"), r"[0-9]+\.[0-9]+", "0")
-    n = F.when(F.trim(inside) == "", 0).otherwise(F.size(F.split(inside, r"[,.]", -1)))
-    rows = rows.withColumn("__n", n)
+    """Arguments of every finished call, nested or not: commas and dots at its own depth part them."""
+    rows = formulas.filter(_left_over() == "").select("row_key", "col", F.explode(_walk(F.col("tokens"))["calls"]).alias("call"))
+    rows = rows.select("row_key", "col", F.col("call.fn").alias("fn"), F.col("call.n").alias("__n")).filter(F.col("fn").isin(*arity))
     low = F.element_at(F.create_map(*(x for k, (a, _) in arity.items() for x in (F.lit(k), F.lit(a)))), F.col("fn"))
     high = F.element_at(F.create_map(*(x for k, (_, b) in arity.items() for x in (F.lit(k), F.lit(b)))), F.col("fn"))
-    return violations(rows.filter((F.col("__n") < low) | (F.col("__n") > high)), table, "formula-arity", "arity", "error", value=F.col("call"), args={"fn": F.col("fn"), "found": F.col("__n"), "least": low, "most": high})
+    return violations(rows.filter((F.col("__n") < low) | (F.col("__n") > high)), table, "formula-arity", "arity", "error", value=F.col("fn"), args={"fn": F.col("fn"), "found": F.col("__n"), "least": low, "most": high})
 
 
 def check_formula_policy(formulas: DataFrame, table: str, exempt: Sequence[str] = ()) -> DataFrame:

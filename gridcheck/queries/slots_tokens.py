@@ -159,7 +159,7 @@ def formulas(spark: SparkSession, d: str) -> DataFrame:
     "frm_check_formulas",
     """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS row_key, p_partkey % 6 AS k, lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size <= 25) AS known FROM part)
     SELECT row_key, 'formula-arity' AS rule, 'arity' AS code FROM p WHERE k = 1
-    UNION ALL SELECT row_key, 'formula-balance', 'missing-close' FROM p WHERE k = 2 UNION ALL SELECT row_key, 'formula-balance', 'structure' FROM p WHERE k = 4
+    UNION ALL SELECT row_key, 'formula-balance', 'missing-close' FROM p WHERE k = 2
     UNION ALL SELECT row_key, 'formula-lexical', 'unknown-character' FROM p WHERE k = 4 UNION ALL SELECT row_key, 'formula-policy', 'decimal' FROM p WHERE k = 3
     UNION ALL SELECT row_key, 'formula-policy', 'percent-ends-formula' FROM p WHERE k = 5 UNION ALL SELECT row_key, 'formula-identifier', 'unknown-identifier' FROM p WHERE k = 3
     UNION ALL SELECT row_key, 'formula-reference', 'unresolved-name' FROM p WHERE k = 0 AND NOT known""",
@@ -172,6 +172,37 @@ def check_formulas(spark: SparkSession, d: str) -> DataFrame:
     return V.merge_violations(parts).select("row_key", "rule", "code")
 
 
+@R.add(
+    "frm4_nested_calls",
+    """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS row_key, p_size % 4 + 1 AS inside, CASE WHEN p_partkey % 3 > 0 THEN 2 ELSE 1 END AS outside FROM part)
+    SELECT row_key, 'min' AS fn, CAST(inside AS BIGINT) AS found FROM p WHERE inside <> 2 UNION ALL SELECT row_key, 'max', CAST(outside AS BIGINT) FROM p WHERE outside <> 2""",
+)
+def nested_calls(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").withColumn("calc", F.concat(F.lit("1+max(min("), F.expr("repeat('1,', p_size % 4)"), F.lit("(p_size))"), F.when(F.col("p_partkey") % 3 > 0, ", 2-par1").otherwise(""), F.lit(")")))
+    found = T.check_formula_arity(T.formula_tokens(part, row_key("p_partkey"), ["calc"]), "part")
+    return found.select("row_key", F.col("args.fn").alias("fn"), F.col("args.found").cast("long").alias("found"))
+
+
+@R.add(
+    "frm5_parentheses",
+    """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS row_key, p_size % 4 AS opened, p_partkey % 4 AS closed, p_size % 3 AS powers FROM part)
+    SELECT row_key, CASE WHEN powers = 2 THEN 'structure' WHEN closed > opened THEN 'unexpected-close' WHEN opened - closed = 1 THEN 'missing-close' ELSE 'structure' END AS code FROM p WHERE powers = 2 OR opened <> closed""",
+)
+def parentheses(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").withColumn("calc", F.expr("concat(repeat('(', p_size % 4), '7', repeat('^2', p_size % 3), repeat(')', p_partkey % 4))"))
+    return T.check_formula_balance(T.formula_tokens(part, row_key("p_partkey"), ["calc"]), "part").select("row_key", "code")
+
+
+@R.add(
+    "frm2_bare_names",
+    "SELECT CAST(p_partkey AS VARCHAR) AS row_key, 'w' || p_size AS value FROM part WHERE p_size > 25 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'x' || p_size % 7 FROM part WHERE p_size % 7 <> 3",
+)
+def bare_names(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").withColumn("calc", F.expr("concat('min(1,y', p_size, ')+(w', p_size, ')*rand(1,(z))-x', p_size % 7)"))
+    words = spark.createDataFrame([(f"w{k}",) for k in range(26)] + [("x3",)], "key string")
+    return T.check_formula_identifiers(T.formula_tokens(part, row_key("p_partkey"), ["calc"]), "part", words).select("row_key", "value")
+
+
 @R.add("frm1_formula_tokens", "SELECT CAST(p_partkey AS VARCHAR) AS row_key, CAST(CASE p_partkey % 6 WHEN 0 THEN 13 WHEN 1 THEN 4 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 1 END AS BIGINT) AS n FROM part")
 def formula_tokens(spark: SparkSession, d: str) -> DataFrame:
     return formulas(spark, d).select("row_key", F.size("tokens").cast("long").alias("n"))
