@@ -4,10 +4,18 @@ Everything that touches rows is DataFrame functions.  One pass proposes spans:
 the four base patterns and generators with high recall (their spans may
 overlap), each with a few small features of its format and its surroundings.
 A combination of feature values is a *cell*; there are at most ``CELLS``
-of them whatever the corpus, so the counts of cells, by whether a base pattern
-accepted or rejected the span, fit the driver.  Trees boosted on these counts
-and on fixed prior counts become CASE expressions.  Thresholds come from the
-spans held out of training.  The base spans always stay.
+of them whatever the corpus, so the counts of cells fit the driver.  Trees
+boosted on these counts become CASE expressions; thresholds come from the spans
+held out of training.  The base spans always stay.
+
+What the counts say of a generator that no base pattern judges comes from the
+corpus too: spans that the base pattern of its kind accepts or rejects stand for
+the same data written in the generator's format (digits, check sum, cues and
+edges do not change with it), and its own candidates, of which nothing is known,
+count as rejected at a rate of ``doubt``.
+
+Overlaps are found by running maxima over the spans of a text in order, so the
+work for a text with many spans does not grow with their square.
 """
 
 from __future__ import annotations
@@ -15,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -55,6 +63,8 @@ CUES = {
 }
 AGAINST = r"(?i)(?:\b(?:version|isbn|issn|doi|page|section|order|invoice|serial|part|id|no)\b[^.]{0,6}|[$€£#v])$"
 BEFORE = 32
+#: Lengths that are summed together when places are found.
+TOGETHER = 128
 
 FEATURES = {"generator": len(GENERATORS), "luhn": 2, "digits": 6, "cue": 3, "left": 2, "right": 2, "flat": 2}
 CELLS = int(np.prod(list(FEATURES.values())))
@@ -95,27 +105,48 @@ def _found(number: int) -> Column:
 
 
 def _gaps(number: int) -> Column:
-    """Code points before, between and after the matches."""
-    pattern = GENERATORS[number][1]
-    return F.when(F.size(f"m{number}") > 0, F.transform(F.split("__text", pattern, -1), F.length))
+    """What stands before, between and after the matches."""
+    return F.when(F.size(f"m{number}") > 0, F.split("__text", GENERATORS[number][1], -1))
 
 
 def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0), lambda a, x: a + x)
 
 
+def _steps(number: int) -> Column:
+    """From the start of each match to that of the next, in code points; the first from the start of the text."""
+    matches, gaps = F.col(f"m{number}"), F.col(f"g{number}")
+    return F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(matches, i - 1)), F.lit(0)))
+
+
+def _parts(number: int) -> Column:
+    """The steps summed ``TOGETHER`` at a time."""
+    steps = F.col(f"l{number}")
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / TOGETHER).cast("int")), lambda k: _sum(F.slice(steps, k * TOGETHER + 1, TOGETHER)))
+
+
+def _bases(number: int) -> Column:
+    parts = F.col(f"c{number}")
+    return F.transform(parts, lambda _, k: _sum(F.slice(parts, F.lit(1), k)))
+
+
 def _located(number: int) -> Column:
-    """Matches with their places, what is around them, and the base verdict."""
+    """Matches with their places, what is around them, and the base verdict.
+
+    Around a match is what stands since the match before the last, at most
+    ``BEFORE`` characters, and the next character.
+    """
     kind = GENERATORS[number][0]
-    matches, gaps = F.col(f"m{number}"), F.col(f"g{number}")
+    matches, gaps, steps, bases = (F.col(f"{x}{number}") for x in "mglb")
 
     def one(m: Column, i: Column) -> Column:
-        start = _sum(F.slice(gaps, F.lit(1), i + 1)) + _sum(F.transform(F.slice(matches, F.lit(1), i), F.length))
-        low = F.greatest(start - BEFORE, F.lit(0))
+        part = F.floor(i / TOGETHER).cast("int")
+        start = F.get(bases, part) + _sum(F.slice(steps, part * TOGETHER + 1, i % TOGETHER + 1))
+        near = F.concat(F.coalesce(F.get(matches, i - 1), F.lit("")), F.get(gaps, i))
         return F.struct(
             F.lit(number).alias("generator"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"),
-            F.substring(F.col("__text"), low + 1, start - low).alias("before"),
-            F.substring(F.col("__text"), start + F.length(m) + 1, F.lit(1)).alias("after"),
+            F.right(near, F.lit(BEFORE)).alias("before"),
+            F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(matches, i + 1), F.lit(""))), F.lit(1)).alias("after"),
             (base_valid(kind, m) if number < len(BASE) else F.lit(None).cast("boolean")).alias("base"),
         )
 
@@ -147,9 +178,12 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c != text_col]
     step = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     step = step.select("*", F.col("__text").rlike(ANY).alias("__any"))
-    numbers = range(len(GENERATORS))
+    numbers, known = range(len(GENERATORS)), []
     step = step.select(*kept, "__text", *(_found(i).alias(f"m{i}") for i in numbers))
-    step = step.select("*", *(_gaps(i).alias(f"g{i}") for i in numbers))
+    for name, of in (("g", _gaps), ("l", _steps), ("c", _parts), ("b", _bases)):
+        known += [f"m{i}" for i in numbers] if name == "g" else []
+        step = step.select(*kept, *(["__text"] if name == "g" else []), *known, *(of(i).alias(f"{name}{i}") for i in numbers))
+        known += [f"{name}{i}" for i in numbers]
     step = step.select(*kept, F.concat(*(_located(i) for i in numbers)).alias("found"))
     return step.select(*kept, F.transform("found", _features).alias("spans"))
 
@@ -169,24 +203,35 @@ class Tree:
         return F.when(test(self.root), F.when(test(self.yes), a).otherwise(b)).otherwise(F.when(test(self.no), d).otherwise(e))
 
 
-def prior_cells() -> list[tuple[dict[str, int], float, float]]:
-    """Fixed counts (accepted, rejected) that stand in where no base pattern judges a generator's spans."""
-    belief = {4: (6, 0.2), 5: (3, 0.6), 6: (6, 0.2), 7: (3, 1), 8: (1, 1), 9: (0.7, 1), 10: (3, 1), 11: (0.6, 1)}
-    out = []
-    for g, (yes, no) in belief.items():
-        for cue in range(3):
-            for passes in range(2):
-                for edge in range(2):
-                    up = yes * (3 if cue == 1 else 0.1 if cue == 2 else 1) * (0.2 if edge else 1)
-                    down = no * (0.3 if cue == 1 else 3 if cue == 2 else 1)
-                    if GENERATORS[g][0] == "card":
-                        up, down = (up * 4, down) if passes else (up * 0.05, down * 4)
-                    for level in range(6):
-                        out.append(({"generator": g, "luhn": passes, "digits": level, "cue": cue, "left": edge, "right": 0, "flat": 0}, up / 6, down / 6))
+Cells = list[tuple[dict[str, int], float, float]]
+
+
+def evidence(counts: list[tuple[dict[str, int], int, int, int]], doubt: float) -> Cells:
+    """Cells with what speaks for and against them, from counts (cell, accepted, rejected, not judged).
+
+    For a generator without judge: the judged cells of its kind's base pattern,
+    scaled to as many as its own candidates, and of these ``doubt`` each against.
+    Other formats of IP addresses have other digits, so there these are spread
+    as among the generator's own candidates.
+    """
+    out: Cells = [(c, float(up), float(down)) for c, up, down, _ in counts if up + down]
+    for g in range(len(BASE), len(GENERATORS)):
+        base = KINDS.index(GENERATORS[g][0])
+        own = [(c, n) for c, _, _, n in counts if c["generator"] == g and n]
+        lent = [(c, up, down) for c, up, down, _ in counts if c["generator"] == base and up + down]
+        if not own or not lent:
+            continue
+        scale = sum(n for _, n in own) / sum(up + down for _, up, down in lent)
+        if GENERATORS[g][0] == "ip":
+            whole = sum(n for _, n in own)
+            shares = {d: sum(n for c, n in own if c["digits"] == d) / whole for d in {c["digits"] for c, _ in own}}
+            lent = [(c | {"digits": d}, up * share, down * share) for c, up, down in lent for d, share in shares.items()]
+        out += [(c | {"generator": g}, up * scale, down * scale) for c, up, down in lent]
+        out += [(c, 0.0, doubt * n) for c, n in own]
     return out
 
 
-def boost(cells: list[tuple[dict[str, int], float, float]], rounds: int = 40, rate: float = 0.3) -> list[Tree]:
+def boost(cells: Cells, rounds: int = 40, rate: float = 0.3) -> list[Tree]:
     """Boosts trees of two levels on counted cells, by Newton steps on the log loss."""
     if not cells:
         return []
@@ -216,7 +261,7 @@ def boost(cells: list[tuple[dict[str, int], float, float]], rounds: int = 40, ra
     return trees
 
 
-def tree_scores(trees: list[Tree], cells: list[tuple[dict[str, int], float, float]]) -> np.ndarray:
+def tree_scores(trees: list[Tree], cells: Cells) -> np.ndarray:
     out = np.zeros(len(cells))
     for t in trees:
         for i, (c, _, _) in enumerate(cells):
@@ -225,9 +270,13 @@ def tree_scores(trees: list[Tree], cells: list[tuple[dict[str, int], float, floa
     return out
 
 
-def calibrate(scores: np.ndarray, cells: list[tuple[dict[str, int], float, float]], precision: float) -> dict[str, float]:
-    """Per kind, the lowest score above which held-out spans keep the precision."""
-    out = {}
+def calibrate(scores: np.ndarray, cells: Cells, precision: float) -> dict[str, float]:
+    """Per kind, the lowest score above which held-out spans keep the precision.
+
+    Scores are log odds: the limit is never below the odds that the precision
+    stands for, and goes down to these where all held-out spans of a kind keep it.
+    """
+    out, odds = {}, float(np.log(precision / (1 - precision)))
     for kind in KINDS:
         own = [i for i, (c, _, _) in enumerate(cells) if GENERATORS[c["generator"]][0] == kind]
         own.sort(key=lambda i: -scores[i])
@@ -236,7 +285,7 @@ def calibrate(scores: np.ndarray, cells: list[tuple[dict[str, int], float, float
         for k, i in enumerate(own):
             up, down = up + cells[i][1], down + cells[i][2]
             if up >= precision * (up + down) and (k + 1 == len(own) or scores[own[k + 1]] < scores[i]):
-                out[kind] = float(scores[i])
+                out[kind] = max(float(scores[i]), odds) if k + 1 < len(own) else odds
     return out
 
 
@@ -246,56 +295,72 @@ class Model:
     thresholds: dict[str, float]
 
 
-def train(found: DataFrame, precision: float = 0.85) -> Model:
-    """Fits trees and thresholds to the counts of cells of all candidates.
+def _meets(condition: Column, *by: str) -> Column:
+    """Whether a span overlaps another one, of the same ``by``, that meets the condition."""
+    order = ["start", "end", "generator"]
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    one = F.max(F.when(condition, F.col("end"))).over(before) > F.col("start")
+    two = F.min(F.when(condition, F.col("start"))).over(after) < F.col("end")
+    return F.coalesce(one, F.lit(False)) | F.coalesce(two, F.lit(False))
+
+
+def train(spans: DataFrame, precision: float = 0.85, doubt: float = 0.1) -> Model:
+    """Fits trees and thresholds to the counts of cells of all candidates (rows with ``row`` and a span's fields).
 
     A span of a base pattern counts as accepted or rejected.  So does a span of
-    another generator that overlaps an accepted or a rejected one of its kind.
+    another generator that overlaps an accepted or, failing that, a rejected one
+    of its kind; for the others see ``evidence``.  Spans are held out by a hash
+    of their text; thresholds come from their evidence alone.
     """
-    spans = F.col("spans")
-
-    def verdict(c: Column) -> Column:
-        near = F.filter(spans, lambda b: b["base"].isNotNull() & (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return F.when(c["base"].isNotNull(), c["base"]).when(F.size(near) > 0, F.exists(near, lambda b: b["base"]))
-
-    judged = found.filter(F.size("spans") > 0).select(F.explode(F.transform(spans, lambda c: F.struct(*(c[f].alias(f) for f in FEATURES), c["fold"].alias("fold"), verdict(c).alias("y")))).alias("c")).select("c.*")
-    rows = judged.filter(F.col("y").isNotNull()).groupBy(*FEATURES, (F.col("fold") == 0).alias("held_out")).agg(F.count_if("y").alias("up"), F.count_if(~F.col("y")).alias("down")).collect()
-    prior = prior_cells()
-    cell = lambda r: ({f: r[f] for f in FEATURES}, float(r.up), float(r.down))
-    trees = boost(sorted([cell(r) for r in rows if not r.held_out], key=str) + prior)
-    held = sorted([cell(r) for r in rows if r.held_out], key=str) + prior
+    base = F.col("base")
+    yes, any_ = _meets(F.coalesce(base, F.lit(False)), "row", "kind"), _meets(base.isNotNull(), "row", "kind")
+    judged = spans.withColumn("y", F.when(base.isNotNull(), base).when(yes, True).when(any_, False))
+    y = F.col("y")
+    rows = judged.groupBy(*FEATURES, (F.col("fold") == 0).alias("held_out")).agg(F.count_if(y).alias("up"), F.count_if(~y).alias("down"), F.count_if(y.isNull()).alias("open")).collect()
+    named = lambda r: {f: r[f] for f in FEATURES}
+    # candidates that nothing is known of are not labels: all of them count on both sides
+    unknown = [(named(r), 0, 0, r.open) for r in rows if r.open]
+    part = lambda held: evidence(sorted([(named(r), r.up, r.down, 0) for r in rows if r.held_out == held] + unknown, key=str), doubt)
+    trees, held = boost(part(False)), part(True)
     return Model(trees, calibrate(tree_scores(trees, held), held, precision))
 
 
-def _chosen(model: Model) -> Column:
-    """Spans that no base span overlaps and whose score passes, best first, none overlapping another."""
-    spans = F.col("spans")
+def _chosen(spans: DataFrame, model: Model) -> DataFrame:
+    """(row, kind, start, end) of spans that no base span overlaps and whose score passes, best first, none overlapping another."""
+    free = spans.withColumn("taken", _meets(F.coalesce(F.col("base"), F.lit(False)), "row")).filter("base IS NULL AND NOT taken")
+    score = F.lit(0.0)
+    for tree in model.trees:
+        score = score + tree.column(F.struct(*FEATURES))
     limits = F.array(*(F.lit(model.thresholds[k]) for k in KINDS))
-
-    def scored(c: Column) -> Column:
-        score = F.lit(0.0)
-        for tree in model.trees:
-            score = score + tree.column(c)
-        return F.struct((-score).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))
-
-    free = F.filter(spans, lambda c: c["base"].isNull() & ~F.exists(spans, lambda b: F.coalesce(b["base"], F.lit(False)) & (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    passing = F.filter(F.array_sort(F.transform(free, scored)), lambda s: -s["rank"] >= F.element_at(limits, s["kind"] + 1) - 1e-6)
+    passing = free.withColumn("score", score).filter(F.col("score") >= F.element_at(limits, F.col("kind") + 1) - 1e-6)
+    order = Window.partitionBy("row").orderBy("start", "end", "generator")
+    ends = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    groups = passing.withColumn("new", F.when(F.col("start") < ends, 0).otherwise(1)).withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # spans that overlap one after the other: a few
+    ranked = groups.groupBy("row", "group").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "start", "end", "kind"))).alias("x"))
     none = F.array().cast("array<struct<rank:double,start:int,end:int,kind:int>>")
-    return F.aggregate(passing, none, lambda a, s: F.when(F.exists(a, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), a).otherwise(F.concat(a, F.array(s))))
+    best = F.aggregate("x", none, lambda a, s: F.when(F.exists(a, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), a).otherwise(F.concat(a, F.array(s))))
+    return ranked.select("row", F.explode(best).alias("s")).select("row", "s.kind", "s.start", "s.end")
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.85) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.85, doubt: float = 0.1) -> DataFrame:
     """One row per input row: the id, ``base`` and ``added`` spans (kind, start, end), sorted.
 
-    Null and empty texts have no spans.  Repeated rows keep a row each.  Other
-    columns are not read.  On an empty table the result is empty; the trees
-    then come from the prior counts alone.
+    Null and empty texts have no spans.  Repeated rows keep a row each.  A very
+    long text is searched in one task, in time that follows its length and its
+    number of matches.  Of candidates with equal scores that overlap, the first
+    stays.  Other columns are not read.  On an empty table, or one without base
+    spans of a kind, nothing is added (of that kind).
     """
-    found = written(candidates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "candidates")
-    model = train(found, precision)
-    place = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
-    base = F.sort_array(F.transform(F.filter("spans", lambda c: F.coalesce(c["base"], F.lit(False))), place))
-    return found.select(F.col("id").alias(id_col), base.alias("base"), F.sort_array(F.transform(F.when(F.size("spans") > 0, _chosen(model)).otherwise(F.array().cast("array<struct<rank:double,start:int,end:int,kind:int>>")), place)).alias("added"))
+    found = written(candidates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    spans = found.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("c")).select("row", "c.*")
+    model = train(spans, precision, doubt)
+    place = F.struct("kind", "start", "end")
+    added = _chosen(spans, model).groupBy("row").agg(F.sort_array(F.collect_list(place)).alias("added"))
+    base = F.sort_array(F.transform(F.filter("spans", lambda c: F.coalesce(c["base"], F.lit(False))), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    return found.join(added, "row", "left").select(F.col("id").alias(id_col), base.alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def spans_text(spans: Column) -> Column:

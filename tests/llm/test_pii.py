@@ -4,7 +4,7 @@ import re
 from helpers import ODD, empty, frame
 from pyspark.sql import functions as F
 
-from gridcheck.llm.pii import KINDS, boost, personal_data, prior_cells, redacted, spans_text, tree_scores
+from gridcheck.llm.pii import FEATURES, KINDS, boost, evidence, personal_data, redacted, spans_text, tree_scores
 
 
 def luhn(digits):
@@ -42,15 +42,43 @@ def test_base_spans_match_brute_force(spark):
     assert personal_data(empty(spark)).count() == 0
 
 
+def corpus(n=400, seed=3):
+    """Texts with personal data in base formats, and numbers that only look like it."""
+    rng = random.Random(seed)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card():
+        d = "4" + number(14)
+        return d + next(c for c in "0123456789" if luhn(d + c))
+
+    out = []
+    for _ in range(n):
+        out += [f"please contact ann{number(2)}@site{number(1)}.org today", f"call +1 555 {number(3)} {number(4)} now", f"card {card()} is valid", f"order {number(16)} shipped", f"version {number(3)}.{number(3)}.9.1 of it", f"server 10.0.{rng.randrange(256)}.7 is up", f"part +{number(1)} {number(3)}"]
+    return [(1000 + i, t) for i, t in enumerate(out)]
+
+
 def test_added_spans_leave_base_spans_alone(spark):
-    docs = frame(spark, [(1, "mail: joe (at) host (dot) org"), (2, "call (555) 010-1234 or +1 (555) 010-9999"), (3, "2001:db8:0:0:0:0:0:1 is up"), (4, "page 1234 5678"), (5, "x joe@host.org y")])
+    planted = [(1, "mail: joe (at) host (dot) org"), (2, "call (555) 010-1234 or +1 (555) 010-9999"), (3, "server 2001:db8:0:0:0:0:0:1 is up"), (4, "page 1234 5678"), (5, "x joe@host.org y"), (6, "card 4111.1111.1111.1111 it is"), (7, "order 4111.1111.1111.1112 it is")]
+    docs = frame(spark, planted + corpus())
     got = {r.doc_id: (r.base, r.added) for r in personal_data(docs).select("doc_id", spans_text(F.col("base")).alias("base"), spans_text(F.col("added")).alias("added")).collect()}
-    assert got[1] == ("", "email:6:29") and got[2] == ("phone:23:40", "phone:5:19") and got[3] == ("", "ip:0:20") and got[4] == ("", "") and got[5] == ("email:2:14", "")
+    assert got[1] == ("", "email:6:29") and got[2] == ("phone:23:40", "phone:5:19") and got[3] == ("", "ip:7:27") and got[4] == ("", "") and got[5] == ("email:2:14", "")
+    assert got[6] == ("", "card:5:24") and got[7] == ("", "")
     assert {r.doc_id: r.text for r in redacted(docs).collect()}[2] == "call [phone] or [phone]"
 
 
-def test_trees_learn_the_counts():
-    cells = prior_cells()
-    scores = tree_scores(boost(cells), cells)
-    up, down = (sum(c[i] for c, s in zip(cells, scores) if s > 0) for i in (1, 2))
-    assert up > 3 * down and len(KINDS) == 4
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = "".join(f"mail u{k}@host.org or (555) 010-{1000 + k % 9000}; " for k in range(25_000))
+    start = time.time()
+    (row,) = personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last")).collect()
+    assert row.n == 25_000 and text[row.last["start"] : row.last["end"]] == "u24999@host.org" and time.time() - start < 90
+
+
+def test_evidence_is_lent_by_the_base_pattern():
+    cell = dict.fromkeys(FEATURES, 0)
+    counts = [(cell | {"generator": 3, "cue": 1}, 90, 10, 0), (cell | {"generator": 3, "cue": 2}, 0, 100, 0), (cell | {"generator": 10, "cue": 1}, 0, 0, 40), (cell | {"generator": 10, "cue": 2}, 0, 0, 40)]
+    cells = evidence(counts, 0.1)
+    scores = dict(zip((str(c) for c, _, _ in cells), tree_scores(boost(cells), cells)))
+    assert scores[str(cell | {"generator": 10, "cue": 1})] > 0 > scores[str(cell | {"generator": 10, "cue": 2})]
+    assert evidence([(cell | {"generator": 10}, 0, 0, 5)], 0.1) == [] and len(KINDS) == 4
