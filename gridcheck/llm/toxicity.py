@@ -11,7 +11,8 @@
    within a class.  It is fitted to the pattern counts by EM; a known label
    enters as a vote with an error rate of its own.
 4. A logistic regression on the mined entries and the votes is trained on the
-   posterior labels of a bounded sample of labelled rows, and scores all.
+   posterior labels of a bounded sample of rows with and without labels that are
+   not held out, and scores all.
 """
 
 from __future__ import annotations
@@ -104,7 +105,8 @@ class LabelModel:
     """P(votes | class) proportional to exp(weights . votes + pair weights . pairs), for both classes.
 
     ``posterior[g][p]``: probability of toxic given pattern p and the label
-    (g = 0: none, 1: label 0, 2: label 1), near the label where there is one.
+    (g = 0: none, 1: label 0, 2: label 1).  A label is one more vote, which is
+    wrong at a rate that EM estimates; strong votes can overrule it.
     """
 
     def __init__(self, counts: np.ndarray, turns: int = 25, most_pairs: int = 8, prior: float = 0.1) -> None:
@@ -136,8 +138,6 @@ class LabelModel:
             odds = logs[1] - logs[0] + np.log(self.prior / (1 - self.prior))
             seen = np.log((1 - self.error) / self.error)
             q = 1 / (1 + np.exp(-np.clip(np.stack([odds, odds - seen, odds + seen]), -30, 30)))
-            # a known label is a mark to hold to: the votes move it within its error
-            q[1], q[2] = np.minimum(q[1], 2 * self.error), np.maximum(q[2], 1 - 2 * self.error)
         self.posterior = q
         self.accuracies = {n: tuple(float(((counts * p).sum(0) * bits[:, i]).sum() / max(1e-9, (counts * p).sum())) for p in (1 - q, q)) for i, n in enumerate(VOTER_NAMES)}
 
@@ -204,17 +204,19 @@ def toxicity_scores(
     threshold: float = 0.5,
     mining_rows: int = 8_000,
     training_rows: int = 40_000,
-    lexicon_size: int = 3_000,
 ) -> DataFrame:
     """One row per input row: id, held_out, score, predicted, votes.
 
     Learns labels only from rows whose crc32 of the id as text, modulo
     ``folds``, is not 0.  Bounds: the lexicon is mined from about
-    ``mining_rows`` rows of each label, the linear model is trained on about
-    ``training_rows`` labelled rows (chosen by a hash of the id), and
-    ``lexicon_size`` entries are kept; votes are counted over all documents.
-
-    Null and empty texts get no votes and the score of the offset alone.  Rows
+    ``mining_rows`` rows of each label, which bounds its entries too (each is in
+    five toxic rows of these or more), and the linear model is trained on about
+    ``training_rows`` labelled rows and as many without a label (chosen by a hash
+    of the id); votes are counted over all documents.
+
+    Null and empty texts get no votes and the score of the offset alone.  A very
+    long text is read whole, by one task.  Ties of a score with the threshold
+    count as toxic.  Rows
     with a null id are held out.  Repeated rows are scored, and counted, each.
     Without labels only the fixed lexicons and patterns vote, and the label
     model alone scores.  Other columns are not read; an empty table gives an
@@ -254,7 +256,7 @@ def toxicity_scores(
     # two documents more on the clean side keep chance finds low
     precision = F.col("toxic") / (F.col("toxic") + rate("clean", 0) * share(1) + 2)
     least = 5
-    best = mined.filter(F.col("toxic") >= least).select("entry", precision.alias("share"), (precision * F.log1p("toxic")).alias("worth")).filter(F.col("share") >= min(STRENGTHS) - 0.2).orderBy(F.desc("worth"), "entry").limit(lexicon_size).collect()
+    best = mined.filter(F.col("toxic") >= least).select("entry", precision.alias("share"), (precision * F.log1p("toxic")).alias("worth")).filter(F.col("share") >= min(STRENGTHS) - 0.2).orderBy(F.desc("worth"), "entry").collect()
     lexicon = Lexicon({r.entry: i for i, r in enumerate(best)}, frozenset(r.entry.split("#")[0] for r in best), [r.share for r in best])
     sent = spark.sparkContext.broadcast(lexicon)
 
@@ -280,12 +282,15 @@ def toxicity_scores(
     counts = np.maximum(counts, 0)
     base = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.05
     model = LabelModel(counts, prior=min(0.5, max(0.01, base)))
-    part = training.filter(draw < int(1e6 * min(1.0, training_rows / max(1, sum(sizes.values()))))).select("pattern", "found", "label").toArrow().to_pydict()
+    free = max(1, int(counts[0].sum()))
+    some = voted.filter(~F.col("held") & (draw < int(1e6 * min(1.0, training_rows / free)))).join(known.select("id"), "id", "left_anti")
+    part = training.filter(draw < int(1e6 * min(1.0, training_rows / max(1, sum(sizes.values()))))).select("pattern", "found", (F.col("label") + 1).alias("known"))
+    part = part.unionByName(some.select("pattern", "found", F.lit(0).alias("known"))).toArrow().to_pydict()
     features = len(best) + VOTERS
     as_row = lambda pattern, found: [*found, *(len(best) + i for i in range(VOTERS) if pattern >> i & 1)]
     weights = None
-    if part["pattern"]:
-        y = np.array([model.posterior[1 + label][p] for p, label in zip(part["pattern"], part["label"])])
+    if training.limit(1).count():
+        y = np.array([model.posterior[k][p] for p, k in zip(part["pattern"], part["known"])])
         weights = train_linear([as_row(p, f) for p, f in zip(part["pattern"], part["found"])], y, features)
     learnt = spark.sparkContext.broadcast((weights, model.posterior[0]))
 

@@ -90,3 +90,23 @@ def test_label_model_finds_the_good_voters():
     assert 0.05 < model.prior < 0.2
     assert ((model.posterior[0][patterns] > 0.5) == truth).mean() > 0.98
     assert pattern_bits().shape == (1 << VOTERS, VOTERS)
+
+
+def test_label_model_finds_accuracies_and_overrules_a_label():
+    """Votes of known rates for each class, hardly any labels: EM finds the rates; strong votes beat a wrong label."""
+    from gridcheck.llm.toxicity import VOTERS, LabelModel
+
+    rng = np.random.default_rng(2)
+    toxic = rng.random(20_000) < 0.2
+    rate = np.where(toxic[:, None], np.linspace(0.5, 0.8, VOTERS), np.linspace(0.02, 0.1, VOTERS))
+    bits = rng.random(rate.shape) < rate
+    pattern = bits @ (1 << np.arange(VOTERS))
+    group = np.where(rng.random(len(toxic)) < 0.05, 1 + toxic, 0)
+    counts = np.stack([np.bincount(pattern[group == g], minlength=1 << VOTERS) for g in range(3)]).astype(float)
+    model = LabelModel(counts)
+    found = np.array(list(model.accuracies.values()))
+    assert np.abs(found[:, 1] - np.linspace(0.5, 0.8, VOTERS)).max() < 0.05 and np.abs(found[:, 0] - np.linspace(0.02, 0.1, VOTERS)).max() < 0.05
+    assert ((model.posterior[0][pattern] > 0.5) == toxic).mean() > 0.97
+    every, none = (1 << VOTERS) - 1, 0
+    assert model.posterior[1][every] > 0.5 > model.posterior[2][none]
+    assert model.posterior[2][1] > model.posterior[0][1] > model.posterior[1][1]
