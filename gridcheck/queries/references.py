@@ -164,9 +164,21 @@ def distinct(spark: SparkSession, d: str) -> DataFrame:
     return U.distinct_values({"part": table(spark, d, "part").select("p_brand", "p_type"), "orders": table(spark, d, "orders").select("o_orderpriority")})
 
 
-@R.add("win2_load_duplicates")
+@R.add(
+    "win2_load_duplicates",
+    """WITH RECURSIVE o AS (SELECT doc_id, CAST(doc_id // 2 AS VARCHAR) AS id, sha256(text) AS key, coalesce(source, '') AS file, row_number() OVER (ORDER BY source NULLS LAST, doc_id) AS n FROM documents),
+    run AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS id_files, CAST([] AS VARCHAR[]) AS keys, CAST([] AS VARCHAR[]) AS key_files, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS outcome
+      UNION ALL SELECT n, CASE WHEN outcome = 'loaded' THEN list_append(ids, id) ELSE ids END, CASE WHEN outcome = 'loaded' THEN list_append(id_files, file) ELSE id_files END,
+        CASE WHEN outcome = 'loaded' THEN list_append(keys, key) ELSE keys END, CASE WHEN outcome = 'loaded' THEN list_append(key_files, file) ELSE key_files END, doc_id, id, outcome
+      FROM (SELECT o.n, run.ids, run.id_files, run.keys, run.key_files, o.doc_id, o.id, o.key, o.file,
+          CASE WHEN coalesce(list_contains(run.ids, o.id), false) THEN 'duplicate-id' || CASE WHEN run.id_files[list_position(run.ids, o.id)] = o.file THEN '' ELSE '-cross-file' END
+               WHEN coalesce(list_contains(run.keys, o.key), false) THEN 'duplicate-key' || CASE WHEN run.key_files[list_position(run.keys, o.key)] = o.file THEN '' ELSE '-cross-file' END
+               ELSE 'loaded' END AS outcome
+        FROM run JOIN o ON o.n = run.n + 1))
+    SELECT doc_id, id, outcome FROM run WHERE n > 0""",
+)
 def loaded(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id"), (F.col("doc_id") % 700).cast("string").alias("id"), F.sha2("text", 256).alias("key"), "source")
+    docs = table(spark, d, "documents").select("doc_id", F.expr("CAST(doc_id div 2 AS STRING)").alias("id"), F.sha2("text", 256).alias("key"), "source")
     return U.load_duplicates(docs, "id", "key", ["source", "doc_id"], "source").select("doc_id", "id", "outcome")
 
 

@@ -355,3 +355,16 @@ def lookups(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("long").alias("first_line")
     first = tables.first_lines("part", "P_TYPE", "p_partkey").select(F.lit("first").alias("kind"), F.col("key").alias("value"), "first_line")
     return tables.values("PART", "p_brand").select(F.lit("value").alias("kind"), "value", none).unionByName(tables.filtered_values("part", "p_name", "p_size", "7").select(F.lit("filtered").alias("kind"), "value", none)).unionByName(first)
+
+
+@R.add(
+    "agg8_catalog_parity",
+    """SELECT 'de' AS locale, 'k' || p_partkey AS key, 'missing-key' AS code FROM part WHERE p_size <= 10 UNION ALL SELECT 'de', 'k' || p_partkey, 'placeholders' FROM part WHERE p_size > 10 AND p_size % 5 = 0
+    UNION ALL SELECT 'de', 'x' || p_partkey, 'extra-key' FROM part WHERE p_size = 7""",
+)
+def catalog_parity(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    entry = lambda rows, locale, key, template: rows.select(F.lit(locale).alias("locale"), F.expr(f"concat('{key}', p_partkey)").alias("key"), template.alias("template"))
+    base = entry(part, "en", "k", F.concat(F.lit("{value} is not a "), "p_name"))
+    own = entry(part.filter("p_size > 10"), "DE", "k", F.when(F.col("p_size") % 5 == 0, "{wert} fehlt").otherwise("es fehlt {value}"))
+    return M.check_catalog_parity(base.unionByName(own).unionByName(entry(part.filter("p_size = 7"), "de", "x", F.lit("mehr"))))

@@ -140,3 +140,16 @@ def decoded(spark: SparkSession, d: str) -> DataFrame:
 def stats(spark: SparkSession, d: str) -> DataFrame:
     mark = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"), F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("41"))).otherwise(F.unhex(F.lit(""))))
     return S.load_stats(S.decode_text(table(spark, d, "documents").select(mark.alias("content"))))
+
+
+@R.add(
+    "src4_header_map",
+    "SELECT CAST(l_orderkey AS VARCHAR) AS path, lower(l_linestatus || l_returnflag) AS name, CAST(min(l_linenumber) AS INTEGER) AS first_idx, CAST(max(l_linenumber) AS INTEGER) AS last_idx FROM lineitem GROUP BY ALL",
+)
+def header_map(spark: SparkSession, d: str) -> DataFrame:
+    # the headers of a file repeat, in upper or lower case; some are empty
+    line = table(spark, d, "lineitem")
+    name = F.concat("l_linestatus", "l_returnflag")
+    cells = line.select(F.col("l_orderkey").cast("string").alias("path"), F.when(F.col("l_linenumber") % 2 == 0, name).otherwise(F.lower(name)).alias("col_name"), F.col("l_linenumber").alias("col_idx"))
+    hidden = line.select(F.col("l_orderkey").cast("string").alias("path"), F.lit("").alias("col_name"), (F.col("l_linenumber") + 10).alias("col_idx"))
+    return S.header_map(cells.unionByName(hidden))
