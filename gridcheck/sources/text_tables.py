@@ -14,6 +14,9 @@ TABLE_EXTENSIONS = ("txt", "tsv", "tbl", "csv")
 LATIN1_SPECIALS = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
 CP1252_SPECIALS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
+#: Cells whose lengths are summed together.
+SUMMED = 128
+
 
 def discover(spark: SparkSession, root: str, exts: Sequence[str] = TABLE_EXTENSIONS, recursive: bool = True, ignore_case: bool = True) -> DataFrame:
     """``path``, ``stem``, ``ext``, ``bytes`` of the files with one of the extensions; their content is not read."""
@@ -82,8 +85,14 @@ def cells_of(lines: DataFrame, delimiter: str = "\t", file_cols: Sequence[str] =
     header = rows.filter("line = 0").select(*(F.col(c).alias(f"__{c}") for c in file_cols), F.col("cells").alias("header"))
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in file_cols]
     rows = rows.filter("line > 0").join(header, on).drop(*(f"__{c}" for c in file_cols))
-    starts = F.transform("cells", lambda x, i: F.aggregate(F.slice("cells", F.lit(1), i), F.lit(0), lambda a, y: a + utf16_len(y) + utf16_len(F.lit(delimiter))))
-    rows = rows.select(*file_cols, "line", "header", F.posexplode(F.arrays_zip(F.col("cells").alias("value"), starts.alias("start"))).alias("col_idx", "c"))
+    # a cell starts after those before it: sums of ``SUMMED`` cells, and within these
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+    part = lambda i: F.floor(i / SUMMED).cast("int")
+    rows = rows.withColumn("lengths", F.transform("cells", lambda y: utf16_len(y) + utf16_len(F.lit(delimiter))))
+    rows = rows.withColumn("sums", F.transform(F.sequence(F.lit(0), part(F.size("lengths"))), lambda k: total(F.slice("lengths", k * SUMMED + 1, F.lit(SUMMED)))))
+    rows = rows.withColumn("sums", F.transform("sums", lambda _, k: total(F.slice("sums", F.lit(1), k))))
+    starts = F.transform("lengths", lambda _, i: F.get("sums", part(i)) + total(F.slice("lengths", part(i) * SUMMED + 1, i % SUMMED)))
+    rows = rows.withColumn("starts", starts).select(*file_cols, "line", "header", F.posexplode(F.arrays_zip(F.col("cells").alias("value"), F.col("starts").alias("start"))).alias("col_idx", "c"))
     return rows.select(*file_cols, "line", "col_idx", F.get("header", F.col("col_idx")).alias("col_name"), F.col("c.start").alias("col_start"), F.col("c.value").alias("value"))
 
 
