@@ -118,3 +118,9 @@ class Encoder:
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+def forget(path: str) -> None:
+    """Drops the chunks that a worker remembers."""
+    if encoder.cache_info().currsize:
+        encoder(path).first.clear(), encoder(path).other.clear()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,27 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
         yield from zip(*(part.column(n).to_pylist() for n in names))
 
 
+def released() -> None:
+    """Gives free memory back to the system; a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def ending(task: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """``task``, after which its worker forgets what it remembered and releases its memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            for f in forget:
+                f()
+            released()
+
+    return run
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix of each number."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import huffman
-from .byte_bpe import encoder
-from .common import dropped, rows_of, shared_dir, written
+from .byte_bpe import encoder, forget
+from .common import dropped, ending, rows_of, shared_dir, written
 
 BLOCK = 1 << 16
 #: Ids in one range partition, about.
@@ -126,6 +126,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def encode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget(path)  # all texts are encoded
         lengths, part = known.value, TaskContext.get().partitionId()
         codes = huffman.canonical_codes(lengths)
         names: list = []
@@ -153,7 +154,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield closed()
 
     ordered = encoded.select("id", "check", "ids").repartitionByRange(parts, "id", "check").sortWithinPartitions("id", "check")
-    blocks = written(ordered.select("id", "ids").mapInArrow(encode_blocks, block_schema), "tokens", f"{folder}/blocks")
+    blocks = written(ordered.select("id", "ids").mapInArrow(ending(encode_blocks), block_schema), "tokens", f"{folder}/blocks")
     dropped(encoded)
     # a row for each PARTITION ids
     sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
@@ -195,4 +196,4 @@ def _decoded(files: TokenFiles, schema: T.StructType, with_ids: bool) -> DataFra
                 columns = [names, part_start + before + starts, np.asarray(sizes, np.int64), [zlib.crc32(x) for x in own], *([own] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return files.blocks.join(files.starts, "part").select("part_start", "before", "doc_ids", "n_tokens", "bits", "steps").mapInArrow(decode, schema)
+    return files.blocks.join(files.starts, "part").select("part_start", "before", "doc_ids", "n_tokens", "bits", "steps").mapInArrow(ending(decode), schema)
