@@ -1,4 +1,4 @@
-"""The ten operators bound to the tables of a data directory.
+"""The operators bound to the tables of a data directory.
 
 Each query runs its operator, with production parameters, over the whole
 table and derives the columns of its contract.
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 def tokenizer_path(name: str) -> str:
@@ -88,6 +89,30 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import HardNegatives
+
+    rows, label = table(spark, sf_dir, "embeddings"), F.col("label").cast("long")
+    mislabelled = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return HardNegatives(mislabelled, every=100, k=5, window=(80, 100)).triples()
+
+
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_windows import read_digests, with_conversation, write_windows
+    from .oracles import PROBE
+
+    turns = with_conversation(table(spark, sf_dir, "conversations"), -7, [("user", PROBE), ("assistant", PROBE)])
+    return read_digests(write_windows(turns))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordered import group_key
+    from .turn_repair import damaged, repaired_turns
+
+    turns = table(spark, sf_dir, "conversations")
+    return repaired_turns(damaged(turns), turns.select("conv_id", group_key("conv_id").alias("g")).distinct())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_score": op2_lm_score,
@@ -99,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_chat_windows": op12_chat_windows,
+    "op13_turn_repair": op13_turn_repair,
 }
-
-ORACLES: dict[str, str] = {}
