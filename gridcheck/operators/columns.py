@@ -177,9 +177,14 @@ def check_code_range(df: DataFrame, table: str, key: Column, col: str, low: int
     Codes of violations: not-integer, negative, wraps-into-range, falls-back, and
     wraps-negative for a negative value that the fold brings into the range.
     """
-    v = F.col("value")
     rows = df.filter(when) if when is not None else df
     long = rows.select(key.alias("row_key"), F.lit(col).alias("col"), F.col(col).cast("string").alias("value")).filter("value <> ''")
+    fine, code, args = code_range(F.col("value"), low, high, fallback, labels)
+    return violations(long.filter(~fine), table, "code-range", code, args=args)
+
+
+def code_range(v: Column, low: int = 0, high: int = 15, fallback: int = 1, labels: Sequence[str] = ()) -> tuple[Column, Column, dict[str, Column]]:
+    """Whether a filled code is in the range; else what is said of it, and what takes effect."""
     folded = wrap_uint(v, 8)
     effective = F.when(folded.between(low, high), folded).otherwise(fallback)
     digits = F.regexp_replace(F.regexp_replace(v, r"^\+", ""), r"^0+(?=.)", "")
@@ -189,7 +194,7 @@ def check_code_range(df: DataFrame, table: str, key: Column, col: str, low: int
     args = {"effective": shown}
     if labels:
         args["label"] = F.get(F.array(*map(F.lit, labels)), shown.cast("int") - low)
-    return violations(long.filter(~fine), table, "code-range", code, args=args)
+    return fine, code, args
 
 
 def with_whitespace_hint(df: DataFrame, col: str = "value") -> DataFrame:

@@ -29,7 +29,7 @@ def _empty(x: Column) -> Column:
     return x["item"].isNull() | (strip_outer_quotes(x["item"]) == "")
 
 
-def _filled(v: Column) -> Column:
+def filled(v: Column) -> Column:
     return v.isNotNull() & (v != "")
 
 
@@ -45,7 +45,7 @@ def check_first_gap(arrays: DataFrame, table: str) -> DataFrame:
     """
     rows = arrays.withColumn("__gap", first_gap(F.col("s"))).filter("__gap IS NOT NULL").select("row_key", "__gap", F.explode("s").alias("x"))
     both = F.array(F.struct(F.lit("item").alias("part"), F.col("x.item").alias("value")), F.struct(F.lit("weight").alias("part"), F.col("x.weight").alias("value")))
-    cells = rows.select("row_key", "__gap", F.col("x.slot").alias("slot"), F.col("x.item").isNull().alias("__absent"), F.explode(both).alias("c")).select("*", "c.*").filter(_filled(F.col("value")))
+    cells = rows.select("row_key", "__gap", F.col("x.slot").alias("slot"), F.col("x.item").isNull().alias("__absent"), F.explode(both).alias("c")).select("*", "c.*").filter(filled(F.col("value")))
     after = F.col("slot") > F.col("__gap")
     own = (F.col("slot") == F.col("__gap")) & (F.col("part") == "weight") & ~F.col("__absent")
     found = cells.filter(after | own)
@@ -61,19 +61,29 @@ def check_weight(arrays: DataFrame, table: str, resolved: DataFrame | None = Non
     rows = arrays.withColumn("__gap", F.coalesce(first_gap(F.col("s")), F.lit(1 << 30))).select("row_key", "__gap", F.explode("s").alias("x")).select("row_key", "__gap", "x.*").filter((F.col("slot") < F.col("__gap")) & F.col("weight").isNotNull())
     if resolved is not None:
         rows = rows.join(resolved, ["row_key", "slot"], "left_semi")
-    v = strip_outer_quotes(F.col("weight"))
-    code = F.when(F.trim(v) == "", "blank-omission").when(~v.rlike(INTEGER), "noncanonical").when(v.rlike(r"^(?:-[0-9]+|[+-]?0+)$"), "nonpositive-omission")
-    found = rows.withColumn("__code", code).filter("__code IS NOT NULL")
+    found = rows.withColumn("__code", weight_code(F.col("weight"))).filter("__code IS NOT NULL")
     return violations(found, table, "weight", F.col("__code"), col=F.concat(F.lit("weight"), F.col("slot").cast("string")), value=F.col("weight"))
 
 
+def weight_code(weight: Column) -> Column:
+    """What is wrong with a weight; null if nothing."""
+    v = strip_outer_quotes(weight)
+    return F.when(F.trim(v) == "", "blank-omission").when(~v.rlike(INTEGER), "noncanonical").when(v.rlike(r"^(?:-[0-9]+|[+-]?0+)$"), "nonpositive-omission")
+
+
+def declared_count(s: Column, declared: Column) -> tuple[Column, Column, Column]:
+    """What is wrong with a declared number (null: nothing), the number, and the sum over filled slots."""
+    n = F.trim(declared)
+    quantity = lambda x: F.coalesce(F.when(wrap_uint(x["weight"], 8) > 0, wrap_uint(x["weight"], 8)), F.lit(1).cast("long"))
+    actual = F.aggregate(F.filter(s, lambda x: ~_empty(x)), F.lit(0).cast("long"), lambda a, x: a + quantity(x))
+    code = F.when(n.isNull() | (n == "") | (n == "0"), "no-inputs").when(~n.rlike("^[0-9]+$"), "invalid-numinputs").when(n.try_cast("long") != actual, "count-mismatch")
+    return code, n, actual
+
+
 def check_declared_count(arrays: DataFrame, table: str, n_col: str) -> DataFrame:
     """A declared number against the sum over filled slots of their quantity (a byte; absent or 0 is 1)."""
-    n = F.trim(F.col(n_col).cast("string"))
-    quantity = lambda x: F.coalesce(F.when(wrap_uint(x["weight"], 8) > 0, wrap_uint(x["weight"], 8)), F.lit(1).cast("long"))
-    actual = F.aggregate(F.filter("s", lambda x: ~_empty(x)), F.lit(0).cast("long"), lambda a, x: a + quantity(x))
+    code, n, actual = declared_count(F.col("s"), F.col(n_col).cast("string"))
     rows = arrays.withColumn("__n", n).withColumn("__actual", actual)
-    code = F.when(F.col("__n").isNull() | (F.col("__n") == "") | (F.col("__n") == "0"), "no-inputs").when(~F.col("__n").rlike("^[0-9]+$"), "invalid-numinputs").when(F.col("__n").try_cast("long") != F.col("__actual"), "count-mismatch")
     found = rows.withColumn("__code", code).filter("__code IS NOT NULL")
     return violations(found, table, "declared-count", F.col("__code"), col=n_col, value=F.col("__n"), args={"expected": F.coalesce("__n", F.lit("")), "actual": F.col("__actual")})
 

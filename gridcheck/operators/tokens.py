@@ -1,8 +1,8 @@
-"""Mini-lists in a cell (``base,modifier,...``) and formulas, as arrays of tokens."""
+"""Mini-lists in a cell (``base,modifier,...``), as arrays of tokens."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,29 +29,38 @@ def token_arrays(df: DataFrame, key: Column, col: str) -> DataFrame:
     return df.filter(~is_blank(value)).select(key.alias("row_key"), value.alias("value"), F.split(strip_outer_quotes(value), ",", -1).alias("tokens"))
 
 
-def check_modifiers(arrays: DataFrame, table: str, flags: Sequence[str], assignments: Sequence[str] = (), pairs: Sequence[str] = (), col: str = "list") -> DataFrame:
-    """Tokens behind the base: the first that is not recognised starts what is ignored.
+def base_of(tokens: Column) -> Column:
+    """The base: the first token, or the second behind ``qty=n``."""
+    first = F.get(tokens, F.lit(0))
+    return F.when(ascii_lower(first).startswith("qty=") & (F.size(tokens) > 1), F.get(tokens, F.lit(1))).otherwise(first)
 
-    ``flags`` stand alone, ``assignments`` are ``key=value``, ``pairs`` are
-    ``key,value`` and take the next token along.  ``qty=n`` may precede the
-    base.  One violation per cell, with ``stopped_at``.
-    """
+
+def first_unknown(tokens: Column, flags: Sequence[str], assignments: Sequence[str] = (), pairs: Sequence[str] = ()) -> Column:
+    """The place of the first token behind the base that is no modifier; null if all are."""
     low = lambda t: ascii_lower(F.trim(t))
     is_flag = lambda t: low(t).isin(*(f.lower() for f in flags)) if flags else F.lit(False)
     is_assign = lambda t: t.contains("=") & low(F.substring_index(t, "=", 1)).isin(*(a.lower() for a in assignments)) if assignments else F.lit(False)
     is_pair = lambda t: low(t).isin(*(p.lower() for p in pairs)) if pairs else F.lit(False)
-    tokens = F.col("tokens")
     base = F.when(low(F.get(tokens, F.lit(0))).startswith("qty="), 1).otherwise(0)
 
     def known(i: Column) -> Column:
         t = F.get(tokens, i)
-        return is_flag(t) | is_assign(t) | (is_pair(t) & (F.size(tokens) > i + 1)) | ((i - 1 > F.col("__base")) & is_pair(F.get(tokens, i - 1)))
+        return is_flag(t) | is_assign(t) | (is_pair(t) & (F.size(tokens) > i + 1)) | ((i - 1 > base) & is_pair(F.get(tokens, i - 1)))
+
+    rest = F.when(F.size(tokens) > base + 1, F.sequence(base + 1, F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_min(F.filter(rest, lambda i: ~F.coalesce(known(i), F.lit(False))))
+
+
+def check_modifiers(arrays: DataFrame, table: str, flags: Sequence[str], assignments: Sequence[str] = (), pairs: Sequence[str] = (), col: str = "list") -> DataFrame:
+    """Tokens behind the base: the first that is not recognised starts what is ignored.
 
-    rows = arrays.withColumn("__base", base)
-    rest = F.when(F.size(tokens) > F.col("__base") + 1, F.sequence(F.col("__base") + 1, F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("__stop", F.array_min(F.filter(rest, lambda i: ~F.coalesce(known(i), F.lit(False)))))
+    ``flags`` stand alone, ``assignments`` are ``key=value``, ``pairs`` are
+    ``key,value`` and take the next token along.  ``qty=n`` may precede the
+    base.  One violation per cell, with ``stopped_at``.
+    """
+    rows = arrays.withColumn("__stop", first_unknown(F.col("tokens"), flags, assignments, pairs))
     found = rows.filter("__stop IS NOT NULL")
-    return violations(found, table, "modifiers", "ignored-suffix", col=col, args={"stopped_at": F.get(tokens, F.col("__stop")), "position": F.col("__stop")})
+    return violations(found, table, "modifiers", "ignored-suffix", col=col, args={"stopped_at": F.get("tokens", F.col("__stop")), "position": F.col("__stop")})
 
 
 def check_base(arrays: DataFrame, table: str, keys: DataFrame | None, normal=ascii_lower, col: str = "list") -> tuple[DataFrame, DataFrame]:
@@ -61,175 +70,9 @@ def check_base(arrays: DataFrame, table: str, keys: DataFrame | None, normal=asc
     """
     if keys is None:
         return violations(arrays.filter(F.lit(False)), table, "base", "unresolved-base", col=col), arrays
-    first = F.get("tokens", F.lit(0))
-    base = F.when(ascii_lower(first).startswith("qty=") & (F.size("tokens") > 1), F.get("tokens", F.lit(1))).otherwise(first)
-    rows = arrays.withColumn("__base", base).withColumn("__key", normal(F.col("__base")))
+    rows = arrays.withColumn("__base", base_of(F.col("tokens"))).withColumn("__key", normal(F.col("__base")))
     there = rows.select("__key").distinct().join(keys, F.col("__key") == F.col("key"), "left_semi").withColumn("__there", F.lit(True))
     rows = rows.join(there, "__key", "left")
     bad = rows.filter(F.col("__there").isNull())
     found = violations(bad, table, "base", F.when(F.col("__base") == "", "empty-base").otherwise("unresolved-base"), "error", col=col, args={"base": F.col("__base")})
     return found, rows.filter("__there").select(*arrays.columns)
-
-
-# formulas
-
-#: Numbers, identifiers, quoted names, operators of two characters and of one.
-FORMULA_TOKEN = r"[0-9]+(?:\.[0-9]*)?|[A-Za-z_][A-Za-z0-9_]*|'[^']*'|==|!=|<=|>=|[-+*/^<>?:(),.]"
-CALL_ARITY = {"min": (2, 2), "max": (2, 2), "rand": (2, 2), "skill": (2, 2), "miss": (2, 2), "stat": (2, 2), "sksrc": (2, 2), "sklvl": (3, 3), "cond": (1, 2)}
-
-
-def formula_tokens(df: DataFrame, key: Column, cols: Sequence[str]) -> DataFrame:
-    """``row_key``, ``col``, ``value`` and ``tokens`` of every non-blank formula, without a part from an unquoted '%' on."""
-    wide = df.select(key.alias("row_key"), *(F.col(c).cast("string").alias(c) for c in cols))
-    long = wide.unpivot(["row_key"], list(cols), "col", "value").filter(~is_blank(F.col("value")))
-    body = strip_outer_quotes(F.col("value"), trim=True)
-    used = F.regexp_extract(body, r"^((?:[^%']|'[^']*')*)", 1)
-    return long.withColumn("body", body).withColumn("used", F.when(F.length(F.replace(F.col("body"), F.lit("'"))) == F.length("body"), F.substring_index("body", "%", 1)).otherwise(used)).withColumn("tokens", F.regexp_extract_all("used", F.lit(FORMULA_TOKEN), F.lit(0)))
-
-
-def _left_over() -> Column:
-    """What is left of a formula when tokens and white space are gone."""
-    return F.regexp_replace(F.regexp_replace(F.col("used"), FORMULA_TOKEN, ""), r"\s+", "")
-
-
-_LEVEL = "array<struct<call:boolean,fn:string,parts:int,open:int,power:boolean>>"
-
-
-def _walk(tokens: Column) -> Column:
-    """One pass over the tokens: the first fault, bare names outside calls, finished calls, and open parentheses.
-
-    The state has a level for each open parenthesis: whether a function opened
-    it, its parts, its ``?`` without ``:``, and whether a power was just taken
-    (a power takes one exponent).
-    """
-    after = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get(tokens, i + 1), F.lit("")).alias("next")))
-    level = lambda call, fn, parts, open_, power: F.struct(call.alias("call"), fn.alias("fn"), parts.alias("parts"), open_.alias("open"), power.alias("power"))
-    no, zero = F.lit(False), F.lit(0)
-    begin = F.struct(
-        F.lit("start").alias("before"), F.lit("").alias("fn"), F.array(level(no, F.lit(""), zero, zero, no)).cast(_LEVEL).alias("levels"), F.lit(None).cast("string").alias("fault"),
-        F.array().cast("array<string>").alias("names"), F.array().cast("array<struct<fn:string,n:int>>").alias("calls"),
-    )
-
-    def step(a: Column, x: Column) -> Column:
-        t = x["t"]
-        top, outer = F.element_at(a["levels"], -1), F.slice(a["levels"], F.lit(1), F.size(a["levels"]) - 1)
-        kind = (
-            F.when(t.rlike("^[0-9]"), "number").when(t.rlike("^[A-Za-z_]"), F.when(x["next"] == "(", "call").otherwise("name")).when(t.startswith("'"), "quoted")
-            .when(t.isin(",", "."), "part").when(t.isin("(", ")", "?", ":", "^", "-"), t).otherwise("operator")
-        )
-        before = a["before"]
-        ended = before.isin("operand", "close")
-        wanted = before.isin("start", "open", "call-open", "operator", "part")
-        good = (
-            F.when(kind.isin("number", "name", "call"), wanted).when(kind == "quoted", before.isin("call-open", "part")).when(kind == "(", wanted | (before == "call"))
-            .when(kind == ")", (ended | (before == "call-open")) & (top["open"] == 0)).when(kind == "part", ended & top["call"] & (top["open"] == 0))
-            .when(kind == "-", ended | wanted).when(kind == "^", ended & ~top["power"]).when(kind == ":", ended & (top["open"] > 0)).otherwise(ended)
-        )
-        fault = F.coalesce(a["fault"], F.when((kind == ")") & (F.size(a["levels"]) == 1), "unexpected-close").when(~good, "structure"))
-        changed = level(
-            top["call"], top["fn"], top["parts"] + F.when(kind == "part", 1).otherwise(0), top["open"] + F.when(kind == "?", 1).when(kind == ":", -1).otherwise(0),
-            F.when(kind == "^", True).when(kind.isin("operator", "?", ":", "part") | ((kind == "-") & ended), False).otherwise(top["power"]),
-        )
-        pushed = F.concat(a["levels"], F.array(level(before == "call", F.when(before == "call", a["fn"]).otherwise(""), zero, zero, no)))
-        levels = F.when(kind == "(", pushed).when((kind == ")") & (F.size(a["levels"]) > 1), outer).otherwise(F.concat(outer, F.array(changed)))
-        now = F.when(kind.isin("number", "name", "quoted"), "operand").when(kind == "call", "call").when(kind == "(", F.when(before == "call", "call-open").otherwise("open")).when(kind == ")", "close").when(kind == "part", "part").otherwise("operator")
-        outside = ~F.exists(a["levels"], lambda v: v["call"])
-        finished = F.struct(top["fn"].alias("fn"), F.when(before == "call-open", 0).otherwise(top["parts"] + 1).alias("n"))
-        return F.struct(
-            now.alias("before"), F.when(kind == "call", ascii_lower(t)).otherwise(a["fn"]).alias("fn"), levels.cast(_LEVEL).alias("levels"), fault.alias("fault"),
-            F.when((kind == "name") & outside, F.concat(a["names"], F.array(t))).otherwise(a["names"]).alias("names"),
-            F.when((kind == ")") & top["call"], F.concat(a["calls"], F.array(finished))).otherwise(a["calls"]).alias("calls"),
-        )
-
-    def end(a: Column) -> Column:
-        missing = F.size(a["levels"]) - 1
-        unfinished = ~a["before"].isin("operand", "close", "start") | (F.element_at(a["levels"], -1)["open"] > 0)
-        fault = F.coalesce(a["fault"], F.when(unfinished, "structure").when(missing == 1, "missing-close").when(missing > 1, "structure"))
-        return F.struct(fault.alias("fault"), a["names"].alias("names"), a["calls"].alias("calls"), missing.alias("missing"))
-
-    return F.aggregate(after, begin, step, end)
-
-
-def check_formula_characters(formulas: DataFrame, table: str) -> DataFrame:
-    """What is left when tokens and white space are gone: unknown characters, an open quote."""
-    found = formulas.withColumn("__left", _left_over()).filter("__left <> ''")
-    return violations(found, table, "formula-lexical", F.when(F.col("__left").contains("'"), "unterminated-quote").otherwise("unknown-character"), "error", args={"left": F.col("__left")})
-
-
-def check_formula_balance(formulas: DataFrame, table: str) -> DataFrame:
-    """Whether the tokens are one whole expression: a missing last ')' is a warning, all else an error.
-
-    Faults of structure: operands or operators side by side, a '(' after an
-    operand, a second '^' of one power, ',' or '.' outside arguments, a ':'
-    without '?' or the reverse, an operator at the end.  A ')' without '(' is
-    an unexpected close.  Formulas with unknown characters are not parsed.
-    """
-    rows = formulas.filter(_left_over() == "").withColumn("__walk", _walk(F.col("tokens")))
-    code = F.col("__walk.fault")
-    found = rows.filter(code.isNotNull() & (F.size("tokens") > 0))
-    return violations(found, table, "formula-balance", code, F.when(code == "missing-close", "warning").otherwise("error"), args={"depth": F.col("__walk.missing")})
-
-
-def check_formula_identifiers(formulas: DataFrame, table: str, dictionary: DataFrame | None, four: bool = False) -> DataFrame:
-    """Bare identifiers outside calls must be in the dictionary (column ``key``); none: nothing is checked.
-
-    Inside are the arguments of any call, at whatever depth; plain parentheses
-    are not.  ``four`` compares the first four characters, padded.
-    """
-    if dictionary is None:
-        return violations(formulas.filter(F.lit(False)), table, "formula-identifier", "unknown-identifier")
-    bare = _walk(F.col("tokens"))["names"]
-    normal = (lambda c: F.rpad(F.substring(ascii_lower(c), 1, 4), 4, " ")) if four else ascii_lower
-    used = formulas.filter(_left_over() == "").select("row_key", "col", F.explode(bare).alias("value")).withColumn("__key", normal(F.col("value")))
-    keys = dictionary.select(normal(F.col("key")).alias("__key")).distinct()
-    unknown = used.select("__key").distinct().join(keys, "__key", "left_anti")
-    return violations(used.join(unknown, "__key", "left_semi"), table, "formula-identifier", "unknown-identifier", "error")
-
-
-def check_formula_references(formulas: DataFrame, table: str, targets: Mapping[str, DataFrame]) -> DataFrame:
-    """``fn('Name'.ident)``: the name must be a key of the function's target; functions without one are skipped."""
-    calls = F.regexp_extract_all("used", F.lit(r"([A-Za-z]+)\(\s*'([^']*)'"), F.lit(0))
-    rows = formulas.select("row_key", "col", F.explode(calls).alias("call")).select("row_key", "col", ascii_lower(F.regexp_extract("call", r"^([A-Za-z]+)", 1)).alias("fn"), F.regexp_extract("call", r"'([^']*)'", 1).alias("value"))
-    keys = None
-    for fn, df in targets.items():
-        one = df.select(F.lit(fn).alias("fn"), F.col("key").alias("__key"))
-        keys = one if keys is None else keys.unionByName(one)
-    if keys is None:
-        return violations(rows.filter(F.lit(False)), table, "formula-reference", "unresolved-name")
-    rows = rows.filter(F.col("fn").isin(*targets)).withColumn("__key", ascii_lower(F.col("value")))
-    missing = rows.select("fn", "__key").distinct().join(keys.distinct(), ["fn", "__key"], "left_anti")
-    return violations(rows.join(missing, ["fn", "__key"], "left_semi"), table, "formula-reference", "unresolved-name", "error", args={"fn": F.col("fn")})
-
-
-def check_formula_arity(formulas: DataFrame, table: str, arity: Mapping[str, tuple[int, int]] = CALL_ARITY) -> DataFrame:
-    """Arguments of every finished call, nested or not: commas and dots at its own depth part them."""
-    rows = formulas.filter(_left_over() == "").select("row_key", "col", F.explode(_walk(F.col("tokens"))["calls"]).alias("call"))
-    rows = rows.select("row_key", "col", F.col("call.fn").alias("fn"), F.col("call.n").alias("__n")).filter(F.col("fn").isin(*arity))
-    low = F.element_at(F.create_map(*(x for k, (a, _) in arity.items() for x in (F.lit(k), F.lit(a)))), F.col("fn"))
-    high = F.element_at(F.create_map(*(x for k, (_, b) in arity.items() for x in (F.lit(k), F.lit(b)))), F.col("fn"))
-    return violations(rows.filter((F.col("__n") < low) | (F.col("__n") > high)), table, "formula-arity", "arity", "error", value=F.col("fn"), args={"fn": F.col("fn"), "found": F.col("__n"), "least": low, "most": high})
-
-
-def check_formula_policy(formulas: DataFrame, table: str, exempt: Sequence[str] = ()) -> DataFrame:
-    """Decimals (unless the column is exempt), and an unquoted '%' that ends the formula (an error at the start)."""
-    decimals = F.filter("tokens", lambda t: t.rlike(r"^[0-9]+\.[0-9]"))
-    found = formulas.filter((F.size(decimals) > 0) & ~F.col("col").isin(*exempt)) if exempt else formulas.filter(F.size(decimals) > 0)
-    one = violations(found, table, "formula-policy", "decimal", args={"first": F.get(decimals, F.lit(0))})
-    cut = formulas.filter(F.length("used") < F.length("body"))
-    at = F.length("used")
-    two = violations(cut, table, "formula-policy", "percent-ends-formula", F.when(F.trim("used") == "", "error").otherwise("warning"), args={"position": at})
-    return one.unionByName(two)
-
-
-def with_alias_hint(formulas: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Identifiers par10 to par20 that are read as their first four characters: both, and ``pa`` + number if it exists.
-
-    ``hint`` is null unless the short form and the suggestion are both in the dictionary.
-    """
-    names = F.filter("tokens", lambda t: ascii_lower(t).rlike(r"^par(?:1[0-9]|20)$"))
-    rows = formulas.select("row_key", "col", F.explode(F.array_distinct(names)).alias("identifier"))
-    rows = rows.withColumn("read_as", F.substring(ascii_lower(F.col("identifier")), 1, 4)).withColumn("suggestion", F.concat(F.lit("pa"), F.substring("identifier", 4, 2)))
-    keys = dictionary.select(ascii_lower(F.col("key")).alias("k")).distinct()
-    short = keys.select(F.col("k").alias("read_as"), F.lit(True).alias("__a"))
-    long = keys.select(F.col("k").alias("suggestion"), F.lit(True).alias("__b"))
-    return rows.join(short, "read_as", "left").join(long, "suggestion", "left").select("row_key", "col", "identifier", "read_as", F.when(F.col("__a") & F.col("__b"), F.col("suggestion")).alias("hint"))

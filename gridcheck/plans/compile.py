@@ -1,8 +1,8 @@
 """From a contract and tables to one plan of violations.
 
-Column rules of a table share one melted scan.  References with the same
-target share its distinct keys.  A reference whose target table or column is
-missing is left out: nothing can be proved invalid then.
+All rules of a table are one expression over its rows; references of all tables
+share one anti join.  A reference whose target table or column is missing is left
+out: nothing can be proved invalid then.
 """
 
 from __future__ import annotations
@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 
 from gridcheck.operators import columns as C
 from gridcheck.operators import refs as R
+from gridcheck.operators.findings import asked_keys, exploded, resolved
 from gridcheck.operators.unique import check_unique
-from gridcheck.plans.contract import Contract, physical_column
+from gridcheck.plans.contract import Contract, physical_columns
+from gridcheck.plans.fused import Edges, normal_targets, table_findings
 from gridcheck.violations import SCHEMA, merge_violations, row_key, violations
 
-TYPES = {"int": "int", "float": "float", "boolean": "boolean", "stored_boolean": "stored_boolean"}
-
-
 class TableSet:
     """Tables by stem, with the look-ups that custom rules use."""
 
@@ -67,38 +66,28 @@ class TableSet:
 
 
 def compile_contract(contract: Contract, tables: TableSet) -> list[DataFrame]:
-    """A violations plan per table and kind of rule; nothing is run."""
-    out = []
+    """The violations plans: one of all columns, slots and references of all tables, one of unique columns per table.
+
+    Nothing is run.  Each table is scanned once for its findings, and once more,
+    for its reference columns alone, if it has references; see ``plans.fused``.
+    """
+    edges = Edges(tables.has_target)
+    found, asked, unique = [], [], []
     for name, table in contract.tables.items():
         if not tables.has_table(name):
             continue
         df = tables.table(name)
-        found = [(c, p) for c in contract.columns_of(name) if (p := physical_column(c, df.columns))]
         key = row_key(*table.key) if table.key else F.lit(None).cast("string")
-        if not found:
-            continue
-        long = C.melt(df, key, list(dict.fromkeys(p for _, p in found)))
-        kinds = {p: TYPES[c.type] for c, p in found if c.type in TYPES}
-        if kinds:
-            out.append(C.check_columns(long, name, kinds))
-        for limit in sorted({c.max_chars for c, _ in found if c.max_chars}):
-            out.append(C.check_max_chars(long, name, [p for c, p in found if c.max_chars == limit], limit))
-        for limit in sorted({c.max_bytes for c, _ in found if c.max_bytes}):
-            out.append(C.check_max_bytes(long, name, [p for c, p in found if c.max_bytes == limit], limit))
-        targets: dict[tuple, list[str]] = {}
-        for c, p in found:
-            if c.table and c.column:
-                targets.setdefault((c.table, c.column, c.resolver, c.unknown), []).append(p)
-            elif c.values:
-                out.append(R.check_enum(long.filter(F.col("col") == p), name, list(c.values), c.resolver, c.unknown))
-        for (t, col, resolver, policy), cols in targets.items():
-            keys = tables.keys(t, col, resolver)
-            if keys is not None:
-                out.append(R.check_reference(long.filter(F.col("col").isin(*cols)), name, keys, f"{t}.{col}", resolver, policy))
-        unique = [p for c, p in found if c.unique]
-        if unique and table.order:
-            out.append(check_unique(df, name, unique, table.order, key))
-    return out
+        rows = C.drop_comment_rows(df, table.comments) if table.comments else df
+        findings, with_keys = table_findings(contract, table, rows, edges)
+        if findings is not None:
+            found.append(exploded(rows, name, key, findings, F.col(table.line) if table.line else None))
+        if with_keys is not None:
+            asked.append(asked_keys(rows, with_keys))
+        columns = [p for c in contract.columns_of(name) if c.unique for p in physical_columns(c, df.columns)]
+        if columns and table.order:
+            unique.append(check_unique(rows, name, columns, table.order, key))
+    return ([resolved(found, asked, normal_targets(edges, tables.keys))] if found else []) + unique
 
 
 @dataclass(frozen=True)

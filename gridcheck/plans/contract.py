@@ -10,8 +10,28 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 
+@dataclass(frozen=True)
+class ColumnRule:
+    """One more rule of a column: its kind, parameters, and the versions in which it applies (none named: all)."""
+
+    kind: str
+    params: Mapping[str, Any] = field(default_factory=dict)
+    versions: tuple[str, ...] = ()
+    not_versions: tuple[str, ...] = ()
+
+    @staticmethod
+    def of(raw: Mapping[str, Any]) -> ColumnRule:
+        known = ("kind", "versions", "not_versions")
+        return ColumnRule(raw["kind"], {k: v for k, v in raw.items() if k not in known}, tuple(raw.get("versions", ())), tuple(raw.get("not_versions", ())))
+
+    def applies(self, version: str | None) -> bool:
+        return version not in self.not_versions and (not self.versions or version in self.versions)
+
+
 @dataclass(frozen=True)
 class ColumnContract:
+    """What a column must hold; a name with '#' stands for all columns of a numbered family."""
+
     name: str
     alt_names: tuple[str, ...] = ()
     type: str = "string"
@@ -23,13 +43,24 @@ class ColumnContract:
     values: tuple[str, ...] = ()
     max_chars: int | None = None
     max_bytes: int | None = None
+    exempt: bool = False
+    rules: tuple[ColumnRule, ...] = ()
 
     @staticmethod
     def of(raw: Mapping[str, Any]) -> ColumnContract:
         kind = raw.get("type") or {}
         kind = {"type": kind} if isinstance(kind, str) else kind
         values = tuple(str(v[0] if isinstance(v, list) else v) for v in raw.get("values", ()))
-        return ColumnContract(raw["name"], tuple(raw.get("alt_names", ())), kind.get("type", "string"), bool(raw.get("unique", False)), kind.get("table"), kind.get("column"), kind.get("resolver", "ascii-ci"), kind.get("unknown", "error"), values, kind.get("max_chars"), kind.get("max_bytes"))
+        return ColumnContract(raw["name"], tuple(raw.get("alt_names", ())), kind.get("type", "string"), bool(raw.get("unique", False)), kind.get("table"), kind.get("column"), kind.get("resolver", "ascii-ci"), kind.get("unknown", "error"), values, kind.get("max_chars"), kind.get("max_bytes"), bool(raw.get("exempt", False)), tuple(map(ColumnRule.of, raw.get("rules", ()))))
+
+
+@dataclass(frozen=True)
+class SlotContract:
+    """Numbered families of a row, item and weight, and the rules on them (kinds in ``plans.fused.SLOT_RULES``)."""
+
+    items: str
+    weights: str | None = None
+    rules: tuple[ColumnRule, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -39,6 +70,9 @@ class TableContract:
     order: str | None = None
     append: tuple[str, ...] = ()
     columns: tuple[ColumnContract, ...] = ()
+    slots: tuple[SlotContract, ...] = ()
+    comments: str | None = None
+    line: str | None = None
 
 
 @dataclass(frozen=True)
@@ -48,7 +82,7 @@ class Contract:
 
     @staticmethod
     def of(raw: Mapping[str, Any]) -> Contract:
-        tables = {n: TableContract(n, tuple(t.get("key", ())), t.get("order"), tuple(t.get("append", ())), tuple(ColumnContract.of(c) for c in t.get("columns", ()))) for n, t in raw["tables"].items()}
+        tables = {n: TableContract(n, tuple(t.get("key", ())), t.get("order"), tuple(t.get("append", ())), tuple(ColumnContract.of(c) for c in t.get("columns", ())), tuple(SlotContract(x["items"], x.get("weights"), tuple(map(ColumnRule.of, x.get("rules", ())))) for x in t.get("slots", ())), t.get("comments"), t.get("line")) for n, t in raw["tables"].items()}
         return Contract(tables, raw.get("version"))
 
     @staticmethod
@@ -83,6 +117,16 @@ class Contract:
         return spark.createDataFrame(rows, "table string, col string, type string, max_chars int, max_bytes int")
 
 
+def physical_columns(contract: ColumnContract, columns: list[str]) -> list[str]:
+    """The table's columns for a contract: the one, or all of a numbered family."""
+    if "#" in contract.name:
+        from gridcheck.operators.columns import expand_numbered
+
+        return expand_numbered(columns, contract.name)
+    found = physical_column(contract, columns)
+    return [found] if found else []
+
+
 def physical_column(contract: ColumnContract, columns: list[str]) -> str | None:
     """The table's column for a contract: by name, else an alternative name, in any case."""
     have = {}

@@ -9,6 +9,7 @@ from gridcheck import violations as V
 from gridcheck.functions import messages as M
 from gridcheck.functions.scalar import ascii_lower, format_percent
 from gridcheck.operators import columns as C
+from gridcheck.operators import formulas as X
 from gridcheck.operators import slot_rules as L
 from gridcheck.operators import tokens as T
 from gridcheck.plans.compile import RuleSet, TableSet, validate
@@ -152,7 +153,7 @@ def formulas(spark: SparkSession, d: str) -> DataFrame:
         .when(k % 6 == 4, F.concat(F.lit("lvl+*"), size, F.lit("#")))
         .otherwise(F.concat(F.lit("lvl % "), size))
     )
-    return T.formula_tokens(table(spark, d, "part").withColumn("calc", v), row_key("p_partkey"), ["calc"])
+    return X.formulas(table(spark, d, "part").withColumn("calc", v), row_key("p_partkey"), ["calc"])
 
 
 @R.add(
@@ -166,10 +167,9 @@ def formulas(spark: SparkSession, d: str) -> DataFrame:
 )
 def check_formulas(spark: SparkSession, d: str) -> DataFrame:
     f = formulas(spark, d)
-    names = table(spark, d, "part").filter("p_size <= 25").select(ascii_lower(F.col("p_name")).alias("key")).distinct()
+    names = table(spark, d, "part").filter("p_size <= 25").select(F.col("p_name").alias("key"))
     words = spark.createDataFrame([("lvl",), ("par1",)], "key string")
-    parts = [T.check_formula_arity(f, "part"), T.check_formula_balance(f, "part"), T.check_formula_characters(f, "part"), T.check_formula_policy(f, "part"), T.check_formula_identifiers(f, "part", words), T.check_formula_references(f, "part", {"skill": names})]
-    return V.merge_violations(parts).select("row_key", "rule", "code")
+    return X.check_formulas(f, "part", {"skills": (names, "ascii-ci"), "scope": (words, "exact")}).select("row_key", "rule", "code")
 
 
 @R.add(
@@ -179,18 +179,18 @@ def check_formulas(spark: SparkSession, d: str) -> DataFrame:
 )
 def nested_calls(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").withColumn("calc", F.concat(F.lit("1+max(min("), F.expr("repeat('1,', p_size % 4)"), F.lit("(p_size))"), F.when(F.col("p_partkey") % 3 > 0, ", 2-par1").otherwise(""), F.lit(")")))
-    found = T.check_formula_arity(T.formula_tokens(part, row_key("p_partkey"), ["calc"]), "part")
+    found = X.check_formulas(X.formulas(part, row_key("p_partkey"), ["calc"]), "part").filter("rule = 'formula-arity'")
     return found.select("row_key", F.col("args.fn").alias("fn"), F.col("args.found").cast("long").alias("found"))
 
 
 @R.add(
     "frm5_parentheses",
     """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS row_key, p_size % 4 AS opened, p_partkey % 4 AS closed, p_size % 3 AS powers FROM part)
-    SELECT row_key, CASE WHEN powers = 2 THEN 'structure' WHEN closed > opened THEN 'unexpected-close' WHEN opened - closed = 1 THEN 'missing-close' ELSE 'structure' END AS code FROM p WHERE powers = 2 OR opened <> closed""",
+    SELECT row_key, CASE WHEN powers = 2 THEN 'structure' WHEN closed > opened THEN 'unexpected-close' ELSE 'missing-close' END AS code FROM p WHERE powers = 2 OR opened <> closed""",
 )
 def parentheses(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").withColumn("calc", F.expr("concat(repeat('(', p_size % 4), '7', repeat('^2', p_size % 3), repeat(')', p_partkey % 4))"))
-    return T.check_formula_balance(T.formula_tokens(part, row_key("p_partkey"), ["calc"]), "part").select("row_key", "code")
+    return X.check_formulas(X.formulas(part, row_key("p_partkey"), ["calc"]), "part").select("row_key", "code")
 
 
 @R.add(
@@ -200,24 +200,25 @@ def parentheses(spark: SparkSession, d: str) -> DataFrame:
 def bare_names(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").withColumn("calc", F.expr("concat('min(1,y', p_size, ')+(w', p_size, ')*rand(1,(z))-x', p_size % 7)"))
     words = spark.createDataFrame([(f"w{k}",) for k in range(26)] + [("x3",)], "key string")
-    return T.check_formula_identifiers(T.formula_tokens(part, row_key("p_partkey"), ["calc"]), "part", words).select("row_key", "value")
+    return X.check_formulas(X.formulas(part, row_key("p_partkey"), ["calc"]), "part", {"scope": (words, "exact")}).select("row_key", "value")
 
 
 @R.add("frm1_formula_tokens", "SELECT CAST(p_partkey AS VARCHAR) AS row_key, CAST(CASE p_partkey % 6 WHEN 0 THEN 13 WHEN 1 THEN 4 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 1 END AS BIGINT) AS n FROM part")
 def formula_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return formulas(spark, d).select("row_key", F.size("tokens").cast("long").alias("n"))
+    return X.formula_tokens(formulas(spark, d)).select("row_key", F.size("tokens").cast("long").alias("n"))
 
 
-def checks(spark: SparkSession, d: str) -> DataFrame:
-    from gridcheck.operators import refs as X
+CHECKS = {
+    "tables": {
+        "lineitem": {"key": ["l_orderkey", "l_linenumber"], "columns": [{"name": "l_partkey", "type": {"type": "reference", "table": "part", "column": "p_partkey"}}, {"name": "l_returnflag", "type": {"unknown": "warning"}, "values": ["A", "R"]}]},
+        "orders": {"key": ["o_orderkey"], "columns": [{"name": "o_orderpriority", "type": {"unknown": "warning"}, "values": ["1-URGENT", "2-HIGH"]}]},
+    }
+}
 
-    line = table(spark, d, "lineitem")
-    long = C.melt(line, row_key("l_orderkey", "l_linenumber"), ["l_partkey", "l_returnflag"])
-    a = X.check_reference(long.filter("col = 'l_partkey'"), "lineitem", X.keys_of(table(spark, d, "part").filter("p_size <= 25"), "p_partkey"), "part")
-    b = X.check_enum(long.filter("col = 'l_returnflag'"), "lineitem", ["A", "R"], policy="warning")
-    orders = C.melt(table(spark, d, "orders"), row_key("o_orderkey"), ["o_orderpriority"])
-    c = X.check_enum(orders, "orders", ["1-URGENT", "2-HIGH"], policy="warning")
-    return V.merge_violations([a, b, c])
+
+def checks(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").filter("p_size <= 25")
+    return validate(Contract.of(CHECKS), {"lineitem": table(spark, d, "lineitem"), "orders": table(spark, d, "orders"), "part": part})
 
 
 CHECKS_SQL = """WITH v AS (SELECT 'lineitem' AS "table", 'error' AS severity, l_orderkey || '|' || l_linenumber AS row_key, 'reference' AS rule FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)
@@ -268,7 +269,7 @@ def carried(spark: SparkSession, d: str) -> DataFrame:
 CATALOG = [("en", "reference.unresolved", "{value} is not in {target}"), ("de", "reference.unresolved", "{value} fehlt in {target}"), ("en", "enum.unresolved", "{value} is not allowed"), ("de", "enum.unresolved", "{wert} ist nicht erlaubt"), ("en", "gone", "gone"), ("fr", "reference.unresolved", "{value} absent de {target}"), ("fr", "enum.unresolved", "{value} interdit"), ("fr", "gone", "parti"), ("fr", "extra", "plus")]
 
 
-@R.add("scl11_render_messages", "SELECT l_orderkey || '|' || l_linenumber AS row_key, l_partkey || ' fehlt in part' AS message FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
+@R.add("scl11_render_messages", "SELECT l_orderkey || '|' || l_linenumber AS row_key, l_partkey || ' fehlt in part.p_partkey' AS message FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
 def messages(spark: SparkSession, d: str) -> DataFrame:
     catalog = spark.createDataFrame(CATALOG, "locale string, key string, template string")
     found = checks(spark, d).filter("rule = 'reference'").withColumn("args", F.map_concat("args", F.create_map(F.lit("value"), F.col("value"))))
@@ -278,17 +279,27 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 CONTRACT = {
     "version": "3.3",
     "tables": {
-        "lineitem": {"key": ["l_orderkey", "l_linenumber"], "columns": [{"name": "L_PARTKEY", "type": {"type": "int", "table": "part", "column": "p_partkey"}}, {"name": "l_suppkey", "type": {"type": "reference", "table": "absent", "column": "x"}}, {"name": "flag", "alt_names": ["l_returnflag"], "values": ["A", "R"]}]},
+        "lineitem": {
+            "key": ["l_orderkey", "l_linenumber"],
+            "columns": [
+                {"name": "L_PARTKEY", "type": {"type": "int", "table": "part", "column": "p_partkey"}}, {"name": "l_suppkey", "type": {"type": "reference", "table": "supplier", "column": "s_suppkey", "unknown": "warning"}}, {"name": "l_orderkey", "type": {"type": "reference", "table": "orders", "column": "o_orderkey"}},
+                {"name": "l_linenumber", "type": {"type": "reference", "table": "nation", "column": "n_nationkey", "resolver": "exact"}}, {"name": "l_tax", "type": {"type": "reference", "table": "absent", "column": "x"}}, {"name": "flag", "alt_names": ["l_returnflag"], "values": ["A", "R"]},
+            ],
+        },
         "part": {"key": ["p_partkey"], "order": "p_partkey", "append": ["more"], "columns": [{"name": "p_name", "unique": True}]},
-        "more": {"columns": [{"name": "p_brand", "type": {"type": "string", "max_chars": 7}}]},
+        "more": {"columns": [{"name": "p_brand", "type": {"type": "string", "max_chars": 7}, "rules": [{"kind": "formula", "versions": ["1.0"]}]}, {"name": "p_size", "rules": [{"kind": "code_range", "low": 0, "high": 15, "when": {"column": "p_brand", "value": "Brand#13"}, "versions": ["3.3"]}]}]},
     },
-}
+}
 
 
 @R.add(
     "e1_validate_contract",
     """SELECT l_orderkey || '|' || l_linenumber AS row_key, 'reference' AS rule, 'l_partkey' AS col FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)
+    UNION ALL SELECT l_orderkey || '|' || l_linenumber, 'reference', 'l_suppkey' FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+    UNION ALL SELECT l_orderkey || '|' || l_linenumber, 'reference', 'l_orderkey' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 50000)
+    UNION ALL SELECT l_orderkey || '|' || l_linenumber, 'reference', 'l_linenumber' FROM lineitem WHERE l_linenumber NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey <> 3)
     UNION ALL SELECT l_orderkey || '|' || l_linenumber, 'enum', 'l_returnflag' FROM lineitem WHERE l_returnflag NOT IN ('A', 'R')
+    UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'code-range', 'p_size' FROM part WHERE p_size <= 25 AND p_brand = 'Brand#13' AND p_size > 15
     UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'unique', 'p_name' FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY lower(p_name)) AS first FROM part WHERE p_size <= 25) WHERE p_partkey <> first
     UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'max-chars', 'p_brand' FROM part WHERE p_size <= 25 AND length(p_brand) > 7
     UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'price', 'p_retailprice' FROM part WHERE p_size <= 25 AND p_retailprice > 1500
@@ -309,7 +320,9 @@ def validated(spark: SparkSession, d: str) -> DataFrame:
     def old(tables: TableSet, _):
         raise RuntimeError("does not apply")
 
-    found = validate(Contract.of(CONTRACT), {"lineitem": table(spark, d, "lineitem"), "part": table(spark, d, "part").filter("p_size <= 25")}, rules)
+    have = {"part": "p_size <= 25", "supplier": "s_acctbal > 0", "orders": "o_totalprice > 50000", "nation": "n_nationkey <> 3"}
+    tables = {"lineitem": table(spark, d, "lineitem")} | {n: table(spark, d, n).filter(condition) for n, condition in have.items()}
+    found = validate(Contract.of(CONTRACT), tables, rules)
     return found.select("row_key", "rule", "col")
 
 
@@ -321,7 +334,11 @@ def enrichment(spark: SparkSession, d: str) -> DataFrame:
     return rules.enrich(part.select("p_partkey"), "p_partkey", "title", TableSet({"part": part}))
 
 
-@R.add("prj6_field_metadata", "SELECT 'lineitem' AS \"table\", 'L_PARTKEY' AS col, CAST(NULL AS INTEGER) AS max_chars, (SELECT count(*) FROM lineitem) AS n UNION ALL SELECT 'lineitem', 'l_suppkey', NULL, (SELECT count(*) FROM lineitem) UNION ALL SELECT 'lineitem', 'flag', NULL, (SELECT count(*) FROM lineitem) UNION ALL SELECT 'part', 'p_name', NULL, (SELECT count(*) FROM part) UNION ALL SELECT 'part', 'p_brand', 7, (SELECT count(*) FROM part)")
+@R.add(
+    "prj6_field_metadata",
+    """SELECT 'lineitem' AS "table", col, CAST(NULL AS INTEGER) AS max_chars, (SELECT count(*) FROM lineitem) AS n FROM (VALUES ('L_PARTKEY'), ('l_suppkey'), ('l_orderkey'), ('l_linenumber'), ('l_tax'), ('flag')) v(col)
+    UNION ALL SELECT 'part', col, max_chars, (SELECT count(*) FROM part) FROM (VALUES ('p_name', CAST(NULL AS INTEGER)), ('p_brand', 7), ('p_size', NULL)) v(col, max_chars)""",
+)
 def metadata(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "lineitem").agg(F.count("*").alias("n")).withColumn("t", F.lit("lineitem")).unionByName(table(spark, d, "part").agg(F.count("*").alias("n")).withColumn("t", F.lit("part")))
     return Contract.of(CONTRACT).metadata(spark).join(counts, F.col("table") == F.col("t")).select("table", "col", "max_chars", "n")
@@ -346,7 +363,7 @@ def alias_hint(spark: SparkSession, d: str) -> DataFrame:
     number = (10 + F.col("p_size") % 11).cast("string")
     rows = table(spark, d, "part").withColumn("calc", F.concat(F.lit("par"), number, F.lit("+par9*2")))
     words = spark.createDataFrame([(w,) for w in ("par1", "par2", "pa12", "pa13", "pa14", "pa15")], "key string")
-    return T.with_alias_hint(T.formula_tokens(rows, row_key("p_partkey"), ["calc"]), words).select("row_key", "identifier", "read_as", "hint")
+    return X.with_alias_hint(X.formulas(rows, row_key("p_partkey"), ["calc"]), words).select("row_key", "identifier", "read_as", "hint")
 
 
 @R.add("udf3_table_lookups", "SELECT 'value' AS kind, p_brand AS value, CAST(NULL AS BIGINT) AS first_line FROM part UNION ALL SELECT 'filtered', p_name, NULL FROM part WHERE p_size = 7 UNION ALL SELECT 'first', lower(p_type), min(p_partkey) FROM part GROUP BY lower(p_type)")

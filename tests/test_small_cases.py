@@ -9,7 +9,6 @@ from gridcheck.functions import scalar as S
 from gridcheck.operators import columns as C
 from gridcheck.operators import refs as R
 from gridcheck.operators import slot_rules as L
-from gridcheck.operators import tokens as T
 from gridcheck.operators import unique as U
 from gridcheck.plans.contract import Contract
 from gridcheck.sources import text_tables as X
@@ -77,28 +76,6 @@ def test_slots(spark):
     assert C.expand_numbered(df.columns, "ITEM#") == ["Item1", "Item2", "Item3"] and C.expand_numbered(["a1", "a3"], "a#") == ["a1"]
 
 
-def test_formula_names_and_characters(spark):
-    cases = {"min(1,2)+(foo)": ["foo"], "(foo)": ["foo"], "min((foo),max(bar,1))": [], "known+Foo": ["Foo"], "other(foo)": []}
-    rows = [(f, f) for f in cases] + [(f, f) for f in ("a&&b", "a||b", "!a", "a!=b")]
-    f = T.formula_tokens(spark.createDataFrame(rows, "k string, f string"), F.col("k"), ["f"])
-    names = T.check_formula_identifiers(f, "t", spark.createDataFrame([("known",), ("a",), ("b",)], "key string")).collect()
-    for formula, want in cases.items():
-        assert [r.value for r in names if r.row_key == formula] == want, formula
-    assert sorted(r.row_key for r in T.check_formula_characters(f, "t").collect()) == ["!a", "a&&b", "a||b"]
-
-
-def test_formulas(spark):
-    cases = {"min(1,2)+3": [], "min(1)": ["arity"], "(1+2": ["missing-close"], "((1": ["structure"], "1)": ["unexpected-close"], "1 2": ["structure"], "1+": ["structure"], "skill('a b'.lvl)": [], "-1*(-2)": [], "(1)(2)": ["structure"], "2(3)": ["structure"], "a.b": ["structure"], "2^3^4": ["structure"],
-             "2^-3*4^2": [], "(2^3)^4": [], "min(max(1,2))": ["arity"], "min(max(1),2)": ["arity"], "1.": [], "a ? b : c ? 1 : 2": [], "a ? b": ["structure"], "a : b": ["structure"], "()": ["structure"], "min(,1)": ["structure"], "min((1,2),3)": ["structure"], "1==2==3": []}
-    df = spark.createDataFrame([(k, k) for k in cases], "k string, f string")
-    f = T.formula_tokens(df, F.col("k"), ["f"])
-    found = V.merge_violations([T.check_formula_arity(f, "t"), T.check_formula_balance(f, "t")]).collect()
-    for k, want in cases.items():
-        assert sorted(r.code for r in found if r.row_key == k) == want, k
-    hint = T.with_alias_hint(T.formula_tokens(spark.createDataFrame([("1", "par12+par9")], "k string, f string"), F.col("k"), ["f"]), spark.createDataFrame([("par1",), ("pa12",)], "key string")).collect()
-    assert [(r.identifier, r.read_as, r.hint) for r in hint] == [("par12", "par1", "pa12")]
-
-
 def test_catalog(spark):
     catalog = spark.createDataFrame([("en", "a", "{x} {y}"), ("en", "b", "b"), ("de_AT", "a", "{y} {z}"), ("de_AT", "c", "c")], "locale string, key string, template string")
     assert sorted((r.key, r.code) for r in M.check_catalog_parity(catalog).collect()) == [("a", "placeholders"), ("b", "missing-key"), ("c", "extra-key")]
