@@ -103,6 +103,13 @@ class Rule:
             return False
         return not self.tables or any(tables.has_table(t) for t in self.tables)
 
+    def checked(self, tables: TableSet, contract: Contract | None) -> DataFrame:
+        """The rule's violations; another schema is an error."""
+        found = self.run(tables, contract)
+        if {f.name: f.dataType for f in found.schema} != {f.name: f.dataType for f in SCHEMA}:
+            raise TypeError(f"not a violations table: {found.schema.simpleString()}")
+        return found.select(*SCHEMA.names)
+
 
 class RuleSet:
     """Custom rules and enrichers in the order they were added."""
@@ -132,24 +139,27 @@ class RuleSet:
             if not rule.applies(tables, contract.version if contract else None):
                 continue
             try:
-                found = rule.run(tables, contract)
-                if {f.name: f.dataType for f in found.schema} != {f.name: f.dataType for f in SCHEMA}:
-                    raise TypeError(f"not a violations table: {found.schema.simpleString()}")
-                out.append(found.select(*SCHEMA.names))
+                out.append(rule.checked(tables, contract))
             except Exception as e:  # a rule is foreign code: whatever it raises is reported once
                 spark = next(iter(tables.tables.values())).sparkSession
                 out.append(violations(spark.createDataFrame([(rule.name, str(e)[:500])], "row_key string, value string"), "rules", rule.name, "rule-error", "error"))
         return out
 
-    def enrich(self, df: DataFrame, key: str, column: str, tables: TableSet) -> DataFrame:
-        """``df`` with ``column``: the first enricher's value for the key that is not null."""
+    def enrich(self, df: DataFrame, key: str, column: str, tables: TableSet, order_col: str | None = None) -> DataFrame:
+        """``df`` with ``column``: the first enricher's value for the key that is not null.
+
+        Of several rows of an enricher with the same key, the first that is not
+        null counts, by ``order_col`` if it has that column.
+        """
         names = []
         for i, fn in enumerate(self.enrichers):
             found = fn(tables)
             if column not in found.columns:
                 continue
             names.append(f"__{column}_{i}")
-            df = df.join(found.select(F.col(key).alias("__k"), F.col(column).alias(names[-1])).groupBy("__k").agg(F.min(names[-1]).alias(names[-1])), F.col(key) == F.col("__k"), "left").drop("__k")
+            order = F.col(order_col) if order_col and order_col in found.columns else F.monotonically_increasing_id()
+            first = found.filter(F.col(column).isNotNull()).select(F.col(key).alias("__k"), F.col(column).alias(names[-1]), order.alias("__o")).groupBy("__k").agg(F.min_by(names[-1], "__o").alias(names[-1]))
+            df = df.join(first, F.col(key) == F.col("__k"), "left").drop("__k")
         return df.withColumn(column, F.coalesce(*names) if names else F.lit(None).cast("string")).drop(*names)
 
 

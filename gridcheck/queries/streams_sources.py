@@ -7,11 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridcheck.plans.compile import RuleSet
+from gridcheck.plans.contract import Contract
+from gridcheck.plans.isolated import validate_to
 from gridcheck.queries.base import Registry, table
 from gridcheck.sources import text_tables as S
 from gridcheck.storage import shared_dir
 from gridcheck.streaming import streams as X
-from gridcheck.violations import row_key
+from gridcheck.streaming.revalidate import Revalidation
+from gridcheck.streaming.unique import STATE_STORE, stream_check_unique
+from gridcheck.violations import row_key, violations
 
 R = Registry()
 
@@ -60,13 +65,20 @@ def json_entries(spark: SparkSession, d: str) -> DataFrame:
     return S.read_json_entries(files).select(F.col("file").alias("event_id"), "entry", F.try_variant_get("v", "$.k", "bigint").alias("k"))
 
 
-def _streamed(spark: SparkSession, d: str, change, mode: str = "append") -> DataFrame:
-    """What a stream over ``events`` leaves in a table when all files are read."""
+def _streamed(spark: SparkSession, d: str, change, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
+    """What a stream over ``events`` leaves in a table when all files are read; ``settings`` hold while it runs."""
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
     events = spark.read.parquet(f"{d}/events.parquet")
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
     out = change(source)
-    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
@@ -88,7 +100,41 @@ def stream_repeats(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("str3_stream_check_unique", "SELECT CAST(event_id AS VARCHAR) AS row_key, first FROM (SELECT event_id, first_value(CAST(event_id AS VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS first FROM events) WHERE CAST(event_id AS VARCHAR) <> first")
 def stream_unique(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, d, lambda s: X.stream_check_unique(s, "events", "user_id", row_key("event_id"), "ts", "3650 days")).select("row_key", F.col("args")["first"].alias("first"))
+    return _streamed(spark, d, lambda s: stream_check_unique(s, "events", "user_id", row_key("event_id"), "ts", "3650 days"), settings=STATE_STORE).select("row_key", F.col("args")["first"].alias("first"))
+
+
+@R.add(
+    "str4_live_revalidation",
+    """WITH l AS (SELECT l_orderkey || '|' || l_linenumber AS row_key, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT 0 AS batch, row_key, 'new' AS status, count(*) AS n FROM l WHERE p_size > 25 GROUP BY row_key UNION ALL SELECT 1, row_key, 'resolved', count(*) FROM l WHERE p_size BETWEEN 26 AND 40 GROUP BY row_key""",
+)
+def live_revalidation(spark: SparkSession, d: str) -> DataFrame:
+    at = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    part, line = table(spark, d, "part"), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    line.write.parquet(f"{at}/lineitem")
+    part.filter("p_size <= 25").write.parquet(f"{at}/part")
+    contract = Contract.of({"tables": {"lineitem": {"key": ["l_orderkey", "l_linenumber"], "columns": [{"name": "l_partkey", "type": {"type": "int", "table": "part", "column": "p_partkey"}}]}}})
+    live = Revalidation(spark, {"lineitem": f"{at}/lineitem", "part": f"{at}/part"}, {"lineitem": line.schema, "part": part.schema}, contract, f"{at}/store")
+    live.start().awaitTermination()
+    part.filter("p_size BETWEEN 26 AND 40").write.mode("append").parquet(f"{at}/part")
+    live.start().awaitTermination()
+    return live.differences().select("batch", "row_key", "status", "n")
+
+
+@R.add(
+    "udf5_isolated_rules",
+    """SELECT CAST(p_partkey AS VARCHAR) AS row_key, 'price' AS rule, 'high' AS code FROM part WHERE p_retailprice > 1500 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'type', 'diag.integer.invalid' FROM part
+    UNION ALL SELECT 'fails-in-tasks', 'fails-in-tasks', 'rule-error' UNION ALL SELECT 'fails-in-plan', 'fails-in-plan', 'rule-error'""",
+)
+def isolated_rules(spark: SparkSession, d: str) -> DataFrame:
+    rules = RuleSet()
+    of = lambda df, name, code: violations(df, "part", name, code, row_key=row_key("p_partkey"))
+    rules.rule("fails-in-tasks")(lambda t, c: of(t.table("part").filter(F.when(F.col("p_partkey") % 7 == 3, F.raise_error(F.lit("a fault in a task")).cast("boolean")).otherwise(True)), "fails-in-tasks", "x"))
+    rules.rule("fails-in-plan")(lambda t, c: of(t.table("part").filter("no_such_column > 1"), "fails-in-plan", "x"))
+    rules.rule("price")(lambda t, c: of(t.table("part").filter("p_retailprice > 1500"), "price", "high"))
+    contract = Contract.of({"tables": {"part": {"key": ["p_partkey"], "columns": [{"name": "p_name", "type": "int"}]}}})
+    found, _ = validate_to(f"{shared_dir(spark)}/isolated-{uuid.uuid4().hex}", contract, {"part": table(spark, d, "part")}, rules)
+    return found.select("row_key", "rule", "code")
 
 
 @R.add("str5_severity_counts", "SELECT date_trunc('day', ts) AS day, CASE WHEN value > 50 THEN 'error' ELSE 'warning' END AS severity, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")

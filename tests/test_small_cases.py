@@ -12,7 +12,7 @@ from gridcheck.operators import slot_rules as L
 from gridcheck.operators import unique as U
 from gridcheck.plans.contract import Contract
 from gridcheck.sources import text_tables as X
-from gridcheck.streaming import streams
+from gridcheck.streaming.revalidate import affected
 
 
 def one(spark, fn, *values):
@@ -117,4 +117,6 @@ def test_json_entries(spark):
 def test_contract_chain(spark):
     c = Contract.of({"tables": {"a": {"append": ["b"], "columns": [{"name": "x"}]}, "b": {"append": ["a"], "columns": [{"name": "X", "unique": True}, {"name": "y", "type": {"type": "reference", "table": "T", "column": "c"}}]}}})
     assert [(x.name, x.unique) for x in c.columns_of("a")] == [("x", False), ("y", False)]
-    assert streams.affected(c, ["t"]) == ["a", "b", "t"]
+    assert affected(c, ["t"]) == ["a", "b", "t"]
+    chain = Contract.of({"tables": {n: {"columns": [{"name": "x", "type": {"type": "reference", "table": t, "column": "x"}}]} for n, t in (("a", "b"), ("b", "c"), ("c", "d"), ("d", "c"))}})
+    assert affected(chain, ["d"]) == ["c", "d"] and affected(chain, ["d"], transitive=True) == ["a", "b", "c", "d"]
