@@ -47,6 +47,35 @@ def collect_used(tables: dict[str, DataFrame], texts: DataFrame | None = None, t
     return out.distinct()
 
 
+def collect_used_rows(rows: DataFrame, headers: DataFrame, texts: DataFrame | None = None, text_col: str = "text", file_cols: Sequence[str] = ("path",), stem: Column | None = None, known: Sequence[str] | None = None, excluded: Sequence[str] = (), skip_header: str = "@skipdocs") -> DataFrame:
+    """``key``: evidence of use from tables whose rows may be shorter or longer than their header.
+
+    ``rows``: the file columns and ``cells``; ``headers``: the file columns and
+    ``header``.  Headers are compared in lower case; those that start with '*' do
+    not count; of repeated ones the last column counts.  A row with fewer cells
+    than the header has counted columns is left out.  A column named
+    ``skip_header`` gives the key ``true`` where its cell is not empty, or is not
+    there.  ``known`` and ``excluded`` name the tables (by ``stem``) that count,
+    for a version of the rules.
+    """
+    files = headers
+    if stem is not None and known is not None:
+        files = files.filter(stem.isin(*known))
+    if stem is not None and excluded:
+        files = files.filter(~stem.isin(*excluded))
+    # what a header says about its columns is worked out once a file
+    named = files.select(*file_cols, F.posexplode("header").alias("at", "name")).withColumn("name", F.lower("name")).filter("NOT startswith(name, '*')")
+    last = named.groupBy(*file_cols, "name").agg(F.max("at").alias("at"), F.count("*").alias("n"), F.collect_set(F.when(F.col("name") == skip_header, F.col("at"))).alias("skips"))
+    known_columns = last.groupBy(*file_cols).agg(F.collect_list("at").alias("__at"), F.sum("n").alias("__n"), F.flatten(F.collect_list("skips")).alias("__skips"))
+    kept = rows.join(known_columns, list(file_cols)).filter(F.size("cells") >= F.col("__n"))
+    cells = F.filter(F.transform("__at", lambda i: F.get("cells", i)), lambda c: c.isNotNull() & (c != ""))
+    marked = F.exists("__skips", lambda i: F.coalesce(F.get("cells", i) != "", F.lit(True)))
+    out = kept.select(F.explode(F.concat(cells, F.when(marked, F.array(F.lit("true"))).otherwise(F.array().cast("array<string>")))).alias("key"))
+    if texts is not None:
+        out = out.unionByName(texts.select(F.explode(F.regexp_extract_all(text_col, F.lit("@([A-Za-z0-9_]+)"), F.lit(1))).alias("key")))
+    return out.distinct()
+
+
 def check_unused(definitions: DataFrame, used: DataFrame, table: str, id_number: Column, key: Column, row_key: Column, above: float, is_text: Column | None = None) -> DataFrame:
     """Definitions with a number above the threshold whose key nobody uses; empty keys are skipped, keys that are no text always reported."""
     text = is_text if is_text is not None else F.lit(True)

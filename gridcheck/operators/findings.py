@@ -9,6 +9,7 @@ keys in one anti join; the misses then come back to the findings once.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,16 +44,20 @@ def gathered(single: Sequence[Column], many: Sequence[Column] = ()) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array().cast(f"array<{FINDING}>")
 
 
-def exploded(df: DataFrame, table: str, row_key: Column, found: Column, line: Column | None = None) -> DataFrame:
-    """A row per finding, with its table and row."""
+def exploded(df: DataFrame, table: str, row_key: Column, found: Column, line: Column | None = None, scope: Column | None = None) -> DataFrame:
+    """A row per finding, with its table, row and scope (empty without scopes)."""
     line = line if line is not None else F.lit(None)
-    return df.select(F.lit(table).alias("table"), row_key.cast("string").alias("row_key"), line.cast("int").alias("line"), F.explode(found).alias("f")).select("table", "row_key", "line", "f.*")
+    return df.select(F.lit(table).alias("table"), row_key.cast("string").alias("row_key"), line.cast("int").alias("line"), _scope(scope), F.explode(found).alias("f")).select("table", "row_key", "line", "scope", "f.*")
 
 
-def asked_keys(df: DataFrame, found: Column) -> DataFrame:
-    """Edge and key of every finding that has one; not yet distinct."""
+def _scope(scope: Column | None) -> Column:
+    return F.coalesce(scope.cast("string") if scope is not None else F.lit(None), F.lit("")).alias("scope")
+
+
+def asked_keys(df: DataFrame, found: Column, scope: Column | None = None) -> DataFrame:
+    """Edge, scope and key of every finding that has a key; not yet distinct."""
     keys = F.transform(F.filter(found, lambda f: f["edge"].isNotNull()), lambda f: F.struct(f["edge"].alias("edge"), f["key"].alias("key")))
-    return df.select(F.explode(F.array_distinct(keys)).alias("k")).select("k.*")
+    return df.select(_scope(scope), F.explode(F.array_distinct(keys)).alias("k")).select("scope", "k.*")
 
 
 def as_violations(found: DataFrame) -> DataFrame:
@@ -61,25 +66,54 @@ def as_violations(found: DataFrame) -> DataFrame:
     return found.select(*(columns[f.name].cast(f.dataType).alias(f.name) for f in SCHEMA))
 
 
-def resolved(found: Sequence[DataFrame], asked: Sequence[DataFrame] | None, targets: Mapping[int, DataFrame]) -> DataFrame:
+@dataclass(frozen=True)
+class Target:
+    """The normalised keys of one edge: ``key``, and ``scope`` if its rows belong to scopes; ``shared`` is for scopes without rows of their own.
+
+    ``scopes`` lists the scopes that have the target (column ``scope``).
+    """
+
+    keys: DataFrame
+    scopes: DataFrame | None = None
+    shared: DataFrame | None = None
+
+    def rows(self, edge: int) -> list[DataFrame]:
+        tiers = [(self.keys, F.col("scope") if self.scopes is not None else F.lit(""))] + ([(self.shared, F.lit(""))] if self.shared is not None else [])
+        return [df.select(F.lit(edge).alias("at"), scope.alias("tier"), F.col("key").alias("__key")) for df, scope in tiers]
+
+
+def resolved(found: Sequence[DataFrame], asked: Sequence[DataFrame] | None, targets: Mapping[int, DataFrame | Target]) -> DataFrame:
     """The violations: findings without a key, and those whose key no target of their edge has.
 
     ``targets``: for each edge a table with the column ``key``, already
-    normalised; repeats in it do no harm.  ``asked`` are the keys of all
-    findings: distinct, they meet the targets, and only the misses come back to
-    the findings, so a key that a third of all rows have is looked up once.
-    Without it (None) the findings themselves meet the targets, in one pass: for
-    findings that cost more to make twice than to send.
+    normalised (repeats in it do no harm), or a ``Target`` with scopes.  Within a
+    scope its own rows of the target count if it has any; else the shared ones; if
+    there are none either, nothing can be proved invalid.
+
+    ``asked`` are the keys of all findings: distinct, they meet the targets, and
+    only the misses come back to the findings, so a key that a third of all rows
+    have is looked up once.  Without it (None) the findings themselves meet the
+    targets, in one pass: for findings that cost more to make twice than to send;
+    scopes need ``asked``.
     """
     every = reduce(DataFrame.unionByName, found)
     if not targets:
         return as_violations(every.filter("edge IS NULL"))
-    there = reduce(DataFrame.unionByName, [t.select(F.lit(e).alias("at"), F.col("key").alias("__key")) for e, t in targets.items()])
+    of = {e: t if isinstance(t, Target) else Target(t) for e, t in targets.items()}
+    there = reduce(DataFrame.unionByName, [df for e, t in of.items() for df in t.rows(e)])
     # findings without a key must not meet in one place when the join is by hash
     at = F.coalesce("edge", -1 - F.pmod(F.xxhash64("row_key", "col", "rule"), F.lit(SPREAD)).cast("int"))
     placed = every.withColumns({"at": at, "__key": F.coalesce("key", F.lit(""))})
     if asked is None:
-        return as_violations(placed.join(there.distinct(), ["at", "__key"], "left_anti"))
-    keys = reduce(DataFrame.unionByName, asked).select(F.col("edge").alias("at"), F.col("key").alias("__key")).distinct()
-    missing = keys.join(there, ["at", "__key"], "left_anti").withColumn("__missing", F.lit(True))
-    return as_violations(placed.join(missing, ["at", "__key"], "left").filter(F.col("edge").isNull() | F.col("__missing")))
+        return as_violations(placed.join(there.select("at", "__key").distinct(), ["at", "__key"], "left_anti"))
+    keys = reduce(DataFrame.unionByName, asked).select(F.col("edge").alias("at"), "scope", F.col("key").alias("__key")).distinct()
+    scoped = {e: t for e, t in of.items() if t.scopes is not None}
+    if scoped:
+        own = reduce(DataFrame.unionByName, [t.scopes.select(F.lit(e).alias("at"), "scope") for e, t in scoped.items()]).distinct().withColumn("__own", F.lit(True))
+        closed = [e for e, t in scoped.items() if t.shared is None]
+        keys = keys.join(own, ["at", "scope"], "left").withColumn("tier", F.when(F.col("__own"), F.col("scope")).otherwise(F.lit("")))
+        keys = keys.filter(F.col("__own") | ~F.col("at").isin(*closed)) if closed else keys
+    else:
+        keys = keys.withColumn("tier", F.lit(""))
+    missing = keys.join(there, ["at", "tier", "__key"], "left_anti").select("at", "scope", "__key", F.lit(True).alias("__missing"))
+    return as_violations(placed.join(missing, ["at", "scope", "__key"], "left").filter(F.col("edge").isNull() | F.col("__missing")))

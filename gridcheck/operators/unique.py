@@ -12,17 +12,22 @@ from gridcheck.storage import written
 from gridcheck.violations import violations
 
 
-def check_unique(df: DataFrame, table: str, cols: Sequence[str], order: str, key: Column, severity: str = "error") -> DataFrame:
-    """Every occurrence of a value after the first, with the first's key and place.
+def check_unique(df: DataFrame, table: str, cols: Sequence[str], order: str, key: Column, severity: str = "error", scope: Column | None = None) -> DataFrame:
+    """Every occurrence of a value after the first, with the first's key and place; within a scope, if there is one.
 
     Values are compared in Unicode lower case, untrimmed; blanks are ignored.
     Keys that occur twice are found by one aggregation; only their rows are
-    read again, no unique key is sorted.
+    read again, no unique key is sorted.  Values of more than 64 bytes are sent
+    and compared as their SHA-256.
     """
-    wide = df.select(key.alias("row_key"), F.col(order).alias("__order"), *(F.col(c).cast("string").alias(c) for c in cols))
-    long = wide.unpivot(["row_key", "__order"], list(cols), "col", "value").filter(~is_blank(F.col("value"))).withColumn("__key", F.lower("value"))
-    repeated = long.groupBy("col", "__key").agg(F.min_by(F.struct("__order", "row_key"), F.struct("__order", "row_key")).alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
-    later = long.join(repeated, ["col", "__key"]).filter(F.struct("__order", "row_key") != F.col("__first"))
+    where = F.coalesce(scope.cast("string"), F.lit("")) if scope is not None else F.lit("")
+    wide = df.select(key.alias("row_key"), F.col(order).alias("__order"), where.alias("__scope"), *(F.col(c).cast("string").alias(c) for c in cols))
+    low = F.lower("value")
+    short = F.when(F.octet_length(low) <= 64, low).otherwise(F.concat(F.lit("\0"), F.sha2(low, 256)))
+    long = wide.unpivot(["row_key", "__order", "__scope"], list(cols), "col", "value").filter(~is_blank(F.col("value"))).withColumn("__key", short)
+    by = ["col", "__scope", "__key"]
+    repeated = long.groupBy(*by).agg(F.min_by(F.struct("__order", "row_key"), F.struct("__order", "row_key")).alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
+    later = long.join(repeated, by).filter(F.struct("__order", "row_key") != F.col("__first"))
     return violations(later, table, "unique", "duplicate", severity, args={"first": F.col("__first.row_key"), "first_line": F.col("__first.__order")})
 
 
@@ -46,11 +51,31 @@ def distinct_values(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def identity(df: DataFrame, col: str) -> Column:
+    """What makes two values of a column the same, as text; null for what equals nothing.
+
+    A JSON value (VARIANT) keeps its type: 1 is not "1", 1 is 1.0, 0 is -0, null
+    equals null, arrays and objects equal nothing, not even themselves.  Numbers
+    are compared as doubles.  Other columns are compared as text.
+    """
+    v = F.col(col)
+    if dict(df.dtypes)[col] != "variant":
+        return v.cast("string")
+    kind = F.schema_of_variant(v)
+    number = F.try_variant_get(v, "$", "double")
+    return (
+        F.when(v.isNull() | kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(None).cast("string")).when(F.is_variant_null(v), "null")
+        .when(kind == "BOOLEAN", F.concat(F.lit("b:"), F.try_variant_get(v, "$", "string"))).when(kind == "STRING", F.concat(F.lit("s:"), F.try_variant_get(v, "$", "string")))
+        .otherwise(F.concat(F.lit("n:"), F.when(number == 0, F.lit(0.0)).otherwise(number).cast("string")))
+    )
+
+
 def load_duplicates(records: DataFrame, id_col: str, key_col: str, order: Sequence[str], file_col: str | None = None) -> DataFrame:
     """Records in order, each loaded unless its id, else its key, is already loaded.
 
     Returns ``records`` with ``outcome``: loaded, duplicate-id or duplicate-key
-    (with ``-cross-file`` if the loaded record is of another file).  What is
+    (with ``-cross-file`` if the loaded record is of another file).  Ids and keys
+    may be JSON values (see ``identity``).  What is
     rejected registers nothing, so a record rejected for its key does not block
     a later one with its id.  Empty keys and null ids or keys are not
     registered and reject nothing.
@@ -63,7 +88,13 @@ def load_duplicates(records: DataFrame, id_col: str, key_col: str, order: Sequen
 
     name = F.coalesce(F.col(file_col).cast("string"), F.lit("")) if file_col else F.lit("")
     place = F.struct(*(c for o in order for c in (F.col(o).isNull().alias(f"{o}_null"), F.col(o))), F.monotonically_increasing_id().alias("row"))
-    rows = written(records.select("*", F.col(id_col).cast("string").alias("__id"), F.when(F.col(key_col).cast("string") != "", F.col(key_col).cast("string")).alias("__key"), name.alias("__file"), place.alias("__place")), "records")
+    own_key = identity(records, key_col)
+    empty = "s:" if dict(records.dtypes)[key_col] == "variant" else ""
+    given = records.select("*", identity(records, id_col).alias("__id"), F.when(own_key != empty, own_key).alias("__key"), name.alias("__file"), place.alias("__place"))
+    kept = [c for c, t in records.dtypes if t != "variant"]
+    # JSON values can't be written as they are: as text, and parsed again
+    as_text = [F.to_json(c).alias(c) for c, t in records.dtypes if t == "variant"]
+    rows = written(given.select(*kept, *as_text, "__id", "__key", "__file", "__place"), "records")
     undecided, rounds = rows.select("__id", "__key", "__file", "__place"), []
     while True:
         ids = undecided.filter("__id IS NOT NULL").groupBy("__id").agg(F.min("__place").alias("__first_id"))
@@ -82,4 +113,5 @@ def load_duplicates(records: DataFrame, id_col: str, key_col: str, order: Sequen
     done = rows.join(loaded.select("__place", F.lit(True).alias("__loads")), "__place", "left").join(of_id, "__id", "left").join(of_key, "__key", "left")
     said = lambda kind, file: F.when(F.col(file) == F.col("__file"), kind).otherwise(f"{kind}-cross-file")
     outcome = F.when(F.col("__loads"), "loaded").when(F.col("__id_place") < F.col("__place"), said("duplicate-id", "__id_file")).otherwise(said("duplicate-key", "__key_file"))
-    return done.select(*records.columns, outcome.alias("outcome"))
+    back = [F.parse_json(c).alias(c) if t == "variant" else F.col(c) for c, t in records.dtypes]
+    return done.select(*back, outcome.alias("outcome"))

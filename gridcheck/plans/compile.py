@@ -10,22 +10,29 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridcheck.functions.scalar import is_blank
 from gridcheck.operators import columns as C
 from gridcheck.operators import refs as R
-from gridcheck.operators.findings import asked_keys, exploded, resolved
+from gridcheck.operators.findings import Target, asked_keys, exploded, resolved
 from gridcheck.operators.unique import check_unique
 from gridcheck.plans.contract import Contract, physical_columns
-from gridcheck.plans.fused import Edges, normal_targets, table_findings
+from gridcheck.plans.fused import Edges, table_findings
 from gridcheck.violations import SCHEMA, merge_violations, row_key, violations
 
 class TableSet:
-    """Tables by stem, with the look-ups that custom rules use."""
+    """Tables by stem, with the look-ups that custom rules use.
 
-    def __init__(self, tables: Mapping[str, DataFrame], contract: Contract | None = None, sources: Mapping[str, str] | None = None) -> None:
+    With ``scope``, rows of a table that has that column belong to independent
+    sets of tables (a folder each); ``shared`` are the tables of lower tiers, for
+    scopes without rows of a table of their own.
+    """
+
+    def __init__(self, tables: Mapping[str, DataFrame], contract: Contract | None = None, sources: Mapping[str, str] | None = None, scope: str | None = None, shared: Mapping[str, DataFrame] | None = None) -> None:
         self.tables = {k.lower(): v for k, v in tables.items()}
+        self.scope, self.shared = scope, {k.lower(): v for k, v in (shared or {}).items()}
         self.contract, self.sources = contract, {k.lower(): v for k, v in (sources or {}).items()}
         self._keys: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -33,7 +40,12 @@ class TableSet:
         return name.lower() in self.tables
 
     def has_target(self, name: str, col: str) -> bool:
-        return self.has_table(name) and col.lower() in (c.lower() for c in self.tables[name.lower()].columns)
+        return any(name.lower() in tier and col.lower() in (c.lower() for c in tier[name.lower()].columns) for tier in (self.tables, self.shared))
+
+    def scope_of(self, name: str) -> Column | None:
+        """The scope of the table's rows; None if they have none."""
+        df = self.tables.get(name.lower())
+        return F.col(self.scope) if df is not None and self.scope and self.scope in df.columns else None
 
     def table(self, name: str) -> DataFrame:
         return self.tables[name.lower()]
@@ -44,9 +56,20 @@ class TableSet:
             return None
         at = (name.lower(), col.lower(), resolver)
         if at not in self._keys:
-            self._keys[at] = R.keys_of(self.table(name), col, resolver)
+            self._keys[at] = R.keys_of(self.tables.get(name.lower(), self.shared.get(name.lower())), col, resolver)
         return self._keys[at]
 
+    def target(self, name: str, col: str, resolver: str) -> DataFrame | Target:
+        """The keys of a target for every scope."""
+        name = name.lower()
+        own, shared, scope = self.tables.get(name), self.shared.get(name), self.scope_of(name)
+        has = lambda df: df is not None and col.lower() in (c.lower() for c in df.columns)
+        if scope is None or not has(own):
+            return self.keys(name, col, resolver)
+        value, where = F.col(col).cast("string"), F.coalesce(scope.cast("string"), F.lit("")).alias("scope")
+        keys = own.filter(~is_blank(value)).select(where, R.RESOLVERS[resolver](value).alias("key")).distinct()
+        return Target(keys, own.select(where).distinct(), R.keys_of(shared, col, resolver) if has(shared) else None)
+
     def values(self, name: str, col: str) -> DataFrame | None:
         return C.column_values(self.table(name), col) if self.has_target(name, col) else None
 
@@ -77,17 +100,18 @@ def compile_contract(contract: Contract, tables: TableSet) -> list[DataFrame]:
         if not tables.has_table(name):
             continue
         df = tables.table(name)
-        key = row_key(*table.key) if table.key else F.lit(None).cast("string")
+        scope = tables.scope_of(name)
+        key = row_key(*([tables.scope] if scope is not None else []), *table.key) if table.key else F.lit(None).cast("string")
         rows = C.drop_comment_rows(df, table.comments) if table.comments else df
         findings, with_keys = table_findings(contract, table, rows, edges)
         if findings is not None:
-            found.append(exploded(rows, name, key, findings, F.col(table.line) if table.line else None))
+            found.append(exploded(rows, name, key, findings, F.col(table.line) if table.line else None, scope))
         if with_keys is not None:
-            asked.append(asked_keys(rows, with_keys))
+            asked.append(asked_keys(rows, with_keys, scope))
         columns = [p for c in contract.columns_of(name) if c.unique for p in physical_columns(c, df.columns)]
         if columns and table.order:
-            unique.append(check_unique(rows, name, columns, table.order, key))
-    return ([resolved(found, asked, normal_targets(edges, tables.keys))] if found else []) + unique
+            unique.append(check_unique(rows, name, columns, table.order, key, scope=scope))
+    return ([resolved(found, asked, {n: tables.target(*at) for at, n in edges.numbers.items()})] if found else []) + unique
 
 
 @dataclass(frozen=True)
@@ -163,9 +187,13 @@ class RuleSet:
         return df.withColumn(column, F.coalesce(*names) if names else F.lit(None).cast("string")).drop(*names)
 
 
-def validate(contract: Contract, tables: Mapping[str, DataFrame], rules: RuleSet | None = None) -> DataFrame:
-    """All violations of a set of tables: of the contract and of custom rules."""
-    group = TableSet(tables, contract)
+def validate(contract: Contract, tables: Mapping[str, DataFrame], rules: RuleSet | None = None, scope: str | None = None, shared: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """All violations of a set of tables: of the contract and of custom rules.
+
+    With ``scope`` (a column) the rows of each scope are a set of tables of their
+    own; their row keys begin with it.  ``shared`` tables serve scopes that lack one.
+    """
+    group = TableSet(tables, contract, scope=scope, shared=shared)
     parts = compile_contract(contract, group) + (rules.run(group, contract) if rules else [])
     if not parts:
         spark = next(iter(tables.values())).sparkSession

@@ -223,8 +223,3 @@ def table_findings(contract: Contract, table: TableContract, df: DataFrame, edge
             if rule.applies(contract.version):
                 many += SLOT_RULES[rule.kind](s, slots, Cell(slots.items, F.lit(None), df.columns, edges), rule)
     return gathered(single, many) if single or many else None, gathered(edges.single, edges.many) if edges.single or edges.many else None
-
-
-def normal_targets(edges: Edges, keys: Callable[[str, str, str], DataFrame]) -> dict[int, DataFrame]:
-    return {n: keys(*at) for at, n in edges.numbers.items()}
-

@@ -36,11 +36,15 @@ def case_and_trim(spark: SparkSession, d: str) -> DataFrame:
     return X.with_trim_hint(found, keys).select("row_key", "value", "trimmed_match")
 
 
-@R.add("ref2_fixed4", "SELECT CAST(p_partkey AS VARCHAR) AS row_key, split_part(p_name, ' ', 1) AS value FROM part WHERE rpad(substr(split_part(p_name, ' ', 1), 1, 4), 4, ' ') NOT IN (SELECT rpad(substr(split_part(p_name, ' ', 1), 1, 4), 4, ' ') FROM part WHERE p_size <= 3)")
+@R.add(
+    "ref2_fixed4",
+    """WITH w AS (SELECT doc_id, split_part(text, ' ', 1) AS word FROM documents), k AS (SELECT doc_id, word, substr(hex(encode(word)) || '20202020', 1, 8) AS key FROM w WHERE trim(translate(word, chr(9) || chr(10) || chr(13), '   ')) <> '')
+    SELECT CAST(doc_id AS VARCHAR) AS row_key, word AS value FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 10 = 0)""",
+)
 def fixed4(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").withColumn("word", F.split_part("p_name", F.lit(" "), F.lit(1)))
-    keys = X.keys_of(part.filter("p_size <= 3"), "word", "fixed4")
-    return X.check_reference(C.melt(part, row_key("p_partkey"), ["word"]), "part", keys, "part.word", "fixed4").select("row_key", "value")
+    words = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
+    keys = X.keys_of(words.filter("doc_id % 10 = 0"), "word", "fixed4")
+    return X.check_reference(C.melt(words, row_key("doc_id"), ["word"]), "documents", keys, "documents.word", "fixed4").select("row_key", "value")
 
 
 @R.add("ref3_check_reference_any", "SELECT CAST(event_id AS VARCHAR) AS row_key, CAST(user_id AS VARCHAR) AS value FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 UNION SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
@@ -124,6 +128,23 @@ def used(spark: SparkSession, d: str) -> DataFrame:
     return E.collect_used({"region": table(spark, d, "region"), "nation": table(spark, d, "nation")}, texts)
 
 
+@R.add(
+    "ref14_ragged_evidence",
+    """WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL AND source <> 'web'),
+    h AS (SELECT doc_id, unnest(list_concat(['*note', '@SkipDocs'], string_split(lines[1], ' '))) AS name, unnest(range(1, len(string_split(lines[1], ' ')) + 3)) AS i FROM l),
+    c AS (SELECT doc_id, count(*) AS n FROM h WHERE name NOT LIKE '*%' GROUP BY doc_id), u AS (SELECT doc_id, max(i) AS i FROM h WHERE name NOT LIKE '*%' GROUP BY doc_id, lower(name)),
+    x AS (SELECT doc_id, unnest(lines[2:]) AS line FROM l), r AS (SELECT doc_id, list_concat(['n', CASE WHEN length(line) % 2 = 0 THEN '' ELSE 'y' END], string_split(line, ' ')) AS cells FROM x),
+    ok AS (SELECT r.doc_id, cells FROM r JOIN c ON r.doc_id = c.doc_id AND len(cells) >= n)
+    SELECT DISTINCT cells[i] AS key FROM ok JOIN u ON ok.doc_id = u.doc_id WHERE cells[i] <> '' UNION SELECT 'true' FROM ok WHERE cells[2] <> ''""",
+)
+def ragged_evidence(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "documents").filter("text IS NOT NULL AND source IS NOT NULL").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+    words = F.split("content", " ", -1)
+    headers = lines.filter("line = 0").select("doc_id", "source", F.concat(F.array(F.lit("*note"), F.lit("@SkipDocs")), words).alias("header"))
+    rows = lines.filter("line > 0").select("doc_id", F.concat(F.array(F.lit("n"), F.when(F.length("content") % 2 == 0, "").otherwise("y")), words).alias("cells"))
+    return E.collect_used_rows(rows, headers, file_cols=["doc_id"], stem=F.col("source"), excluded=["web"])
+
+
 @R.add(
     "ref15_referential_summary",
     """SELECT 'lineitem' AS source_table, 'l_partkey' AS source_col, 'part' AS target_table, 'p_partkey' AS target_col, CAST(count(CASE WHEN p_partkey IS NOT NULL THEN 1 END) AS BIGINT) AS n_match, CAST(count(CASE WHEN p_partkey IS NULL THEN 1 END) AS BIGINT) AS n_miss FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size <= 25) ON l_partkey = p_partkey
@@ -164,17 +185,20 @@ def distinct(spark: SparkSession, d: str) -> DataFrame:
     return U.distinct_values({"part": table(spark, d, "part").select("p_brand", "p_type"), "orders": table(spark, d, "orders").select("o_orderpriority")})
 
 
-@R.add(
-    "win2_load_duplicates",
-    """WITH RECURSIVE o AS (SELECT doc_id, CAST(doc_id // 2 AS VARCHAR) AS id, sha256(text) AS key, coalesce(source, '') AS file, row_number() OVER (ORDER BY source NULLS LAST, doc_id) AS n FROM documents),
-    run AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS id_files, CAST([] AS VARCHAR[]) AS keys, CAST([] AS VARCHAR[]) AS key_files, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS outcome
+LOADED_SQL = """run AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS id_files, CAST([] AS VARCHAR[]) AS keys, CAST([] AS VARCHAR[]) AS key_files, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS outcome
       UNION ALL SELECT n, CASE WHEN outcome = 'loaded' THEN list_append(ids, id) ELSE ids END, CASE WHEN outcome = 'loaded' THEN list_append(id_files, file) ELSE id_files END,
         CASE WHEN outcome = 'loaded' THEN list_append(keys, key) ELSE keys END, CASE WHEN outcome = 'loaded' THEN list_append(key_files, file) ELSE key_files END, doc_id, id, outcome
       FROM (SELECT o.n, run.ids, run.id_files, run.keys, run.key_files, o.doc_id, o.id, o.key, o.file,
           CASE WHEN coalesce(list_contains(run.ids, o.id), false) THEN 'duplicate-id' || CASE WHEN run.id_files[list_position(run.ids, o.id)] = o.file THEN '' ELSE '-cross-file' END
                WHEN coalesce(list_contains(run.keys, o.key), false) THEN 'duplicate-key' || CASE WHEN run.key_files[list_position(run.keys, o.key)] = o.file THEN '' ELSE '-cross-file' END
                ELSE 'loaded' END AS outcome
-        FROM run JOIN o ON o.n = run.n + 1))
+        FROM run JOIN o ON o.n = run.n + 1))"""
+
+
+@R.add(
+    "win2_load_duplicates",
+    f"""WITH RECURSIVE o AS (SELECT doc_id, CAST(doc_id // 2 AS VARCHAR) AS id, sha256(text) AS key, coalesce(source, '') AS file, row_number() OVER (ORDER BY source NULLS LAST, doc_id) AS n FROM documents),
+    {LOADED_SQL}
     SELECT doc_id, id, outcome FROM run WHERE n > 0""",
 )
 def loaded(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +206,28 @@ def loaded(spark: SparkSession, d: str) -> DataFrame:
     return U.load_duplicates(docs, "id", "key", ["source", "doc_id"], "source").select("doc_id", "id", "outcome")
 
 
+#: Ids of every JSON type, among them numbers that are equal in other forms, and keys that are texts, empty or numbers.
+TYPED = [("0", "{m}"), ("1", '"{m}"'), ("2", "{m}.0"), ("3", "null"), ("4", "[{m}]"), ("5", "true"), ("6", "-0"), ("7", "0.0"), ("8", '{{"a": {m}}}'), ("9", "{m}e0")]
+_SAME = "CASE doc_id % 10 WHEN 0 THEN 'n:' || (doc_id // 40) WHEN 2 THEN 'n:' || (doc_id // 40) WHEN 9 THEN 'n:' || (doc_id // 40) WHEN 1 THEN 's:' || (doc_id // 40) WHEN 3 THEN 'null' WHEN 5 THEN 'b:true' WHEN 6 THEN 'n:0' WHEN 7 THEN 'n:0' END"
+
+
+@R.add(
+    "win2_typed_identity",
+    f"""WITH RECURSIVE o AS (SELECT doc_id, {_SAME} AS id, CASE doc_id % 3 WHEN 0 THEN 's:' || (doc_id // 7) WHEN 1 THEN NULL ELSE 'n:' || (doc_id // 7) END AS key, coalesce(source, '') AS file, row_number() OVER (ORDER BY source NULLS LAST, doc_id) AS n FROM documents),
+    {LOADED_SQL}
+    SELECT doc_id, outcome FROM run WHERE n > 0""",
+)
+def typed_identity(spark: SparkSession, d: str) -> DataFrame:
+    m, k = F.expr("CAST(doc_id div 40 AS STRING)"), F.col("doc_id") % 10
+    text = F.lit(None).cast("string")
+    for at, form in TYPED:
+        before, _, after = form.format(m="#").partition("#")
+        text = F.when(k == int(at), F.concat(F.lit(before), m, F.lit(after)) if "{m}" in form else F.lit(form)).otherwise(text)
+    key = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('"'), F.expr("doc_id div 7"), F.lit('"'))).when(F.col("doc_id") % 3 == 1, '""').otherwise(F.expr("CAST(doc_id div 7 AS STRING)"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.parse_json(text).alias("id"), F.parse_json(key).alias("key"))
+    return U.load_duplicates(docs, "id", "key", ["source", "doc_id"], "source").select("doc_id", "outcome")
+
+
 @R.add(
     "chk9_10_entries",
     """WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"id": ' || (event_id * 37) || ', "Key": "k"}' WHEN 1 THEN '{"Key": null}' WHEN 2 THEN '{"id": "s"}' ELSE '{"id": 5, "Key": ""}' END AS js FROM events)

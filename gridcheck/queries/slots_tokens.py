@@ -136,9 +136,9 @@ def modifiers(spark: SparkSession, d: str) -> DataFrame:
     return found.select("row_key", F.col("args")["stopped_at"].alias("stopped_at"), F.col("args")["position"].alias("position"))
 
 
-@R.add("tok3_check_base", f"WITH l AS ({LIST_SQL}), t AS (SELECT lower(p_type) AS t FROM part WHERE p_size > 48) SELECT CAST(p_partkey AS VARCHAR) AS row_key, split_part(v, ',', 1) AS base FROM l WHERE lower(split_part(v, ',', 1)) NOT IN (SELECT t FROM t)")
+@R.add("tok3_check_base", f"WITH l AS ({LIST_SQL}), t AS (SELECT lower(p_type) AS t FROM part WHERE p_type < 'P') SELECT CAST(p_partkey AS VARCHAR) AS row_key, split_part(v, ',', 1) AS base FROM l WHERE lower(split_part(v, ',', 1)) NOT IN (SELECT t FROM t)")
 def base(spark: SparkSession, d: str) -> DataFrame:
-    keys = table(spark, d, "part").filter("p_size > 48").select(ascii_lower(F.col("p_type")).alias("key")).distinct()
+    keys = table(spark, d, "part").filter("p_type < 'P'").select(ascii_lower(F.col("p_type")).alias("key")).distinct()
     found, _ = T.check_base(T.token_arrays(lists(spark, d), row_key("p_partkey"), "v"), "part", keys)
     return found.select("row_key", F.col("args")["base"].alias("base"))
 
@@ -326,6 +326,43 @@ def validated(spark: SparkSession, d: str) -> DataFrame:
     return found.select("row_key", "rule", "col")
 
 
+SCOPED = {
+    "tables": {
+        "lines": {"key": ["l_orderkey", "l_linenumber"], "order": "n", "columns": [{"name": "l_partkey", "type": {"type": "int", "table": "parts", "column": "p_partkey"}}, {"name": "pair", "unique": True}]},
+        "parts": {"key": ["p_partkey"], "columns": [{"name": "p_size", "type": {"type": "reference", "table": "sizes", "column": "size"}}]},
+    }
+}
+
+
+@R.add(
+    "src7_scoped_contract",
+    """WITH l AS (SELECT *, 'f' || l_suppkey % 4 AS scope, l_partkey || '/' || l_returnflag AS pair, l_orderkey * 10 + l_linenumber AS n FROM lineitem),
+    p AS (SELECT *, 'f' || p_partkey % 3 AS scope FROM part WHERE p_size <= 40),
+    bad AS (SELECT scope, l_orderkey, l_linenumber FROM l WHERE scope IN ('f0', 'f1', 'f2') AND NOT EXISTS (SELECT 1 FROM p WHERE p.scope = l.scope AND p_partkey = l_partkey)
+      UNION ALL SELECT scope, l_orderkey, l_linenumber FROM l WHERE scope = 'f3' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 10)),
+    f AS (SELECT *, min(n) OVER (PARTITION BY scope, pair) AS first FROM l)
+    SELECT scope || '|' || l_orderkey || '|' || l_linenumber AS row_key, 'reference' AS rule FROM bad UNION ALL SELECT scope || '|' || l_orderkey || '|' || l_linenumber, 'unique' FROM f WHERE n <> first
+    UNION ALL SELECT scope || '|' || p_partkey, 'reference' FROM p WHERE scope IN ('f0', 'f2') AND p_size > CASE scope WHEN 'f0' THEN 20 ELSE 30 END""",
+)
+def scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Folders f0 to f3 with lines; f0 to f2 have parts of their own, f3 takes the shared ones; sizes are known to f0 and f2 alone."""
+    line, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    lines = line.withColumns({"scope": F.concat(F.lit("f"), (F.col("l_suppkey") % 4).cast("string")), "pair": F.concat_ws("/", F.col("l_partkey").cast("string"), "l_returnflag"), "n": F.col("l_orderkey") * 10 + F.col("l_linenumber")})
+    parts = part.filter("p_size <= 40").withColumn("scope", F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")))
+    of = lambda scope, most: part.select(F.lit(scope).alias("scope"), F.col("p_size").alias("size")).filter(F.col("size") <= most)
+    have = {"lines": lines, "parts": parts, "sizes": of("f0", 20).unionByName(of("f2", 30))}
+    found = validate(Contract.of(SCOPED), have, scope="scope", shared={"parts": part.filter("p_size <= 10")})
+    return found.select("row_key", "rule")
+
+
+@R.add("udf4_violation_defaults", "SELECT CAST(event_id AS VARCHAR) AS row_key, CASE event_id % 3 WHEN 0 THEN 'warning' WHEN 1 THEN 'error' ELSE 'hint' END AS severity, CAST(user_id % 50 AS INTEGER) AS col_start, CAST(CASE event_id % 2 WHEN 0 THEN user_id % 50 + 5 ELSE user_id % 50 END AS INTEGER) AS col_end, 'r.c' AS message_key FROM events")
+def violation_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """A rule's rows without some fields: no severity is a warning, a missing or earlier end of the range is its start."""
+    k, start = F.col("event_id"), (F.col("user_id") % 50).cast("int")
+    rows = table(spark, d, "events").select(k.cast("string").alias("row_key"), start.alias("col_start"), F.when(k % 2 == 0, start + 5).when(k % 4 == 1, start - 3).alias("col_end"), F.when(k % 3 == 1, "error").when(k % 3 == 2, "hint").alias("said"))
+    return V.violations(rows, "events", "r", "c", F.col("said")).select("row_key", "severity", "col_start", "col_end", "message_key")
+
+
 @R.add("win4_first_enrichment", "SELECT p_partkey, CASE WHEN p_size > 40 THEN p_brand ELSE p_type END AS title FROM part")
 def enrichment(spark: SparkSession, d: str) -> DataFrame:
     part, rules = table(spark, d, "part"), RuleSet()

@@ -105,8 +105,8 @@ def stream_unique(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "str4_live_revalidation",
-    """WITH l AS (SELECT l_orderkey || '|' || l_linenumber AS row_key, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)
-    SELECT 0 AS batch, row_key, 'new' AS status, count(*) AS n FROM l WHERE p_size > 25 GROUP BY row_key UNION ALL SELECT 1, row_key, 'resolved', count(*) FROM l WHERE p_size BETWEEN 26 AND 40 GROUP BY row_key""",
+    """WITH l AS (SELECT l_orderkey || '|' || l_linenumber AS row_key, p_size, l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT 0 AS batch, row_key, 'new' AS status, count(*) AS n FROM l WHERE p_size > 25 GROUP BY row_key, l_partkey UNION ALL SELECT 1, row_key, 'resolved', count(*) FROM l WHERE p_size BETWEEN 26 AND 40 GROUP BY row_key, l_partkey""",
 )
 def live_revalidation(spark: SparkSession, d: str) -> DataFrame:
     at = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
@@ -161,7 +161,7 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return S.verify_manifest(docs.filter(k != 3).select("path", "content"), listed)
 
 
-@R.add("src5_dataset_digests", "SELECT source AS dataset, CAST(count(*) AS BIGINT) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, sha256(string_agg(sha256(text) || '  ' || lower('D/' || doc_id) || chr(10), '' ORDER BY sha256(text) || '  ' || lower('D/' || doc_id) || chr(10))) AS digest FROM documents GROUP BY source")
+@R.add("src5_dataset_digests", "SELECT source AS dataset, CAST(count(*) AS BIGINT) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, sha256(string_agg(sha256(text) || '  ' || lower('D/' || doc_id) || chr(10), '' ORDER BY lower('D/' || doc_id))) AS digest FROM documents GROUP BY source")
 def digests(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     listed = docs.select(F.col("source").alias("dataset"), F.concat(F.lit("D/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
@@ -175,6 +175,23 @@ def scope(spark: SparkSession, d: str) -> DataFrame:
     return S.with_scope(table(spark, d, "pages").withColumnRenamed("url", "path")).select("page_id", "scope", path_stem(F.col("path")).alias("stem"))
 
 
+@R.add("src10_data_roots", "SELECT page_id, CASE page_id % 3 WHEN 2 THEN '' ELSE 'root' || page_id % 5 || '/data' END AS scope FROM pages")
+def data_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Tables by the folder above ``global/excel``, in any case; what lies elsewhere has none."""
+    k = F.col("page_id")
+    below = F.when(k % 3 == 0, "/global/excel/base/").when(k % 3 == 1, "/Global/EXCEL/").otherwise("/other/")
+    return S.with_scope(table(spark, d, "pages").select("page_id", F.concat(F.lit("root"), (k % 5).cast("string"), F.lit("/data"), below, F.lit("a.txt")).alias("path")), "global/excel").select("page_id", "scope")
+
+
+@R.add("scl8_variant_text", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN 't' || event_id WHEN 2 THEN 'true' WHEN 3 THEN 'null' WHEN 4 THEN event_id || ',,x' ELSE '[object Object]' END AS said FROM events")
+def variant_texts(spark: SparkSession, d: str) -> DataFrame:
+    from gridcheck.functions.scalar import variant_text
+
+    k = F.col("event_id").cast("string")
+    js = F.when(F.col("event_id") % 6 == 0, k).when(F.col("event_id") % 6 == 1, F.concat(F.lit('"t'), k, F.lit('"'))).when(F.col("event_id") % 6 == 2, "true").when(F.col("event_id") % 6 == 3, "null").when(F.col("event_id") % 6 == 4, F.concat(F.lit("["), k, F.lit(', null, "x"]'))).otherwise('{"a": 1}')
+    return table(spark, d, "events").select("event_id", variant_text(F.parse_json(js)).alias("said"))
+
+
 @R.add("src2_decode_text", "SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'utf-16-le' WHEN 1 THEN 'utf-8-bom' ELSE 'utf-8' END AS detected_encoding FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'utf-16-le' WHEN 1 THEN 'utf-8-bom' ELSE 'utf-8' END FROM documents WHERE doc_id % 4 = 3")
 def decoded(spark: SparkSession, d: str) -> DataFrame:
     k, t = F.col("doc_id") % 3, F.col("text")

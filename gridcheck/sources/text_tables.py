@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridcheck.functions.scalar import path_ext, path_parent, path_stem, utf16_len
+from gridcheck.functions.scalar import ascii_lower, path_ext, path_parent, path_stem, utf16_len
+from gridcheck.operators.ordered import folded
 
 TABLE_EXTENSIONS = ("txt", "tsv", "tbl", "csv")
 #: Windows-1252 differs from Latin-1 in 0x80 to 0x9F: fixed values, undefined ones stay as they are.
@@ -98,7 +100,7 @@ def cells_of(lines: DataFrame, delimiter: str = "\t", file_cols: Sequence[str] =
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = "\t", encoding: str = "auto") -> DataFrame:
     """Cells of all files at ``path``, each decoded as a whole (for files that fit a task)."""
-    files = decode_text(spark.read.format("binaryFile").load(path).select("path", "content"), encoding).filter("decode_error IS NULL").select("path", F.regexp_replace("text", r"(\r\n|\r|\n)$", "").alias("text"))
+    files = decode_text(spark.read.format("binaryFile").load(path).select("path", "content"), encoding).filter("decode_error IS NULL").select("path", F.regexp_replace("text", r"(\r\n|\r|\n)\z", "").alias("text"))
     return cells_of(text_lines(files), delimiter)
 
 
@@ -129,21 +131,61 @@ def wide_rows(cells: DataFrame, cols: Sequence[str], file_cols: Sequence[str] =
     return low.groupBy(*file_cols, "line").agg(*(F.min_by(F.when(F.col("__name") == c.lower(), F.col("value")), F.when(F.col("__name") == c.lower(), F.col("col_idx"))).alias(c) for c in cols))
 
 
-def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Differences of files (path, content) from a manifest (dataset, path, bytes, encoding, sha256): ``path``, ``code``."""
-    have = files.select(F.col("path").alias("p"), F.octet_length("content").alias("n"), F.sha2("content", 256).alias("sha"))
-    both = manifest.join(have, F.col("path") == F.col("p"), "full_outer")
-    code = F.when(F.col("p").isNull(), "missing").when(F.col("path").isNull(), "not-listed").when(F.col("n") != F.col("bytes"), "size").when(F.col("sha") != F.lower("sha256"), "sha256")
-    found = both.select(F.coalesce("path", "p").alias("path"), code.alias("code")).filter("code IS NOT NULL")
-    repeated = manifest.groupBy("dataset", "path").agg(F.count("*").alias("n")).filter("n > 1").select("path", F.lit("repeated-path").alias("code"))
-    stems = manifest.withColumn("stem", path_stem(F.col("path"))).groupBy("dataset", "stem").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n > 1").select("path", F.lit("repeated-stem").alias("code"))
-    return found.unionByName(repeated).unionByName(stems)
+def plain_path(path: Column) -> Column:
+    """A manifest's path as it is compared: '/' for '\\', ASCII lower case."""
+    return ascii_lower(F.replace(path, F.lit("\\"), F.lit("/")))
+
+
+def verify_manifest(files: DataFrame, manifest: DataFrame, totals: DataFrame | None = None, encodings: Sequence[str] = ("utf-8", "windows-1252")) -> DataFrame:
+    """Differences of files (path, content) from a manifest (dataset, path, bytes, encoding, sha256): ``path``, ``code``.
+
+    Beside each file's size and hash: its encoding (one of ``encodings``, and
+    UTF-8 must be valid as such), hashes that are none, repeated paths and stems.
+    ``totals`` (dataset, files, bytes, digest) are checked against what the
+    manifest adds up to; there ``path`` is the dataset.
+    """
+    listed = manifest.select("dataset", F.col("path").alias("named"), plain_path(F.col("path")).alias("path"), "bytes", F.lower("encoding").alias("encoding"), F.lower("sha256").alias("sha256"))
+    have = files.select(plain_path(F.col("path")).alias("p"), F.col("path").alias("found"), F.octet_length("content").alias("n"), F.sha2("content", 256).alias("sha"), F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+    both = listed.join(have, F.col("path") == F.col("p"), "full_outer")
+    code = (
+        F.when(F.col("p").isNull(), "missing").when(F.col("path").isNull(), "not-listed").when(~F.col("sha256").rlike("^[0-9a-f]{64}$"), "hash-format").when(~F.col("encoding").isin(*encodings), "unknown-encoding")
+        .when(F.col("n") != F.col("bytes"), "size").when(F.col("sha") != F.col("sha256"), "sha256").when((F.col("encoding") == "utf-8") & ~F.col("utf8"), "encoding")
+    )
+    found = both.select(F.coalesce("named", "found").alias("path"), code.alias("code")).filter("code IS NOT NULL")
+    repeated = listed.groupBy("dataset", "path").agg(F.count("*").alias("n"), F.min("named").alias("named")).filter("n > 1").select(F.col("named").alias("path"), F.lit("repeated-path").alias("code"))
+    stems = listed.withColumn("stem", path_stem(F.col("path"))).groupBy("dataset", "stem").agg(F.count("*").alias("n"), F.min("named").alias("path")).filter("n > 1").select("path", F.lit("repeated-stem").alias("code"))
+    found = found.unionByName(repeated).unionByName(stems)
+    if totals is None:
+        return found
+    sums = dataset_digests(manifest).select(F.col("dataset").alias("d"), F.col("files").alias("f"), F.col("bytes").alias("b"), F.col("digest").alias("g"))
+    said = totals.join(sums, F.col("dataset") == F.col("d"), "full_outer")
+    wrong = F.array_compact(F.array(F.when(F.col("d").isNull(), "missing-dataset"), F.when(F.col("dataset").isNull(), "not-listed-dataset"), F.when(F.col("f") != F.col("files"), "file-count"), F.when(F.col("b") != F.col("bytes"), "total-bytes"), F.when(F.col("g") != F.lower("digest"), "digest")))
+    return found.unionByName(said.select(F.coalesce("dataset", "d").alias("path"), F.explode(wrong).alias("code")))
+
+
+class _Digest:
+    """The hash of a dataset's lines as they go by."""
+
+    def __init__(self) -> None:
+        self.files, self.bytes, self.hash = 0, 0, hashlib.sha256()
+
+    def add(self, sha256: str, path: str, size: int | None) -> None:
+        self.files += 1
+        self.bytes += size or 0
+        self.hash.update(f"{sha256}  {path}\n".encode())
+
+    def done(self) -> tuple:
+        return self.files, self.bytes, self.hash.hexdigest()
 
 
 def dataset_digests(manifest: DataFrame) -> DataFrame:
-    """Per dataset: files, bytes, and sha256 over its sorted lines of ``<sha>  <lower path>``."""
-    line = F.concat(F.lower("sha256"), F.lit("  "), F.lower("path"), F.lit("\n"))
-    return manifest.groupBy("dataset").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ""), 256).alias("digest"))
+    """Per dataset: files, bytes, and sha256 over its lines of ``<sha>  <path>``, by path (lower case, '/').
+
+    Lines are sorted with spill and hashed as they go by: a dataset of any size
+    needs no more memory than a batch.
+    """
+    lines = manifest.select(F.coalesce("dataset", F.lit("")).alias("dataset"), F.lower("sha256").alias("sha256"), plain_path(F.col("path")).alias("path"), F.col("bytes").cast("long").alias("size"))
+    return folded(lines, "dataset", ["path", "sha256"], _Digest, ["sha256", "path", "size"], "files long, bytes long, digest string")
 
 
 def overlay_sources(catalog: DataFrame) -> DataFrame:
