@@ -271,7 +271,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text is just its end.  A row with a null id is held out.
     Repeated rows are learnt and scored each.  Without training rows all words
     are unknown.  Other columns are not read; an empty table gives an empty
-    result.
+    result.  A very long text is a block of its own, scored whole.  There are no
+    ties to break: scores are sums over a row's own text.
     """
     spark = docs.sparkSession
     held = F.coalesce(bucket_of(id_col, folds) == 0, F.lit(True))

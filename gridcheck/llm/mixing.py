@@ -240,6 +240,11 @@ def mixed_documents(docs: DataFrame, n_chars_col: str | None = "n_chars", **opti
     Copy k has the words of all blocks taken k times or more; words that stand
     together keep the white space between them, gaps become a line feed.
     ``n_chars_col``, if there, gets the length of the new text.
+
+    Null and empty texts are never taken.  Repeated rows are taken each by
+    itself; a null source is a source of its own.  A very long text is many
+    blocks, of which its copies hold those that were taken.  Ties as in ``Mix``.
+    An empty table gives an empty one; other columns are copied, whatever their names.
     """
     kept = written(docs.withColumn("__row", F.monotonically_increasing_id()), "unmixed")
     mix = Mix(kept, row_col="__row", **options)

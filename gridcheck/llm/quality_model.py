@@ -101,7 +101,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     with a null id are held out.  Repeated rows are scored, and learnt, each.
     Without labels of both classes every score is the share of class 1 (0.5
     without any).  Other columns are not read; an empty table gives an empty
-    result.
+    result.  A very long text is read whole, in one row; equal texts get
+    equal scores, so ties need no order.
     """
     id_type, d = docs.schema[id_col].dataType.simpleString(), len(FEATURES)
     held = F.coalesce(bucket_of(id_col, folds) == 0, F.lit(True))

@@ -195,6 +195,11 @@ def kept_documents(docs: DataFrame, host_col: str = "source", text_col: str = "t
     ``n_chars``, if there is one, is that of the text that is left.
     The verdict depends on host and text alone, so both join it back to the
     rows: by the host and two 64-bit hashes of the text.
+
+    Null, empty and short texts fail the base rules and go.  Repeated rows are
+    kept or rejected alike, each a row; a null host is a host of its own.  A very
+    long text is one row, read whole.  Equal texts tie and share a verdict.  An
+    empty table gives an empty one; all other columns stay as they are.
     """
     key = [F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("__h"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__a"), F.xxhash64(F.lit(1), F.coalesce(F.col(text_col), F.lit(""))).alias("__b")]
     verdicts = _verdicts(docs.select(*key, F.col(host_col).alias("host"), F.col(text_col).alias("text")), "host", "text", **options)

@@ -80,7 +80,9 @@ def count_tokens(
 
     Null and empty texts have no bytes and no tokens.  Repeated rows and rows
     with a null or repeated id keep a row each.  Other columns are not read.
-    An empty table gives an empty result.
+    An empty table gives an empty result.  A very long text is cut into its
+    pre-tokens in one row.  Ties among the most frequent pre-tokens change only
+    how they are joined.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(text_col).alias("text"))

@@ -46,3 +46,15 @@ def test_stages_and_run(spark, tmp_path):
         assert r.start == at
         at += r.n_tokens
     assert [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+
+
+def test_empty_tables(spark, tmp_path):
+    """No documents: every stage gives an empty table with the same columns, and the files hold nothing."""
+    documents = spark.createDataFrame([(1, "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").limit(0)
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a b")], "item_id long, text string").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        docs = P.written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == documents.columns and docs.count() == 0, name
+    assert P.run(spark, str(tmp_path)).count() == 0
