@@ -3,6 +3,12 @@
 ``run`` writes what each stage returns to the shared folder and reads it as the
 next stage's documents.  All stages but the last keep the columns of
 ``documents``.
+
+Null and empty texts end with the first stage, which rejects texts of fewer than 50
+words.  Repeated rows are rejected or kept alike there, and the second stage leaves
+one of them.  Very long texts pass every stage whole.  An empty table gives an empty
+table at each stage, and token files of no documents.  Columns beyond those of
+``documents`` are carried along.
 """
 
 from __future__ import annotations
