@@ -1,8 +1,8 @@
-"""Positions and running sums within groups, and folds over sorted groups; no group is held whole."""
+"""Positions and running sums within groups; no group is held whole."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridcheck.operators.ordered import folded as folded
+
 from .common import written
 
 
@@ -75,47 +77,3 @@ def numbered(rows: DataFrame, group: str, order: Sequence[Column], sums: Mapping
     offsets = spans.select("__part", *(F.sum(n).over(before).alias(f"__o_{n}") for n in ("pos", *sums))).filter("__o_pos IS NOT NULL").withColumn("__head", F.lit(True))
     joined = table.join(F.broadcast(offsets), ["__part", "__head"], "left")
     return joined.select(*(f.name for f in kept), *((F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0))).alias(n) for n in ("pos", *sums)))
-
-
-def folded(rows: DataFrame, group: str, order: Sequence[str], fold: Callable[[], Callable], columns: Sequence[str], result: str) -> DataFrame:
-    """One row for each group: a fold over its rows in order, in memory of one batch.
-
-    ``fold()`` makes the state of a group: ``add(row values of columns)`` and
-    ``done() -> tuple`` of the ``result`` columns.  Rows are sorted (with spill)
-    and go by in batches; of a group only its state is held.
-    """
-    names = [c.split(" ")[0] for c in result.split(", ")]
-    ordered = rows.select(group, *order, *(c for c in columns if c not in order)).repartition(F.col(group)).sortWithinPartitions(group, *order)
-    schema = T.StructType.fromDDL(f"{group} string, {result}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {f.name: f for f in _arrow(schema)}
-        key, state, ended = None, None, []
-
-        def close() -> None:
-            if state is not None:
-                ended.append((key, *state.done()))
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                values = [part.column(c).to_pylist() for c in columns]
-                for k, *row in zip(part.column(group).to_pylist(), *values):
-                    if state is None or k != key:
-                        close()
-                        key, state = k, fold()
-                    state.add(*row)
-                if len(ended) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), kinds[n].type) for n, c in zip([group, *names], zip(*ended))], names=[group, *names])
-                    ended.clear()
-        close()
-        if ended:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kinds[n].type) for n, c in zip([group, *names], zip(*ended))], names=[group, *names])
-
-    return ordered.mapInArrow(run, schema)
-
-
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
