@@ -12,6 +12,7 @@ from gridcheck.plans.contract import Contract
 from gridcheck.plans.isolated import validate_to
 from gridcheck.queries.base import Registry, table
 from gridcheck.sources import text_tables as S
+from gridcheck.sources.text_source import read_text_tables
 from gridcheck.storage import shared_dir
 from gridcheck.streaming import streams as X
 from gridcheck.streaming.revalidate import Revalidation
@@ -30,6 +31,25 @@ def round_trip(spark: SparkSession, d: str) -> DataFrame:
     return wide.select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
 
 
+@R.add("src3_order_files", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
+def order_files(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as tab-separated files of a range of a thousand keys each, parsed back."""
+    rows = table(spark, d, "orders").select(F.expr("o_orderkey div 1000").alias("path"), F.struct("o_orderkey", F.array_join(F.array(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority"), "\t").alias("line")).alias("row"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("row")), lambda r: r["line"]), "\r\n")
+    text = rows.groupBy("path").agg(F.concat(F.lit("O_ORDERKEY\to_custkey\to_orderpriority\r\n"), body).alias("text"))
+    wide = S.wide_rows(S.cells_of(S.text_lines(text)), ["o_orderkey", "o_custkey", "o_orderpriority"])
+    return wide.select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderpriority")
+
+
+@R.add("src3_text_source", "SELECT CAST(length(line) AS INTEGER) AS length, count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+def text_source(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of all documents written as text files, and read through the data source in parts of 64 KB."""
+    at = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    table(spark, d, "documents").filter("text IS NOT NULL").select(F.explode(F.split(F.translate("text", "\r", " "), "\n", -1)).alias("value")).write.text(at)
+    found = read_text_tables(spark, at, partBytes=1 << 16, encoding="utf-8")
+    return found.filter("error IS NULL").groupBy(F.length("content").alias("length")).agg(F.count("*").alias("n"))
+
+
 @R.add("src3_document_lines", "SELECT doc_id, CAST(count(*) AS BIGINT) AS n_cells, CAST(max(length(cell)) AS BIGINT) AS longest FROM (SELECT doc_id, unnest(string_split(line, ' ')) AS cell FROM (SELECT doc_id, unnest(string_split(text, chr(10))[2:]) AS line FROM documents)) GROUP BY doc_id")
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
     cells = S.cells_of(S.text_lines(table(spark, d, "documents").select("doc_id", "text")), " ", ["doc_id"])
