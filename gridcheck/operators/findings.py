@@ -39,15 +39,19 @@ def when(condition: Column, found: Column) -> Column:
 
 
 def gathered(single: Sequence[Column], many: Sequence[Column] = ()) -> Column:
-    """One array of the findings that are there: of single ones and of arrays."""
-    parts = ([F.array_compact(F.array(*single))] if single else []) + [F.coalesce(m, F.array().cast(f"array<{FINDING}>")) for m in many]
+    """One array of the findings, of single ones and of arrays; those that are not there are null.
+
+    Nulls go after the array is exploded: to take them out of it would leave
+    generated code.
+    """
+    parts = ([F.array(*single)] if single else []) + [F.coalesce(m, F.array().cast(f"array<{FINDING}>")) for m in many]
     return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array().cast(f"array<{FINDING}>")
 
 
 def exploded(df: DataFrame, table: str, row_key: Column, found: Column, line: Column | None = None, scope: Column | None = None) -> DataFrame:
     """A row per finding, with its table, row and scope (empty without scopes)."""
     line = line if line is not None else F.lit(None)
-    return df.select(F.lit(table).alias("table"), row_key.cast("string").alias("row_key"), line.cast("int").alias("line"), _scope(scope), F.explode(found).alias("f")).select("table", "row_key", "line", "scope", "f.*")
+    return df.select(F.lit(table).alias("table"), row_key.cast("string").alias("row_key"), line.cast("int").alias("line"), _scope(scope), F.explode(found).alias("f")).filter("f IS NOT NULL").select("table", "row_key", "line", "scope", "f.*")
 
 
 def _scope(scope: Column | None) -> Column:
@@ -56,8 +60,7 @@ def _scope(scope: Column | None) -> Column:
 
 def asked_keys(df: DataFrame, found: Column, scope: Column | None = None) -> DataFrame:
     """Edge, scope and key of every finding that has a key; not yet distinct."""
-    keys = F.transform(F.filter(found, lambda f: f["edge"].isNotNull()), lambda f: F.struct(f["edge"].alias("edge"), f["key"].alias("key")))
-    return df.select(_scope(scope), F.explode(F.array_distinct(keys)).alias("k")).select("scope", "k.*")
+    return df.select(_scope(scope), F.explode(found).alias("f")).filter("f.edge IS NOT NULL").select("scope", F.col("f.edge").alias("edge"), F.col("f.key").alias("key"))
 
 
 def as_violations(found: DataFrame) -> DataFrame:
