@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_of, mixed, rows_of, written
+from .common import bucket_of, ending, mixed, released, rows_of, written
 from .common import loosened as _unzip
 from .common import squeezed as _zip
 
@@ -251,7 +251,7 @@ def _blocks(docs: DataFrame, order: int) -> DataFrame:
         if ids:
             yield row(ids, held, hashes)
 
-    return written(docs.mapInArrow(cut, schema), "blocks")
+    return written(docs.mapInArrow(ending(cut), schema), "blocks")
 
 
 def _block(words: bytes, sequence: bytes, lengths: list[int], held: list[bool]) -> Block:
@@ -347,9 +347,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append({"block": x["block"], "range": x["range"], "counts": _zip(counts[own].astype(np.uint64)), "left": _zip(left[own]), "times": _zip(plain.of(i)), "hot_times": _zip(spread.of(i)), "tokens": int(counts.sum()) if once else 0, "types": int((counts > 0).sum()) if once else 0, "hot_taken": hot_taken.tolist() if once else None})
             if order > 2:
                 out[-1] |= {"kinds3": _zip(kinds3[pairs[i]].astype(np.uint32)), "lost3": _zip(lost3[pairs[i]].astype(np.uint64)), "times3": _zip(plain3.of(i)), "hot_times3": _zip(spread3.of(i)), "hot_taken3": hot_taken3.tolist() if once else None}
-        return pa.Table.from_pylist(out, schema=_arrow(answered))
+        found = pa.Table.from_pylist(out, schema=_arrow(answered))
+        del rows, out, words, plain, spread
+        released()  # a worker that waits for its next group would keep what this one took
+        return found
 
-    answers = written(blocks.select("block", "words", "sequence", "lengths", "held").mapInArrow(ask, asked).repartition(ranges, "range").groupBy("range").applyInArrow(answer, answered), "answers")
+    answers = written(blocks.select("block", "words", "sequence", "lengths", "held").mapInArrow(ending(ask), asked).repartition(ranges, "range").groupBy("range").applyInArrow(answer, answered), "answers")
     sums = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     tokens, types = sums.tokens or 0, sums.types or 0
 
@@ -390,6 +393,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n_known = np.add.reduceat((counts > 0).astype(np.int64)[block.sequence], firsts)
             columns = [x["ids"], x["held"], block.lengths, n_known, np.full(len(firsts), tokens), base, scores]
             out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow))
+            del q, counts, mass, times, ways, ways3, scores, base
+        replies.clear()
+        released()
         return pa.Table.from_batches(out, schema=arrow)
 
     asking = blocks.select("block", "ids", "held", "lengths", "words", "sequence").groupBy("block")
