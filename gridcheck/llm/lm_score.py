@@ -40,7 +40,7 @@ from .common import loosened as _unzip
 from .common import squeezed as _zip
 
 #: Words in one block, about; a longer text is a block of its own.
-BLOCK = 2_000_000
+BLOCK = 1_500_000
 #: Words whose bigrams one hash range holds, about.
 RANGE = 2_000_000
 #: Share of all words above which a history, a word or two, is spread.
@@ -62,9 +62,18 @@ def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 def _hot_numbers(hot: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Where the hashes stand in the sorted ``hot``; -1 for others."""
     if not len(hot):
-        return np.full(len(hashes), -1)
-    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
-    return np.where(hot[at] == hashes, at, -1)
+        return np.full(len(hashes), -1, np.int16)
+    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1).astype(np.int16)
+    return np.where(hot[at] == hashes, at, np.int16(-1))
+
+
+def _at(mask: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(mask).astype(np.int32)
+
+
+def _by(numbers: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The numbers in the order of their keys."""
+    return numbers[np.argsort(keys, kind="stable")]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -78,6 +87,17 @@ def _unpack(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, sorted, and which one each is, in less memory than ``np.unique`` takes."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    which = np.empty(len(order), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return codes[new], which
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -116,23 +136,24 @@ class Block:
         """Distinct (first, second) as numbers of words, by first; counts in training documents; which one starts at each place, or -1."""
         inside = np.ones(len(self.sequence), bool)
         inside[self.ends] = False
-        at = np.flatnonzero(inside)
-        pair = self.sequence[at].astype(np.uint64) << np.uint64(32) | self.sequence[at + 1].astype(np.uint64)
-        pairs, which = np.unique(pair, return_inverse=True)
-        counts = np.bincount(which[self.trained[at]], minlength=len(pairs))
+        at = np.flatnonzero(inside).astype(np.int32)
+        return self._distinct(at, self.sequence[at], self.sequence[at + 1])
+
+    def _distinct(self, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of numbers, sorted, with counts in training documents; which one is at each place, or -1."""
+        codes = left.astype(np.uint64)
+        codes <<= np.uint64(32)
+        codes |= right.astype(np.uint64)
+        codes, which = _numbered(codes)
+        counts = np.bincount(which[self.trained[at]], minlength=len(codes)).astype(np.int32)
         starts = np.full(len(self.sequence), -1, np.int32)
         starts[at] = which
-        return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), counts, starts
+        return (codes >> np.uint64(32)).astype(np.int32), (codes & np.uint64(0xFFFFFFFF)).astype(np.int32), counts, starts
 
     def trigrams(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (bigram, third) as numbers, by bigram; counts in training documents; which one starts at each place, or -1."""
-        at = np.flatnonzero((starts[:-1] >= 0) & (starts[1:] >= 0))
-        triple = starts[at].astype(np.uint64) << np.uint64(32) | self.sequence[at + 2].astype(np.uint64)
-        triples, which = np.unique(triple, return_inverse=True)
-        counts = np.bincount(which[self.trained[at]], minlength=len(triples))
-        starts3 = np.full(len(self.sequence), -1, np.int32)
-        starts3[at] = which
-        return (triples >> np.uint64(32)).astype(np.int32), (triples & np.uint64(0xFFFFFFFF)).astype(np.int32), counts, starts3
+        at = np.flatnonzero((starts[:-1] >= 0) & (starts[1:] >= 0)).astype(np.int32)
+        return self._distinct(at, starts[at], self.sequence[at + 2])
 
 
 class Question:
@@ -141,46 +162,46 @@ class Question:
     def __init__(self, block: Block, hot: np.ndarray, hot_pairs: np.ndarray, ranges: int, order: int) -> None:
         self.block = block
         self.first, self.second, self.times, self.starts = block.bigrams()
-        where = lambda h: (mixed(h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-        self.word_range = where(block.words).astype(np.int64)
+        where = lambda h: ((mixed(h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        edges = np.arange(ranges + 1, dtype=np.int32)
+        word_range = where(block.words)
         self.hot_number = _hot_numbers(hot, block.words)
         is_hot = self.hot_number[self.first] >= 0
-        self.word_order = np.argsort(self.word_range, kind="stable")
-        self.word_bounds = np.searchsorted(self.word_range[self.word_order], np.arange(ranges + 1))
+        self.word_order = _by(np.arange(len(block.words), dtype=np.int32), word_range)
+        self.word_bounds = np.searchsorted(word_range[self.word_order], edges)
         # within a range: by the place of the first word there, then as they come
-        place = np.empty(len(block.words), np.int64)
-        place[self.word_order] = np.arange(len(block.words))
-        plain, spread = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
-        self.plain = plain[np.argsort(place[self.first[plain]], kind="stable")]
-        self.plain_bounds = np.searchsorted(self.word_range[self.first[self.plain]], np.arange(ranges + 1))
-        to = where(mixed(block.words[self.second[spread]])).astype(np.int64)
-        by = np.argsort(to, kind="stable")
-        self.spread, self.spread_bounds = spread[by], np.searchsorted(to[by], np.arange(ranges + 1))
+        place = np.empty(len(block.words), np.int32)
+        place[self.word_order] = np.arange(len(block.words), dtype=np.int32)
+        plain, spread = _at(~is_hot), _at(is_hot)
+        self.plain = _by(plain, place[self.first[plain]])
+        self.plain_bounds = np.searchsorted(word_range[self.first[self.plain]], edges)
+        # where a bigram or trigram of a hot history goes depends on its last word alone
+        spread_range = where(mixed(block.words))
+        self.spread = _by(spread, spread_range[self.second[spread]])
+        self.spread_bounds = np.searchsorted(spread_range[self.second[self.spread]], edges)
         if order < 3:
             return
         self.pair, self.third, self.times3, self.starts3 = block.trigrams(self.starts)
         # a range's bigrams are its plain ones, then its spread ones; trigrams come in that order
-        self.pair_bounds = self.plain_bounds + self.spread_bounds
-        self.pair_place = np.empty(len(self.first), np.int64)
+        self.pair_bounds = (self.plain_bounds + self.spread_bounds).astype(np.int32)
+        self.pair_place = np.empty(len(self.first), np.int32)
         for r in range(ranges):
             _, plain, spread = self.parts(r)
             self.pair_place[plain] = self.pair_bounds[r] + np.arange(len(plain))
             self.pair_place[spread] = self.pair_bounds[r] + len(plain) + np.arange(len(spread))
-        self.hot_pair = _hot_numbers(hot_pairs, _pair_hashes(block.words[self.first], block.words[self.second]))
+        self.hot_pair = _hot_numbers(hot_pairs, _pair_hashes(block.words[self.first], block.words[self.second])) if len(hot_pairs) else np.full(len(self.first), -1, np.int16)
         is_hot = self.hot_pair[self.pair] >= 0
-        plain, spread = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
-        self.plain3 = plain[np.argsort(self.pair_place[self.pair[plain]], kind="stable")]
+        plain, spread = _at(~is_hot), _at(is_hot)
+        self.plain3 = _by(plain, self.pair_place[self.pair[plain]])
         self.plain3_bounds = np.searchsorted(self.pair_place[self.pair[self.plain3]], self.pair_bounds)
-        to = where(mixed(block.words[self.third[spread]])).astype(np.int64)
-        by = np.argsort(to, kind="stable")
-        self.spread3, self.spread3_bounds = spread[by], np.searchsorted(to[by], np.arange(ranges + 1))
+        self.spread3 = _by(spread, spread_range[self.third[spread]])
+        self.spread3_bounds = np.searchsorted(spread_range[self.third[self.spread3]], edges)
 
     def parts(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, plain bigrams and spread bigrams of a range, as numbers in the block."""
         cut = lambda order, bounds: order[bounds[r] : bounds[r + 1]]
         return cut(self.word_order, self.word_bounds), cut(self.plain, self.plain_bounds), cut(self.spread, self.spread_bounds)
 
-
     def parts3(self, r: int) -> tuple[np.ndarray, np.ndarray]:
         """Plain and spread trigrams of a range, as numbers in the block."""
         return self.plain3[self.plain3_bounds[r] : self.plain3_bounds[r + 1]], self.spread3[self.spread3_bounds[r] : self.spread3_bounds[r + 1]]
@@ -331,7 +352,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         np.add.at(hot_taken, spread.first, spread.times - discount)
         if order > 2:
             # the histories of trigrams: plain bigrams, then spread ones, with the numbers of their sums
-            pairs = [np.concatenate([plain.numbers(i), len(plain.total) + spread.numbers(i)]) for i in range(len(rows))]
+            pairs = [np.concatenate([plain.numbers(i), np.int32(len(plain.total)) + spread.numbers(i)]) for i in range(len(rows))]
             first = np.concatenate([np.repeat(p, _unzip(x["fans3"], np.uint32).astype(np.int64)) for p, x in zip(pairs, rows)])
             plain3 = _Summed(first, [_unpack(x["nexts3"]) for x in rows], [_unzip(x["times3"], np.uint64) for x in rows], least)
             both = np.concatenate([plain.total, spread.total])
@@ -348,7 +369,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if order > 2:
                 out[-1] |= {"kinds3": _zip(kinds3[pairs[i]].astype(np.uint32)), "lost3": _zip(lost3[pairs[i]].astype(np.uint64)), "times3": _zip(plain3.of(i)), "hot_times3": _zip(spread3.of(i)), "hot_taken3": hot_taken3.tolist() if once else None}
         found = pa.Table.from_pylist(out, schema=_arrow(answered))
-        del rows, out, words, plain, spread
+        rows.clear()
+        out.clear()
+        del words, plain, spread, which, first
         released()  # a worker that waits for its next group would keep what this one took
         return found
 
@@ -368,7 +391,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         arrow, out = _arrow(result), []
-        replies = {r["range"]: r for r in right.to_pylist()}
+        replies = {r["range"]: r for batch in right.to_batches() for r in batch.to_pylist()}
         for x in left.to_pylist():
             block = _block(x["words"], x["sequence"], x["lengths"], x["held"])
             q = Question(block, *sent_hot.value, ranges, order)
@@ -382,10 +405,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             is_hot = q.hot_number >= 0
             mass[is_hot] = 1 - sent_taken.value[0][q.hot_number[is_hot]] / np.maximum(counts[is_hot], 1)
             p = (counts + alpha) / floor
-            kept = times >= max(least, 1)
-            first, second = q.first, q.second
-            ways = mass[first] * p[second]
-            ways[kept] += (times[kept] - discount) / counts[first[kept]]
+            kept = _at(times >= max(least, 1))
+            ways = mass[q.first] * p[q.second]
+            ways[kept] += (times[kept] - discount) / counts[q.first[kept]]
+            del kept
             ways3 = _trigram_ways(q, replies, ways, times, sent_taken.value[1], discount, least) if order > 2 else None
             scores = Automaton(q, np.log10(p), np.log10(ways), ways3).scores()
             firsts = np.cumsum(block.lengths) - block.lengths
@@ -441,9 +464,11 @@ class _Summed:
     """N-grams of several questions with their counts added up, and those kept."""
 
     def __init__(self, first: np.ndarray, nexts: list[np.ndarray], times: list[np.ndarray], least: int) -> None:
-        pairs = first.astype(np.uint64) << np.uint64(8 * NEXT_BYTES) | np.concatenate(nexts)
+        pairs = first.astype(np.uint64)
+        pairs <<= np.uint64(8 * NEXT_BYTES)
+        pairs |= np.concatenate(nexts)
         self.bounds = np.cumsum([0, *map(len, nexts)])
-        pairs, self.which = np.unique(pairs, return_inverse=True)
+        pairs, self.which = _numbered(pairs)
         total = np.zeros(len(pairs), np.int64)
         np.add.at(total, self.which, np.concatenate(times).astype(np.int64))
         self.total = total
