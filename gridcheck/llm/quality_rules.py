@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, written
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Frequent lines that may go to every task; beyond it the join shuffles.
+#: Frequent lines that may go to every task; beyond it the join shuffles, each line spread over parts of its texts.
 BROADCAST_LINES = 200_000
 #: Jaccard similarity in percent from which a text counts as a copy.
 SIMILAR = 80
@@ -115,6 +115,22 @@ def frequent_lines(stats: DataFrame, copies: DataFrame, host_col: str, least_doc
     return of_line.join(of_host, host_col).filter((F.col("n_docs") >= least_docs) | (F.col("n_docs") > share * F.col("n_host"))).select(host_col, "line", "n_docs")
 
 
+def with_frequent(lines: DataFrame, frequent: DataFrame, host_col: str) -> DataFrame:
+    """The rows of ``lines`` (host, text_key, line and more) whose line is in ``frequent``.
+
+    A frequent line is a hot key by its nature, so beyond ``BROADCAST_LINES`` the
+    rows of a line are dealt to as many parts as there are shuffle partitions,
+    by their text.  Only parts that a line has rows in are looked up, at most one
+    row for each, so neither side has a key that many rows share.
+    """
+    if frequent.count() <= BROADCAST_LINES:
+        return lines.join(F.broadcast(frequent), [host_col, "line"])
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.withColumn("__part", F.pmod(F.col("text_key.b"), F.lit(parts)).cast("int"))
+    there = dealt.select(host_col, "line", "__part").distinct().join(frequent, [host_col, "line"])
+    return dealt.join(there, [host_col, "line", "__part"]).drop("__part")
+
+
 def quality_rules(
     docs: DataFrame,
     host_col: str = "source",
@@ -162,12 +178,9 @@ def _verdicts(
     stats = written(text_statistics(docs.select(*kept, host, text_col), text_col), "statistics")
     copied = near_copies(docs.select(host, text_col), stats, "__host_key", text_col)
     frequent = written(frequent_lines(stats, copied, "__host_key", least_docs, share, small_docs).select("__host_key", "line"), "lines")
-    if frequent.count() <= BROADCAST_LINES:
-        frequent = F.broadcast(frequent)
+    lines = stats.select("__host_key", "text_key", F.explode("lines").alias("x")).select("__host_key", "text_key", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
     removed = (
-        stats.select("__host_key", "text_key", F.explode("lines").alias("x"))
-        .select("__host_key", "text_key", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-        .join(frequent, ["__host_key", "line"])
+        with_frequent(lines, frequent, "__host_key")
         # copies of a text bring the same lines again: a text's lines count as often as its copies, which are divided out
         .groupBy("__host_key", "text_key")
         .agg(F.sum("words").alias("w"), F.count("*").alias("l"), F.collect_set("line").alias("removed"))

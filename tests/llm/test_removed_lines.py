@@ -1,3 +1,4 @@
+from gridcheck.llm import quality_rules as quality_rules_module
 from gridcheck.llm.quality_rules import kept_documents, quality_rules
 
 COMMON = "Subscribe to our 100 letters now"
@@ -43,3 +44,16 @@ def test_documents_with_much_common_text_are_not_copies(spark):
     got = {r.doc_id: r for r in quality_rules(docs_of(spark, rows)).collect()}
     assert all(got[i].depleted and got[i].n_removed_words == 176 for i in range(40))
     assert all(got[1000 + i].kept and not got[1000 + i].n_removed_words for i in range(70))
+
+
+def test_lines_spread_over_parts_give_the_same(spark, monkeypatch):
+    page = lambda i: words(f"p{letters(i)}x", 60)
+    rows = [(i, page(i) + (f"\n{COMMON}\n{COMMON}" if i % 3 else "\nown " + letters(i)), "a" if i % 5 else None) for i in range(400)]
+    rows += [(1000 + i, *rows[1][1:]) for i in range(50)]  # repeated texts count once and all lose the line
+    docs = docs_of(spark, rows)
+    want = sorted(map(tuple, quality_rules(docs).collect()))
+    monkeypatch.setattr(quality_rules_module, "BROADCAST_LINES", -1)
+    assert sorted(map(tuple, quality_rules(docs).collect())) == want
+    lines = spark.createDataFrame([("=a", (i, i * 7919), 5, 3) for i in range(3000)] + [("=a", (9, 9), 6, 1)], "h string, text_key struct<a: bigint, b: bigint>, line long, words int")
+    found = quality_rules_module.with_frequent(lines, spark.createDataFrame([("=a", 5)], "h string, line long"), "h")
+    assert found.count() == 3000 and found.columns.count("line") == 1 and "__part" not in found.columns
