@@ -25,9 +25,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+#: White space as Unicode has it, for the inside of a character class.
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def is_blank(c: Column) -> Column:
     """Null, empty or white space only."""
-    return c.isNull() | (F.trim(F.translate(c, "\t\r\n", "   ")) == "")
+    return c.isNull() | ~c.rlike(f"[^{SPACE}]")
+
+
+def trimmed(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(F.regexp_replace(c, f"^[{SPACE}]+", ""), f"[{SPACE}]+\\z", "")
 
 
 def fixed4_bytes(c: Column) -> Column:
@@ -147,9 +156,13 @@ def path_parent(c: Column) -> Column:
     return F.regexp_extract(c, r"^(.*)[/\\][^/\\]*$", 1)
 
 
+#: How a blank and a tab are shown.
+BLANK_MARK, TAB_MARK = "␠", "⇥"
+
+
 def visible_space(c: Column) -> Column:
     """Blanks and tabs made visible."""
-    return F.replace(F.replace(c, F.lit(" "), F.lit("·")), F.lit("\t"), F.lit("→"))
+    return F.translate(c, " \t", BLANK_MARK + TAB_MARK)
 
 
 def catalog_placeholders(c: Column) -> Column:

@@ -13,10 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcheck.functions.scalar import is_blank, visible_space, wrap_uint
+from gridcheck.functions.scalar import SPACE, is_blank, visible_space, wrap_uint
 from gridcheck.violations import violations
 
 INTEGER = r"^[+-]?[0-9]+$"
+STORED_BOOLEAN = r"^-?[0-9]+$"
 FLOAT = r"^[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
 
 
@@ -110,12 +111,13 @@ def not_boolean(v: Column) -> Column:
 
 
 def not_stored_boolean(v: Column) -> Column:
-    return ~is_blank(v) & ~v.rlike(INTEGER)
+    """Filled, but no decimal of any length; a plus sign is not read."""
+    return ~is_blank(v) & ~v.rlike(STORED_BOOLEAN)
 
 
 def stored_boolean(v: Column, kind: str = "general") -> Column:
-    """What a stored boolean means: any bit ('general'), or any bit of the low byte ('stored')."""
-    return wrap_uint(v, 32 if kind == "general" else 8) != 0
+    """What a stored boolean means: any bit ('general'), or any bit of the low byte ('stored'); null if it is none."""
+    return F.when(v.rlike(STORED_BOOLEAN), wrap_uint(v, 32 if kind == "general" else 8) != 0)
 
 
 def not_uint(v: Column, bits: int) -> Column:
@@ -198,10 +200,10 @@ def code_range(v: Column, low: int = 0, high: int = 15, fallback: int = 1, label
 
 
 def with_whitespace_hint(df: DataFrame, col: str = "value") -> DataFrame:
-    """How many blanks lead and trail, and the value with them made visible."""
+    """How much white space leads and trails (all of a blank value does both), and the value with blanks and tabs made visible."""
     v = F.col(col)
-    blanks = "[ \\t]"
-    return df.withColumns({"leading": F.length(v) - F.length(F.regexp_replace(v, f"^{blanks}+", "")), "trailing": F.length(v) - F.length(F.regexp_replace(v, f"{blanks}+$", "")), "visible": visible_space(v)})
+    ends = {"leading": f"^[{SPACE}]+", "trailing": f"[{SPACE}]+\\z"}
+    return df.withColumns({name: F.length(v) - F.length(F.regexp_replace(v, end, "")) for name, end in ends.items()} | {"visible": visible_space(v)})
 
 
 def family_of(col: str) -> str:

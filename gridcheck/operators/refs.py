@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcheck.functions.scalar import ascii_lower, fixed4_key, is_blank
+from gridcheck.functions.scalar import ascii_lower, fixed4_key, is_blank, trimmed
 from gridcheck.violations import violations
 
 RESOLVERS = {"ascii-ci": ascii_lower, "fixed4": fixed4_key, "exact": lambda c: c}
@@ -113,9 +113,8 @@ def resolve_tiered(df: DataFrame, col: str, tiers: Sequence[tuple[str, DataFrame
 
 
 def with_trim_hint(unresolved: DataFrame, keys: DataFrame, resolver: str = "ascii-ci") -> DataFrame:
-    """Whether an unresolved value would resolve without the blanks at its ends."""
-    trimmed = RESOLVERS[resolver](F.regexp_replace(F.col("value"), r"^[ \t]+|[ \t]+$", ""))
-    return unresolved.withColumn("__key", trimmed).join(keys.select(F.col("key").alias("__key"), F.lit(True).alias("__there")), "__key", "left").withColumn("trimmed_match", F.coalesce("__there", F.lit(False))).drop("__key", "__there")
+    """Whether an unresolved value would resolve without the white space at its ends."""
+    return unresolved.withColumn("__key", RESOLVERS[resolver](trimmed(F.col("value")))).join(keys.select(F.col("key").alias("__key"), F.lit(True).alias("__there")), "__key", "left").withColumn("trimmed_match", F.coalesce("__there", F.lit(False))).drop("__key", "__there")
 
 
 def enrich(df: DataFrame, col: str, target: DataFrame, target_col: str, value_cols: Mapping[str, str], order: str, resolver: str = "ascii-ci") -> DataFrame:

@@ -52,8 +52,8 @@ def check_columns(spark: SparkSession, d: str) -> DataFrame:
 @R.add(
     "chk4_stored_boolean",
     f"""WITH d AS ({DIRTY_SQL})
-    SELECT {KEY_SQL} AS row_key, a AS value, regexp_full_match(a, '[+-]?[0-9]+') AS valid,
-      CASE WHEN regexp_full_match(a, '[+-]?[0-9]+') THEN l_partkey % 256 <> 0 END AS enabled
+    SELECT {KEY_SQL} AS row_key, a AS value, regexp_full_match(a, '-?[0-9]+') AS valid,
+      CASE WHEN regexp_full_match(a, '-?[0-9]+') THEN l_partkey % 256 <> 0 END AS enabled
     FROM d WHERE trim(a) <> ''""",
 )
 def stored_boolean(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +105,7 @@ def check_lengths(spark: SparkSession, d: str) -> DataFrame:
 @R.add(
     "chk12_whitespace_hint",
     f"""WITH d AS ({DIRTY_SQL})
-    SELECT {KEY_SQL} AS row_key, CAST(length(a) - length(ltrim(a, ' ')) AS BIGINT) AS leading, CAST(length(a) - length(rtrim(a, ' ')) AS BIGINT) AS trailing, replace(a, ' ', '·') AS visible FROM d WHERE a LIKE ' %'""",
+    SELECT {KEY_SQL} AS row_key, CAST(length(a) - length(ltrim(a, ' ')) AS BIGINT) AS leading, CAST(length(a) - length(rtrim(a, ' ')) AS BIGINT) AS trailing, replace(a, ' ', '␠') AS visible FROM d WHERE a LIKE ' %'""",
 )
 def whitespace_hint(spark: SparkSession, d: str) -> DataFrame:
     rows = dirty(spark, d).filter(F.col("a").startswith(" ")).select(line_key().alias("row_key"), F.col("a").alias("value"))

@@ -120,3 +120,19 @@ def test_contract_chain(spark):
     assert affected(c, ["t"]) == ["a", "b", "t"]
     chain = Contract.of({"tables": {n: {"columns": [{"name": "x", "type": {"type": "reference", "table": t, "column": "x"}}]} for n, t in (("a", "b"), ("b", "c"), ("c", "d"), ("d", "c"))}})
     assert affected(chain, ["d"]) == ["c", "d"] and affected(chain, ["d"], transitive=True) == ["a", "b", "c", "d"]
+
+
+def test_white_space_is_that_of_unicode(spark):
+    values = [("blank", "\x0b　 "), ("ends", "  a\tb \n"), ("zero width", "​"), ("plain", "x"), ("empty", ""), ("none", None)]
+    df = spark.createDataFrame(values, "k string, value string")
+    got = {r.k: (r.blank, r.bare, r.leading, r.trailing, r.visible) for r in C.with_whitespace_hint(df.withColumns({"blank": S.is_blank(F.col("value")), "bare": S.trimmed(F.col("value"))})).collect()}
+    assert got == {
+        "blank": (True, "", 3, 3, "\x0b　 "), "ends": (False, "a\tb", 2, 2, " ␠a⇥b \n"), "zero width": (False, "​", 0, 0, "​"),
+        "plain": (False, "x", 0, 0, "x"), "empty": (True, "", 0, 0, ""), "none": (True, None, None, None, None),
+    }
+
+
+def test_stored_booleans_have_no_plus(spark):
+    df = spark.createDataFrame([("+1",), ("-1",), ("256",), ("4294967296",), ("-",), ("1 ",), ("　",), ("9" * 40,)], "v string")
+    got = {r.v: (r.bad, r.general, r.low) for r in df.select("v", C.not_stored_boolean(F.col("v")).alias("bad"), C.stored_boolean(F.col("v")).alias("general"), C.stored_boolean(F.col("v"), "stored").alias("low")).collect()}
+    assert got == {"+1": (True, None, None), "-1": (False, True, True), "256": (False, True, False), "4294967296": (False, False, False), "-": (True, None, None), "1 ": (True, None, None), "　": (False, None, None), "9" * 40: (False, int("9" * 40) % 2**32 != 0, int("9" * 40) % 256 != 0)}
