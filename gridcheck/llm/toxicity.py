@@ -106,7 +106,8 @@ class LabelModel:
 
     ``posterior[g][p]``: probability of toxic given pattern p and the label
     (g = 0: none, 1: label 0, 2: label 1).  A label is one more vote, which is
-    wrong at a rate that EM estimates; strong votes can overrule it.
+    wrong at a rate that EM estimates between 0.5 and 3 percent: labels that are
+    worse are still believed as if they were wrong at 3; strong votes can overrule one.
     """
 
     def __init__(self, counts: np.ndarray, turns: int = 25, most_pairs: int = 8, prior: float = 0.1) -> None:
