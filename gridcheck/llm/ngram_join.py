@@ -18,6 +18,10 @@
    n-grams with sets of other components has all its links.  What is still
    open is compared in full, in blocks of sets.
 
+4. All links are inside components.  They are counted there, in blocks of sets;
+   n-grams that many sets of a block have are counted by products of matrices.
+   No pair becomes a row.
+
 N-grams are compared by 64-bit hashes, equal sets by 128 bits: two different
 n-grams of one comparison agree with a chance of 2 ** -64 for each pair of them.
 The filters hold only 32 bits within a range; that may keep a set that has no
@@ -48,6 +52,10 @@ SENT, ROWS = 750_000, 100_000
 BUCKET = 10_000
 #: N-grams of an open group's sets that one block holds, about.
 CHUNK = 250_000
+#: N-grams that one set in so many of a block has, or more, are counted by a product of matrices.
+OFTEN = 32
+#: Pairs of sets whose shared n-grams are counted at once, about.
+CELLS = 1 << 17
 #: Candidate sets that may be sent to every task as ids.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a task remembers; then it starts afresh.
@@ -416,8 +424,8 @@ def _may_link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(enough.select("cid").distinct(), "may-link")
 
 
-def _labelled(docs: DataFrame, n: int, percent: int, rounds: int, best: int) -> DataFrame:
-    """(id, key, n, component, class, n_links) of each row of docs (id, key, text).
+def _labelled(docs: DataFrame, n: int, percent: int, rounds: int, best: int, counted: bool) -> DataFrame:
+    """(id, key, n, component, class) of each row of docs (id, key, text); n_links too if they are ``counted``.
 
     ``component`` and ``class`` are the first row, as (no id, id, key), of the
     component and of the rows with the same set; null for rows without n-grams.
@@ -462,15 +470,18 @@ def _labelled(docs: DataFrame, n: int, percent: int, rounds: int, best: int) ->
     keys = written(keys.join(common, "key").select("key", "cid", "pivot"), "keys")
 
     links = _links(keys, sets, rounds, best, percent)
-    dropped(keys), dropped(sets)
+    dropped(keys)
     labels = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    linked = alive.join(labels.withColumnRenamed("node", "cid"), "cid").join(degree, "cid", "left")
+    linked = alive.join(labels.withColumnRenamed("node", "cid"), "cid")
+    if counted:
+        linked = linked.join(_degrees(labels, sets, percent), "cid", "left")
+    dropped(sets)
     lowest = linked.groupBy("label").agg(F.min("class").alias("component"))
-    linked = linked.join(lowest, "label").select("a", "b", "component", "n_links")
+    numbers = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if counted else []
+    linked = linked.join(lowest, "label").select("a", "b", "component", *(["n_links"] if counted else []))
     classes = classes.drop("n").join(linked, ["a", "b"], "left")
     named = rows.join(classes, ["a", "b"], "left")
-    return named.select("id", "key", "n", F.coalesce("component", "class").alias("component"), "class", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return named.select("id", "key", "n", F.coalesce("component", "class").alias("component"), "class", *numbers)
 
 
 def _once(sets: DataFrame) -> DataFrame:
@@ -494,8 +505,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Two documents link when 100 * shared >= ``percent`` * all n-grams of both.
     ``component_id`` is the smallest id reachable by links; ``class_id`` the
-    smallest id of the documents with the same set; ``n_links`` how many
-    verified links to other sets its set has (those that the components needed).
+    smallest id of the documents with the same set; ``n_links`` how many other
+    sets its set links with, all of them.
 
     Null and empty texts have no n-grams, link with nothing and are their own
     component.  Rows with the same set link, whatever their ids.  Rows with a
@@ -504,7 +515,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    found = _labelled(docs, n, percent, rounds, best)
+    found = _labelled(docs, n, percent, rounds, best, True)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component.id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class.id")).otherwise(F.col("id")).alias("class_id"), "n_links")
 
 
@@ -610,6 +621,85 @@ def _in_blocks(open_keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return links
 
 
+def _shared(xs: list[np.ndarray], ys: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """How many n-grams each of ``xs`` shares with each of ``ys``: (first row, counts), some rows at a time."""
+    every, owner = np.concatenate(ys), np.repeat(np.arange(len(ys)), [len(y) for y in ys])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    firsts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    grams, having = every[firsts], np.diff(np.append(firsts, len(every)))
+    often = np.flatnonzero(having >= max(8, len(ys) // OFTEN))
+    column = np.full(len(grams), -1)
+    column[often] = np.arange(len(often))
+    at = np.repeat(column, having)
+    right = np.zeros((len(often), len(ys)), np.float32)
+    right[at[at >= 0], owner[at >= 0]] = 1
+    step = max(1, CELLS // len(ys))
+    for first in range(0, len(xs), step):
+        part = xs[first : first + step]
+        own, who = np.concatenate(part), np.repeat(np.arange(len(part)), [len(x) for x in part])
+        place = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        known = grams[place] == own
+        place, who = place[known], who[known]
+        at = column[place]
+        left = np.zeros((len(part), len(often)), np.float32)
+        left[who[at >= 0], at[at >= 0]] = 1
+        place, who = place[at < 0], who[at < 0]
+        n = having[place]
+        seen = np.repeat(firsts[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        single = np.bincount(np.repeat(who, n) * len(ys) + owner[seen], minlength=len(part) * len(ys))
+        # counts below 2 ** 24 are exact in a product of single precision; longer sets are blocks of their own
+        yield first, single.reshape(len(part), len(ys)) + np.rint(left @ right).astype(np.int64)
+
+
+def _partners(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """With how many of ``ys`` each of ``xs`` links, and with how many of ``xs`` each of ``ys``."""
+    of_x, of_y = np.zeros(len(xs), np.int64), np.zeros(len(ys), np.int64)
+    n_x, n_y = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    for first, both in _shared(xs, ys):
+        link = 100 * both >= percent * (n_x[first : first + len(both), None] + n_y - both)
+        of_x[first : first + len(both)] = link.sum(1)
+        of_y += link.sum(0)
+    return of_x, of_y
+
+
+def _degrees(labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, n_links): how many other sets of its component each set links with.
+
+    A component's sets are cut into blocks of about CHUNK n-grams, those of a
+    large one by size first: bands that are not neighbours have no links.
+    Blocks are compared with themselves where they are, others as pairs.
+    """
+    members = sets.select("cid", "n", "grams").join(labels.withColumnRenamed("node", "cid"), "cid")
+    width = max(math.log(100 / percent) * 1.001, 0.02)
+    total = members.groupBy("label").agg(F.sum("n").alias("total"))
+    banded = members.join(total, "label").withColumn("band", F.when(F.col("total") <= CHUNK, 0).otherwise(F.floor(F.log("n") / width)).cast("long")).drop("total")
+    blocks = banded.groupBy("label", "band").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("blocks"))
+    dealt = banded.join(blocks, ["label", "band"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    packed = written(dealt.groupBy("label", "band", "blocks", "block").agg(F.collect_list(F.struct("cid", "grams")).alias("x")), "blocks")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a row is large: one at a time
+                groups = [batch.column(c)[k].as_py() for c in batch.schema.names]
+                grams = [[np.frombuffer(s["grams"], np.uint64) for s in g] for g in groups]
+                found = _partners(grams[0], grams[-1], percent)
+                if len(groups) == 1:  # each set met itself
+                    found = (found[0] - 1,)
+                cids = [s["cid"] for g in groups for s in g]
+                yield pa.RecordBatch.from_pydict({"cid": pa.array(cids, pa.int64()), "n_links": pa.array(np.concatenate(found), pa.int64())})
+
+    lower = packed.filter("block > 0").select("label", "x", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("block"))
+    above = blocks.select("label", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    upper = packed.join(above, ["label", "band"]).select("label", "x", (F.col("band") + 1).alias("band"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("above") - 1)).alias("block"))
+    pairs = lower.unionByName(upper).join(packed.select("label", "band", "block", F.col("x").alias("y")), ["label", "band", "block"]).select("x", "y")
+    schema = "cid long, n_links long"
+    each = packed.select("x").mapInArrow(ending(counted), schema).unionByName(pairs.mapInArrow(ending(counted), schema))
+    found = written(each.groupBy("cid").agg(F.sum("n_links").alias("n_links")), "degrees")
+    dropped(packed)
+    return found
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are as similar as asked for."""
 
@@ -637,7 +727,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are returned as they are.
     """
     key = F.xxhash64(text_col)
-    found = _labelled(docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text")), n, percent, rounds, best)
+    found = _labelled(docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text")), n, percent, rounds, best, False)
     found = written(found.filter("n > 0").select(_ref(F.col("id"), F.col("key")).alias("__ref"), F.col("key").alias("__key"), (_ref(F.col("component.id"), F.col("component.key")) != _ref(F.col("id"), F.col("key"))).alias("other"), (F.col("component.key") != F.col("key")).alias("text")), "components")
     go = found.filter("other OR text").select("__ref", "__key").distinct()
     again = found.filter("NOT (other OR text)").groupBy("__ref", "__key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")

@@ -154,3 +154,29 @@ def test_repeated_rows_of_one_document_stay_one_set(spark):
     assert got == {(1, 36, 1), (2, 36, 1), (None, 36, 1), (3, 26, 3)}
     assert time.time() - began < 240
     assert sorted(r.doc_id for r in J.one_of_each(docs).collect()) == [1, 3]
+
+
+def degrees(rows, percent=80):
+    """How many other sets each row's set links with, by brute force."""
+    shingles = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        shingles.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    every = set(shingles) - {frozenset()}
+    return [sum(x != y and 100 * len(x & y) >= percent * len(x | y) for y in every) if x else 0 for x in shingles]
+
+
+@pytest.mark.parametrize("chunk, cells", [(250_000, 1 << 17), (300, 64)])
+def test_every_link_counts(spark, monkeypatch, chunk, cells):
+    """Copies of copies in groups where components need few of the links, in one block and in many."""
+    monkeypatch.setattr(J, "CHUNK", chunk)
+    monkeypatch.setattr(J, "CELLS", cells)
+    rows = near_copies(6)
+    words = [f"w{k}" for k in range(70)]
+    for k in range(40):
+        rows.append((2000 + k, " ".join([*words[: 50 + k // 2], f"own{k}"])))
+    rows += [(3000, None), (3001, ""), (3002, rows[-1][1].upper())]
+    got = {r.doc_id: r.n_links for r in J.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = degrees(rows)
+    assert got == {i: n for (i, _), n in zip(rows, want)}
+    assert max(want) > 20
