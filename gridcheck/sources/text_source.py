@@ -23,6 +23,10 @@ from gridcheck.sources.text_tables import TABLE_EXTENSIONS, cells_of
 
 #: Bytes that one step reads, and bytes in which a record end is sought at once.
 READ = 1 << 20
+#: Bytes of the parts that one task reads one after the other, about; larger parts are a task each.
+TASK = 8 << 20
+#: What a task takes a part for, at least: files may be small.
+OPENED = 1 << 14
 _SCHEMA = "path string, stem string, part int, parts int, at long, content string, encoding string, error string"
 
 
@@ -38,6 +42,23 @@ class _Part(InputPartition):
     error: str | None = None
 
 
+@dataclass
+class _Parts(InputPartition):
+    parts: list[_Part]
+
+
+def _together(parts: list[_Part]) -> list[_Parts]:
+    """Parts in their order, as many to a task as have TASK bytes."""
+    out, size = [], TASK
+    for p in parts:
+        if size >= TASK:
+            out.append(_Parts([]))
+            size = 0
+        out[-1].parts.append(p)
+        size += max(p.end - p.start, OPENED)
+    return out
+
+
 def walked(root: str, extensions: tuple[str, ...], recursive: bool, ignore_case: bool) -> list[tuple[str, str | None]]:
     """Files with one of the extensions, and folders that can't be listed with their error; by path."""
     found: list[tuple[str, str | None]] = []
@@ -178,7 +199,7 @@ class _Reader(DataSourceReader):
         self.recursive, self.ignore_case = get("recursive", "true") == "true", get("ignoreCase", "true") == "true"
         self.encoding, self.bytes = get("encoding", "auto"), max(16, int(get("partBytes", str(64 << 20))))
 
-    def partitions(self) -> list[_Part]:
+    def partitions(self) -> list[_Parts]:
         out = []
         for path, error in walked(self.root, self.extensions, self.recursive, self.ignore_case):
             if error is None:
@@ -193,10 +214,13 @@ class _Reader(DataSourceReader):
             step = self.bytes - self.bytes % 2
             cuts = [skip, *range(skip + step, size, step), max(size, skip)]
             out += [_Part(path, i, len(cuts) - 1, a, b, encoding, skip) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-        return out
+        return _together(out)
+
+    def read(self, partition: _Parts) -> Iterator[tuple]:
+        for p in partition.parts:
+            yield from self._part(p)
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        p = partition
+    def _part(self, p: _Part) -> Iterator[tuple]:
         stem = os.path.splitext(os.path.basename(p.path))[0].lower()
         if p.error is not None:
             yield p.path, stem, 0, 1, None, None, None, p.error

@@ -117,3 +117,18 @@ def test_evidence_of_ragged_rows(spark):
     assert keys(excluded=["legacy"]) == {"two", "last", "q", "r", "true", "3", "yes"}
     texts = spark.createDataFrame([("@one, @@two_3 @é",)], "text string")
     assert {"one", "two_3"} <= keys(texts=texts)
+
+
+def test_small_parts_share_tasks(spark, tmp_path):
+    """Parts are as small as asked for, but a task reads many of them, and many small files."""
+    lines = [f"line {k}" for k in range(9000)]
+    (tmp_path / "a.txt").write_bytes("\r\n".join(lines).encode())
+    for k in range(40):
+        (tmp_path / f"b{k:02d}.txt").write_text(f"x{k}\ny")
+    found = S.read_text_tables(spark, str(tmp_path), partBytes=64, encoding="utf-8")
+    assert found.rdd.getNumPartitions() <= 4
+    rows = found.filter("stem = 'a'").select("part", "parts", "content").collect()
+    assert [r.content for r in rows] == lines and len({r.part for r in rows}) > 1000
+    numbered = S.numbered_lines(found).collect()
+    assert sorted((r.line, r.content) for r in numbered if r.path.endswith("a.txt")) == list(enumerate(lines))
+    assert len(numbered) == 9080
