@@ -236,8 +236,10 @@ def check_formulas(rows: DataFrame, table: str, lists: Mapping[str, tuple[DataFr
     lookups = {name: Lookup(i, resolver) for i, (name, (_, resolver)) in enumerate(lists.items())}
     targets = {lookups[name].edge: df.select(NORMAL[resolver](F.col("key")).alias("key")) for name, (df, resolver) in lists.items()}
     decimals = ~F.col("col").isin(*exempt) if exempt else F.lit(True)
-    found = let(walk(F.col("used"), language), lambda w: formula_findings(F.col("col"), F.col("body"), F.col("used"), w, lookups, language, decimals))
-    return resolved([exploded(rows, table, F.col("row_key"), found)], None, targets)
+    # a formula that many cells have is walked once
+    walks = rows.select("used").distinct().withColumn("__walk", walk(F.col("used"), language))
+    found = formula_findings(F.col("col"), F.col("body"), F.col("used"), F.col("__walk"), lookups, language, decimals)
+    return resolved([exploded(rows.join(walks, "used"), table, F.col("row_key"), found)], None, targets)
 
 
 def with_alias_hint(rows: DataFrame, dictionary: DataFrame) -> DataFrame:

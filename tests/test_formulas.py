@@ -190,3 +190,13 @@ def test_walk_equals_a_recursive_parser(spark):
         if want is None:
             assert [(x.fn, x.n) for x in r.w["items"] if x.kind == "call"] == p.calls and [x.value for x in r.w["items"] if x.kind == "name"] == p.names, cases[r.k]
     assert 500 < faults < 2500
+
+
+def test_a_formula_of_many_cells_is_walked_once(spark):
+    """Equal formulas meet before the walk, not behind it."""
+    rows = spark.range(40).selectExpr("CAST(id AS STRING) AS row_key", "'calc' AS col", "concat('min(', id % 2, ')') AS body", "concat('min(', id % 2, ')') AS used")
+    found = X.check_formulas(rows, "t")
+    assert sorted(r.row_key for r in found.collect()) == sorted(str(k) for k in range(40))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and plan.index("Join") < plan.index("aggregate(transform")
+    assert re.search(r"\bAggregate \[", plan)
