@@ -239,7 +239,7 @@ def check_formulas(rows: DataFrame, table: str, lists: Mapping[str, tuple[DataFr
     # a formula that many cells have is walked once
     walks = rows.select("used").distinct().withColumn("__walk", walk(F.col("used"), language))
     found = formula_findings(F.col("col"), F.col("body"), F.col("used"), F.col("__walk"), lookups, language, decimals)
-    return resolved([exploded(rows.join(walks, "used"), table, F.col("row_key"), found)], None, targets)
+    return resolved(exploded(rows.join(walks, "used"), table, F.col("row_key"), found), targets)
 
 
 def with_alias_hint(rows: DataFrame, dictionary: DataFrame) -> DataFrame:

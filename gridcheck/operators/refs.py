@@ -21,13 +21,14 @@ RESOLVERS = {"ascii-ci": ascii_lower, "fixed4": fixed4_key, "exact": lambda c: c
 POLICIES = {"error": "error", "warning": "warning"}
 
 
-def keys_of(df: DataFrame, col: str, resolver: str = "ascii-ci", first_col: str | None = None) -> DataFrame:
-    """Distinct normalised keys of a target column; blanks and comment rows are none."""
+def keys_of(df: DataFrame, col: str, resolver: str = "ascii-ci", first_col: str | None = None, distinct: bool = True) -> DataFrame:
+    """Normalised keys of a target column, distinct unless they become so later; blanks and comment rows are none."""
     from gridcheck.operators.columns import drop_comment_rows
 
     rows = drop_comment_rows(df, first_col) if first_col else df
     value = F.col(col).cast("string")
-    return rows.filter(~is_blank(value)).select(RESOLVERS[resolver](value).alias("key")).distinct()
+    keys = rows.filter(~is_blank(value)).select(RESOLVERS[resolver](value).alias("key"))
+    return keys.distinct() if distinct else keys
 
 
 def union_keys(targets: Sequence[tuple[DataFrame, str]], resolver: str = "ascii-ci") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gridcheck.functions.scalar import is_blank
 from gridcheck.operators import columns as C
 from gridcheck.operators import refs as R
-from gridcheck.operators.findings import Target, asked_keys, exploded, resolved
+from gridcheck.operators.findings import Target, as_violations, exploded, keyed, unresolved
 from gridcheck.operators.unique import check_unique
 from gridcheck.plans.contract import Contract, physical_columns
 from gridcheck.plans.fused import Edges, table_findings
@@ -65,10 +65,10 @@ class TableSet:
         own, shared, scope = self.tables.get(name), self.shared.get(name), self.scope_of(name)
         has = lambda df: df is not None and col.lower() in (c.lower() for c in df.columns)
         if scope is None or not has(own):
-            return self.keys(name, col, resolver)
+            return R.keys_of(own if own is not None else shared, col, resolver, distinct=False)
         value, where = F.col(col).cast("string"), F.coalesce(scope.cast("string"), F.lit("")).alias("scope")
-        keys = own.filter(~is_blank(value)).select(where, R.RESOLVERS[resolver](value).alias("key")).distinct()
-        return Target(keys, own.select(where).distinct(), R.keys_of(shared, col, resolver) if has(shared) else None)
+        keys = own.filter(~is_blank(value)).select(where, R.RESOLVERS[resolver](value).alias("key"))
+        return Target(keys, own.select(where).distinct(), R.keys_of(shared, col, resolver, distinct=False) if has(shared) else None)
 
     def values(self, name: str, col: str) -> DataFrame | None:
         return C.column_values(self.table(name), col) if self.has_target(name, col) else None
@@ -91,8 +91,8 @@ class TableSet:
 def compile_contract(contract: Contract, tables: TableSet) -> list[DataFrame]:
     """The violations plans: one of all columns, slots and references of all tables, one of unique columns per table.
 
-    Nothing is run.  Each table is scanned once for its findings, and once more,
-    for its reference columns alone, if it has references; see ``plans.fused``.
+    Nothing is run.  Each table is scanned once for its findings without keys, and
+    once more, for its reference columns alone, if it has references; see ``plans.fused``.
     """
     edges = Edges(tables.has_target)
     found, asked, unique = [], [], []
@@ -104,14 +104,17 @@ def compile_contract(contract: Contract, tables: TableSet) -> list[DataFrame]:
         key = row_key(*([tables.scope] if scope is not None else []), *table.key) if table.key else F.lit(None).cast("string")
         rows = C.drop_comment_rows(df, table.comments) if table.comments else df
         findings, with_keys = table_findings(contract, table, rows, edges)
+        line = F.col(table.line) if table.line else None
         if findings is not None:
-            found.append(exploded(rows, name, key, findings, F.col(table.line) if table.line else None, scope))
+            found.append(as_violations(exploded(rows, name, key, findings, line, scope).filter("edge IS NULL")))
         if with_keys is not None:
-            asked.append(asked_keys(rows, with_keys, scope))
+            asked.append(keyed(rows, key, with_keys, line, scope))
         columns = [p for c in contract.columns_of(name) if c.unique for p in physical_columns(c, df.columns)]
         if columns and table.order:
             unique.append(check_unique(rows, name, columns, table.order, key, scope=scope))
-    return ([resolved(found, asked, {n: tables.target(*at) for at, n in edges.numbers.items()})] if found else []) + unique
+    if asked:
+        found.append(unresolved(asked, edges.fixed, {n: tables.target(*at) for at, n in edges.numbers.items()}))
+    return ([merge_violations(found)] if found else []) + unique
 
 
 @dataclass(frozen=True)
