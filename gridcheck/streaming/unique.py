@@ -1,74 +1,53 @@
-"""Uniqueness on a stream: a state per value, timers that end it, and rows packed per value before they meet it."""
+"""Uniqueness on a stream: a state per value with a timeout that ends it, handed to Python with the rows of many values at a time."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from tempfile import SpooledTemporaryFile
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from gridcheck.violations import violations
 
-_PACK = "key string, ts timestamp, last_us long, first_us long, first string, row_keys array<string>, row_values array<string>"
-_OUT = "first string, row_keys array<string>, row_values array<string>"
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each value of a batch: its first row, its last time, and all its rows."""
-    for batch in batches:
-        rows = pa.Table.from_batches([batch]).sort_by([("key", "ascending"), ("us", "ascending"), ("row_key", "ascending")])
-        found = rows.group_by("key", use_threads=False).aggregate([("ts", "max"), ("us", "max"), ("us", "min"), ("row_key", "first"), ("row_key", "list"), ("value", "list")])
-        names = ("key", "ts_max", "us_max", "us_min", "row_key_first", "row_key_list", "value_list")
-        out = pa.Table.from_arrays([found.column(n) for n in names], names=["key", "ts", "last_us", "first_us", "first", "row_keys", "row_values"])
-        yield from out.to_batches(max_chunksize=512)
-
-
-class FirstOfValue(StatefulProcessor):
-    """Keeps a value's first row until the watermark passes its last time.
-
-    A batch's packs of a value wait in a list state, on the executor's disk and not
-    in memory, until the first row among all of them is known.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getValueState("first", "row_key string, until long")
-        self.waiting = handle.getListState("waiting", "first string, row_keys array<string>, row_values array<string>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.first.get() if self.first.exists() else None
-        best, until = None, known[1] if known else 0
-        for packs in rows:
-            for pack in packs.itertuples(index=False):
-                until = max(until, int(pack.last_us) // 1000 + 1)
-                best = min(best or (pack.first_us, pack.first), (pack.first_us, pack.first))
-                self.waiting.appendValue((pack.first, list(pack.row_keys), list(pack.row_values)))
+#: A value's rows of a batch wait in memory up to so many bytes, then on the executor's disk.
+WAITING = 16 << 20
+
+
+def _repeats(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A value's rows but its first, with the first's key; the first is state until the watermark passes the value's last time."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    known = state.get if state.exists else None
+    best, until = None, known[1] if known else 0
+    with SpooledTemporaryFile(max_size=WAITING) as waiting:
+        chunks = 0
+        for chunk in rows:
+            us, keys = chunk["us"].tolist(), chunk["row_key"].tolist()
+            if not keys:
+                continue
+            until = max(until, max(us) // 1000 + 1)
+            least = min(zip(us, keys, strict=True))
+            best = min(best or least, least)
+            pickle.dump((keys, chunk["value"].tolist()), waiting)
+            chunks += 1
         first = known[0] if known else best[1]
         left = known is None
-        for _, row_keys, values in self.waiting.get():
-            keys = list(row_keys)
-            values = list(values)
+        waiting.seek(0)
+        for _ in range(chunks):
+            keys, values = pickle.load(waiting)
             if left and first in keys:  # the first row itself is no repeat, its copies are
                 at = keys.index(first)
                 del keys[at], values[at]
                 left = False
             if keys:
-                yield pd.DataFrame({"first": [first], "row_keys": [keys], "row_values": [values]})
-        self.waiting.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.first.update((first, until))
-        self.handle.registerTimer(max(until, timerValues.getCurrentWatermarkInMs() + 1))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.first.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+                yield pd.DataFrame({"first": [first] * len(keys), "row_key": keys, "value": values})
+    state.update((first, until))
+    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
 
 
 def stream_check_unique(stream: DataFrame, table: str, col: str, key: Column, ts: str, delay: str) -> DataFrame:
@@ -77,15 +56,15 @@ def stream_check_unique(stream: DataFrame, table: str, col: str, key: Column, ts
     A value's first key is state, kept until the watermark passes its last time:
     repeats that are further apart than the delay are not seen.  Within a batch
     the first is the earliest, then the smallest key.  Blank values are ignored.
-    A value with most of the rows reaches its state as one row for each Arrow
-    batch.  Needs the RocksDB state store (``state_store``).
+    A value with most of the rows passes in Arrow batches, which wait on the
+    executor's disk until the first row among all of them is known.  State
+    belongs in the RocksDB state store (``STATE_STORE``), outside the heap.
     """
     rows = stream.select(key.alias("row_key"), F.col(col).cast("string").alias("value"), F.col(ts).cast("timestamp").alias("ts")).filter("trim(value) <> '' AND ts IS NOT NULL")
-    packs = rows.withColumns({"key": F.lower("value"), "us": F.unix_micros("ts")}).mapInArrow(_packed, _PACK).withWatermark("ts", delay)
-    found = packs.groupBy("key").transformWithStateInPandas(FirstOfValue(), _OUT, "Append", "EventTime")
-    each = found.select("first", F.explode(F.arrays_zip("row_keys", "row_values")).alias("r")).select("first", F.col("r.row_keys").alias("row_key"), F.col("r.row_values").alias("value"))
-    return violations(each, table, "unique", "duplicate", "error", col=col, args={"first": F.col("first")})
+    timed = rows.withColumns({"key": F.lower("value"), "us": F.unix_micros("ts")}).withWatermark("ts", delay)
+    found = timed.groupBy("key").applyInPandasWithState(_repeats, "first string, row_key string, value string", "first string, until long", "append", "EventTimeTimeout")
+    return violations(found, table, "unique", "duplicate", "error", col=col, args={"first": F.col("first")})
 
 
-#: Session settings that stateful processors need.
+#: Session settings for state outside the heap.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
