@@ -75,6 +75,9 @@ class Revalidation:
     def _manifest(self, number: int) -> str:
         return f"{self.store}/manifests/{number:012d}"
 
+    def _violations(self, number: int, table: str) -> str:
+        return f"{self.store}/violations/batch={number:012d}/{table}"
+
     def versions(self) -> dict[str, int]:
         """The batch under which each table's violations are stored; from the newest manifest."""
         where, fs = _path(self.spark, self.store, "manifests")
@@ -89,7 +92,7 @@ class Revalidation:
     def stored(self, tables: Sequence[str] | None = None, versions: Mapping[str, int] | None = None) -> DataFrame:
         """The violations as they are, of all tables or of some."""
         versions = self.versions() if versions is None else versions
-        paths = [f"{self.store}/violations/batch={b:012d}/{t}" for t, b in versions.items() if tables is None or t in tables]
+        paths = [self._violations(b, t) for t, b in versions.items() if tables is None or t in tables]
         return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def differences(self) -> DataFrame:
@@ -128,18 +131,20 @@ class Revalidation:
             except Exception as e:  # an input that can't be read: what was known of it stays
                 failed.append(n)
                 now.append(violations(self.spark.createDataFrame([(n, str(e)[:500])], "row_key string, value string"), n, "syntax", "unreadable", "error"))
-        before, after = self.stored(names, versions), merge_violations(now)
-        if failed:
-            after = carry_forward(before, after, self.spark.createDataFrame([(t,) for t in failed], "table string"), "syntax", self.duplicate_rule)
-        for n in names:
-            after.filter(F.col("table") == n).write.mode("overwrite").parquet(f"{self.store}/violations/batch={number:012d}/{n}")
+        before = self.stored(names, versions)
+        if failed:  # what stands is part of what is worked out: written aside first
+            after = carry_forward(before, merge_violations(now), self.spark.createDataFrame([(t,) for t in failed], "table string"), "syntax", self.duplicate_rule)
+            for n in names:
+                after.filter(F.col("table") == n).write.mode("overwrite").parquet(f"{self.store}/aside/batch={number:012d}/{n}")
+            for n in names:
+                self.spark.read.schema(SCHEMA).parquet(f"{self.store}/aside/batch={number:012d}/{n}").write.mode("overwrite").parquet(self._violations(number, n))
         versions = {**versions, **{n: number for n in names}}
         diff_violations(before, self.stored(names, versions)).filter("status <> 'unchanged'").write.mode("overwrite").parquet(f"{self.store}/differences/batch={number:012d}")
         self.spark.createDataFrame([(json.dumps(versions),)], "value string").coalesce(1).write.mode("overwrite").text(self._manifest(number))
         return True
 
     def _checked(self, name: str, have: TableSet, number: int) -> DataFrame:
-        """A table's violations, written aside: a fault of its files shows here, and stops only this table."""
+        """A table's violations, stored: a fault of its files shows here, and stops only this table."""
         keys = {k.lower(): k for k in self.contract.tables}
         parts = []
         if name in keys:
@@ -148,6 +153,6 @@ class Revalidation:
         if self.rules:
             parts += [found.filter(F.lower("table") == name) for found in self.rules.run(have, self.contract)]
         found = merge_violations(parts) if parts else self.spark.createDataFrame([], SCHEMA)
-        path = f"{self.store}/aside/batch={number:012d}/{name}"
+        path = self._violations(number, name)
         found.withColumn("table", F.lit(name)).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(SCHEMA).parquet(path)

@@ -76,14 +76,13 @@ def diff_violations(before: DataFrame, after: DataFrame) -> DataFrame:
     """Each violation with its ``status`` (new, resolved, unchanged) and how many rows have it.
 
     Repeats count: of three before and two after, two are unchanged, one is resolved.
+    Both sides are counted by one aggregation, without a join.
     """
-    count = lambda df, name: df.groupBy(*IDENTITY).agg(F.count("*").alias(name))
-    b = count(before, "n_before").select(F.struct(*IDENTITY).alias("v"), "n_before")
-    a = count(after, "n_after").select(F.struct(*IDENTITY).alias("v"), "n_after")
-    both = b.join(a.withColumnRenamed("v", "w"), F.col("v").eqNullSafe(F.col("w")), "full_outer")
-    nb, na = F.coalesce("n_before", F.lit(0)), F.coalesce("n_after", F.lit(0))
+    sides = before.select(*IDENTITY, F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select(*IDENTITY, F.lit(0).alias("b"), F.lit(1).alias("a")))
+    both = sides.groupBy(*IDENTITY).agg(F.sum("b").alias("n_before"), F.sum("a").alias("n_after"))
+    nb, na = F.col("n_before"), F.col("n_after")
     parts = F.array(F.struct(F.lit("unchanged").alias("status"), F.least(nb, na).alias("n")), F.struct(F.lit("resolved").alias("status"), (nb - na).alias("n")), F.struct(F.lit("new").alias("status"), (na - nb).alias("n")))
-    return both.select(F.coalesce("v", "w").alias("v"), F.explode(parts).alias("p")).filter("p.n > 0").select("v.*", "p.status", "p.n")
+    return both.select(*IDENTITY, F.explode(parts).alias("p")).filter("p.n > 0").select(*IDENTITY, "p.status", "p.n")
 
 
 def carry_forward(before: DataFrame, now: DataFrame, failed: DataFrame, syntax_rule: str, duplicate_rule: str, rules_run: Sequence[str] | None = None, scope: str | None = None) -> DataFrame:
