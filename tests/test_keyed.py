@@ -4,7 +4,7 @@ import pytest
 
 from gridcheck.plans.compile import validate
 from gridcheck.plans.contract import Contract
-from gridcheck.queries.slots_tokens import validated
+from gridcheck.queries.slots_tokens import summary, validated
 
 DATA = "/root/testdata/sf0.001"
 
@@ -48,3 +48,10 @@ def test_findings_are_whole_behind_the_join(spark, no_broadcast):
     ])
     assert [(r.col_start, r.col_end) for r in found.filter("col = 'calc'").collect()] == [(0, 4)]
     assert [r.args for r in found.filter("col = 'r'").collect()] == [{"target": "u.k"}]
+
+
+def test_a_task_of_the_summary_sorts_no_findings(spark, no_broadcast):
+    plan = physical(summary(spark, DATA))
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    # only what is counted is sent: the key, and the number of what its rule says
+    assert all("concat_ws" not in x for x in plan.splitlines() if "Project" in x)
