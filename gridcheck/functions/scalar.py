@@ -30,8 +30,9 @@ SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 
 
 def is_blank(c: Column) -> Column:
-    """Null, empty or white space only."""
-    return c.isNull() | ~c.rlike(f"[^{SPACE}]")
+    """Null, empty or white space only; what begins with one of ! to ~ is seen not to be by a comparison."""
+    text = c.cast("string")
+    return c.isNull() | ~(((text >= "!") & (text < "\x7f")) | text.rlike(f"[^{SPACE}]"))
 
 
 def trimmed(c: Column) -> Column:

@@ -25,3 +25,13 @@ def test_violations_are_stored_once(spark, tmp_path):
     live = Revalidation(spark, {"t": str(tmp_path / "t")}, {"t": t.schema}, contract, str(tmp_path / "store"))
     assert live.revalidate(["t"], 0) is True
     assert [(r.row_key, r.status) for r in live.differences().collect()] == [("1", "new")] and not os.path.exists(tmp_path / "store/aside")
+
+
+def test_blanks_are_the_same_with_and_without_a_look_at_the_first_character(spark):
+    from gridcheck.functions.scalar import SPACE, is_blank
+
+    texts = [None, "", *(a + b for a in [chr(i) for i in range(256)] + [" ", " ", "​", "　", "\U0001f600"] for b in ("", " ", "x", "　"))]
+    rows = spark.createDataFrame([(x,) for x in texts], "v string")
+    old = F.col("v").isNull() | ~F.col("v").rlike(f"[^{SPACE}]")
+    assert rows.filter(~is_blank(F.col("v")).eqNullSafe(old)).count() == 0
+    assert spark.range(2).filter(is_blank(F.col("id"))).count() == 0
