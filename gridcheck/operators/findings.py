@@ -111,8 +111,10 @@ def unresolved(found: Sequence[DataFrame], fixed: Sequence[Mapping[str, str | No
 
     The targets' keys are hashed in each part and the findings stream past them,
     so no finding is sorted and no memory grows with the findings; a key that a
-    third of all rows have makes a long task, not a large one.  The list of
-    scopes is broadcast: they are folders, not rows.
+    third of all rows have makes a long task, not a large one.  That table holds
+    a repeated key once, so targets are sent as they are: made distinct first,
+    all keys that a task reads would be in its memory.  The list of scopes is
+    broadcast: they are folders, not rows.
     """
     of = {e: t if isinstance(t, Target) else Target(t) for e, t in targets.items()}
     there = reduce(DataFrame.unionByName, [df for e, t in of.items() for df in t.rows(e)])
@@ -127,7 +129,7 @@ def unresolved(found: Sequence[DataFrame], fixed: Sequence[Mapping[str, str | No
         placed = placed.join(F.broadcast(own), ["at", "scope"], "left").withColumn("tier", F.when(F.col("__own"), F.col("scope")).otherwise(F.lit("")))
         placed = placed.filter(F.col("__own") | ~F.col("at").isin(*closed)) if closed else placed
         by = ["at", "tier", "__key"]
-    missing = placed.join(there.select(*by).distinct().hint("shuffle_hash"), by, "left_anti")
+    missing = placed.join(there.select(*by).hint("shuffle_hash"), by, "left_anti")
     said = F.get(F.array(*(_said(x) for x in fixed)), F.col("n"))
     own_words = {"col_start": F.lit(None), "col_end": F.lit(None), "value": F.coalesce("value", "__key")}
     names = [f.name for f in SCHEMA if f.name not in ("table", "row_key", "line")]

@@ -55,3 +55,8 @@ def test_a_task_of_the_summary_sorts_no_findings(spark, no_broadcast):
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
     # only what is counted is sent: the key, and the number of what its rule says
     assert all("concat_ws" not in x for x in plan.splitlines() if "Project" in x)
+
+
+def test_a_task_that_reads_a_target_does_not_hold_its_keys(spark, no_broadcast):
+    for found in (summary(spark, DATA), validated(spark, DATA).filter("rule <> 'unique'")):
+        assert not [x for x in physical(found).splitlines() if "Aggregate" in x and "__key" in x]
