@@ -16,7 +16,8 @@
    round the count filter is applied again to the sets that share a key with
    another component, now by component: a set that does not share t of its
    n-grams with sets of other components has all its links.  What is still
-   open is compared in full, in blocks of sets.
+   open is compared in full: each set with the blocks of sets where a set of
+   another component has one of its keys.
 
 4. All links are inside components.  They are counted there, in blocks of sets;
    n-grams that many sets of a block have are counted by products of matrices.
@@ -50,7 +51,7 @@ FAN = 2048
 SENT, ROWS = 750_000, 100_000
 #: Sets whose counts are summed together, about.
 BUCKET = 10_000
-#: N-grams of an open group's sets that one block holds, about.
+#: N-grams of open sets, or of a component's, that one block holds, about.
 CHUNK = 250_000
 #: N-grams that one set in so many of a block has, or more, are counted by a product of matrices.
 OFTEN = 32
@@ -568,22 +569,34 @@ def _open(keys: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
 def _in_blocks(open_keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different components that share a key.
 
-    Components that keys connect form open groups; a group is cut into blocks
-    of about CHUNK n-grams.  Two blocks meet as one row and are compared inside
-    the task, set by set through an index of n-grams; no pair becomes a row.
-    Sets of a group's largest component are not compared with each other.  Two
-    blocks give as many links as join their components, no more.
+    A set's home is the key that most open sets have of its keys.  Sets of one
+    home lie in blocks of about CHUNK n-grams, small homes together in one.  A
+    set visits the blocks where sets of other components have a key of its; of
+    two blocks, the sets of one visit the other.  A block and about CHUNK
+    n-grams of its visitors meet as one row and are compared inside the task,
+    set by set through an index of n-grams; no pair becomes a row.  Such a row
+    gives as many links as join components, no more.
     """
-    low = open_keys.groupBy("key").agg(F.min("label").alias("a"))
-    star = low.join(open_keys.select("key", F.col("label").alias("b")), "key").filter("a <> b").select("a", "b").distinct()
-    groups = connected_components(star).withColumnRenamed("label", "group")
-    members = open_keys.select("cid", "label").distinct().join(groups.withColumnRenamed("node", "label"), "label").join(sets.select("cid", "n"), "cid")
-    main = members.drop("cid").groupBy("group", "label").agg(F.sum("n").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
-    members = members.drop("n").join(main, "group").withColumn("blocks", F.ceil(F.col("n") / CHUNK).cast("long")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    packed = members.join(sets.select("cid", "grams"), "cid").groupBy("group", "block", "blocks").agg(F.collect_list(F.struct("cid", "label", (F.col("label") != F.col("main")).alias("minor"), "grams")).alias("sets"))
-    packed = written(packed, "blocks")
-    left = packed.select("group", F.filter("sets", lambda x: x["minor"]).alias("x"), "blocks").filter(F.size("x") > 0).select("group", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-    both = left.join(packed.select("group", F.col("block").alias("j"), F.col("sets").alias("y")), ["group", "j"])
+    often = open_keys.groupBy("key").agg(F.count("*").alias("often"))
+    homes = open_keys.join(often, "key").groupBy("cid").agg(F.first("label").alias("label"), F.max(F.struct("often", "key"))["key"].alias("home"))
+    members = written(homes.join(sets.select("cid", "n"), "cid"), "members")
+    total = members.groupBy("home").agg(F.sum("n").alias("total"))
+    small = F.col("total") * 2 < CHUNK
+    pools = int((total.filter(small).agg(F.sum("total")).first()[0] or 0) // CHUNK) + 1
+    part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("total") / CHUNK).cast("long"))
+    block = F.when(small, F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("home"), F.lit(pools)))).otherwise(F.xxhash64("home", part))
+    placed = written(members.join(total, "home").select("cid", "label", "n", block.alias("block")), "placed")
+    dropped(members)
+
+    keyed = open_keys.select("key", "cid").join(placed.select("cid", "label", "block"), "cid")
+    there = keyed.groupBy("key", F.col("block").alias("at")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    visits = written(keyed.join(there, "key").filter("block >= at AND (low <> label OR high <> label)").select("cid", "at").distinct(), "visits")
+    guests = visits.join(placed.select("cid", "label", "n"), "cid")
+    parts = guests.groupBy("at").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("parts"))
+    guests = guests.join(parts, "at").select("cid", "at", "label", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"))
+    packed = lambda rows, *by: rows.join(sets.select("cid", "grams"), "cid").repartition(*by).groupBy(*by).agg(F.collect_list(F.struct("cid", "label", "grams")).alias("sets"))
+    blocks = written(packed(placed.select("cid", "label", F.col("block").alias("at")), "at"), "blocks")
+    both = packed(guests, "at", "part").withColumnRenamed("sets", "x").join(blocks.withColumnRenamed("sets", "y"), "at")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -617,7 +630,8 @@ def _in_blocks(open_keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     links = written(both.select("x", "y").mapInArrow(ending(compare), "a long, b long").distinct(), "links")
-    dropped(packed)
+    for rows in (blocks, visits, placed):
+        dropped(rows)
     return links
 
 

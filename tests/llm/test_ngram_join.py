@@ -180,3 +180,35 @@ def test_every_link_counts(spark, monkeypatch, chunk, cells):
     want = degrees(rows)
     assert got == {i: n for (i, _), n in zip(rows, want)}
     assert max(want) > 20
+
+
+def test_a_chain_of_keys_is_not_compared_with_all_of_itself(spark, monkeypatch, tmp_path):
+    """Keys make one group of many sets, each with a key of two others: what tasks compare grows with the sets, not with their square."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(J, "CHUNK", 1_000)
+    rng = np.random.default_rng(1)
+    plain, seen = J.ending, str(tmp_path)
+
+    def counting(task, *forget):
+        def run(batches):
+            import uuid
+
+            for batch in batches:
+                with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(batch.nbytes))
+                yield from task(iter([batch]))
+
+        return plain(run, *forget)
+
+    monkeypatch.setattr(J, "ending", counting)
+    grams = [np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64)) for _ in range(800)]
+    for k in range(0, 800, 8):  # every eighth is a near copy of the set before it
+        grams[k] = np.unique(np.append(grams[k - 1][:-2], grams[k][:2])) if k else grams[k]
+    sets = spark.createDataFrame([(k, len(g), g.tobytes()) for k, g in enumerate(grams)], "cid long, n long, grams binary")
+    keys = spark.createDataFrame([(key, k, k) for k in range(800) for key in (k, k + 1)], "key long, cid long, label long")
+    open_keys = keys.join(keys.groupBy("key").count().filter("count > 1"), "key").select("key", "cid", "label")
+    got = {tuple(r) for r in J._in_blocks(open_keys, sets, 80).collect()}
+    assert got == {(k - 1, k) for k in range(8, 800, 8)}
+    compared = sum(int(p.read_text()) for p in tmp_path.iterdir())
+    assert compared < 15 * sets.agg(F.sum("n")).first()[0] * 8  # in a square: 80 times
