@@ -43,11 +43,12 @@ def order_files(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("src3_text_source", "SELECT CAST(length(line) AS INTEGER) AS length, count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY 1")
 def text_source(spark: SparkSession, d: str) -> DataFrame:
-    """All lines of all documents written as text files, and read through the data source in parts of 64 KB."""
+    """All lines of all documents written as text files, and read through the data source in parts of 64 KB; a file that can't be read is an error."""
     at = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
     table(spark, d, "documents").filter("text IS NOT NULL").select(F.explode(F.split(F.translate("text", "\r", " "), "\n", -1)).alias("value")).write.text(at)
     found = read_text_tables(spark, at, partBytes=1 << 16, encoding="utf-8")
-    return found.filter("error IS NULL").groupBy(F.length("content").alias("length")).agg(F.count("*").alias("n"))
+    unread = F.raise_error(F.concat("path", F.lit(": "), "error")).cast("int")
+    return found.groupBy(F.when(F.col("error").isNull(), F.length("content")).otherwise(unread).alias("length")).agg(F.count("*").alias("n"))
 
 
 @R.add("src3_document_lines", "SELECT doc_id, CAST(count(*) AS BIGINT) AS n_cells, CAST(max(length(cell)) AS BIGINT) AS longest FROM (SELECT doc_id, unnest(string_split(line, ' ')) AS cell FROM (SELECT doc_id, unnest(string_split(text, chr(10))[2:]) AS line FROM documents)) GROUP BY doc_id")

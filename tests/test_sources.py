@@ -132,3 +132,19 @@ def test_small_parts_share_tasks(spark, tmp_path):
     numbered = S.numbered_lines(found).collect()
     assert sorted((r.line, r.content) for r in numbered if r.path.endswith("a.txt")) == list(enumerate(lines))
     assert len(numbered) == 9080
+
+
+def test_lines_that_cannot_be_read_are_not_left_out(spark, tmp_path, monkeypatch):
+    """A file that goes between writing and reading is an error of the query, not a smaller count."""
+    from gridcheck.queries import streams_sources as Q
+
+    spark.createDataFrame([(1, "one\ntwo"), (2, None), (3, "")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, Q.text_source(spark, str(tmp_path)).collect())) == [(0, 1), (3, 2)]
+
+    def damaged(spark, at, **options):
+        os.symlink("/no/such/file", f"{at.removeprefix('file://')}/lost.txt")
+        return S.read_text_tables(spark, at, **options)
+
+    monkeypatch.setattr(Q, "read_text_tables", damaged)
+    with pytest.raises(Exception, match="lost.txt"):
+        Q.text_source(spark, str(tmp_path)).collect()
